@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid
+from . import langid, near_dedup
 from .common import read
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_language_id": op3_language_id}
+QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op3_language_id": op3_language_id}
 ORACLE_SQL: dict[str, str] = {}
