@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, near_dedup
+from . import bfd_packing, config_packing, decontamination, langid, license_scan, near_dedup, secret_scan
 from .common import read
 
 
@@ -12,9 +12,30 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bfd_packing.digest(bfd_packing.pack(read(spark, sf_dir, "documents")))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op3_language_id": op3_language_id}
-ORACLE_SQL: dict[str, str] = {}
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(read(spark, sf_dir, "documents"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return config_packing.pack(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_packed_rows, op3_language_id, op4_license_scan, op6_decontamination, op8_secret_scan, op9_best_fit_packing)}
+#: Others can't be expressed in SQL; tests/llm compares them with brute force.
+ORACLE_SQL = {"op4_license_scan": license_scan.oracle_sql(), "op6_decontamination": decontamination.ORACLE_SQL}
