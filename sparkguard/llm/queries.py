@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bfd_packing, config_packing, decontamination, langid, license_scan, near_dedup, secret_scan
+from . import bfd_packing, config_packing, decontamination, langid, license_scan, near_dedup, secret_scan, warc
 from .common import read
 
 
@@ -36,6 +36,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config_packing.pack(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_packed_rows, op3_language_id, op4_license_scan, op6_decontamination, op8_secret_scan, op9_best_fit_packing)}
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_packed_rows, op3_language_id, op4_license_scan, op6_decontamination, op8_secret_scan, op9_best_fit_packing, op10_warc_round_trip)}
 #: Others can't be expressed in SQL; tests/llm compares them with brute force.
-ORACLE_SQL = {"op4_license_scan": license_scan.oracle_sql(), "op6_decontamination": decontamination.ORACLE_SQL}
+ORACLE_SQL = {"op4_license_scan": license_scan.oracle_sql(), "op6_decontamination": decontamination.ORACLE_SQL, "op10_warc_round_trip": warc.ORACLE_SQL}
