@@ -8,8 +8,11 @@ longest common subsequence inside the diagonal band that the threshold allows is
 positions. Similarity = aligned shingles / shingles of the longer document; a pair links at 0.8 or more.
 
 Equal texts are one node. Each bucket's members are first compared with the bucket's smallest member, which is linear
-for groups of copies; what is then still in different components of one bucket is compared in blocks, so no link
-inside a bucket is lost and no task holds a bucket. Classes are the connected components of the links.
+for groups of copies. Buckets that then hold several components are compared in blocks, all pairs across components.
+Where more than BLOCK members stand outside the leader's component (documents that only share a frequent passage),
+the key is lengthened first: members are compared where they share two such buckets. A pair at the threshold shares
+fewer than two of the tables with a probability of 7e-4, one of similarity 0.9 with 4e-8. Classes are the connected
+components of the links.
 
 Null text: a class of its own. Empty text (no word): one class of all texts equal to it. Rows that share a doc_id count
 as one document. Null doc_id: class null, kept. Columns beside doc_id and text are not read by near_duplicates().
@@ -26,9 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, first_rows, gram_hashes, materialize, mix, slices, utf8, word_hashes, word_spans
 
-WORDS, SIMILARITY, TABLES, PICKS = 5, 0.8, 24, 3
+WORDS, SIMILARITY, TABLES, PICKS = 5, 0.8, 28, 3
 #: Rows of a bucket that one group compares with each other in the second step.
-BLOCK = 128
+BLOCK = 256
 _SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 _TOP = np.uint64(0xFFFFFFFF00000000)
 
@@ -113,6 +116,24 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return len(chain) / longer
 
 
+def overlaps(grams: list[np.ndarray]) -> np.ndarray:
+    """Number of shared shingles of every two rows, from the shingles that stand in more than one."""
+    n = len(grams)
+    unique, inverse, often = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), [len(g) for g in grams])
+    keep = often[inverse] > 1
+    column, row = (np.cumsum(often > 1) - 1)[inverse[keep]], row[keep]
+    out = np.zeros((n, n), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        i, j = np.searchsorted(column, [lo, lo + 4096])
+        part = np.zeros((n, 4096), np.float32)
+        part[row[i:j], column[i:j] - lo] = 1
+        out += part @ part.T
+    return out
+
+
 def _sketches(docs: DataFrame, tables: int, picks: int) -> DataFrame:
     def sketch(batches):
         for batch in batches:
@@ -170,16 +191,18 @@ def _verify_blocks(least: float):
             return x
 
         grams = _shingles_of(pa.array([r[4] for r in rows], pa.string()))
-        sides = sorted({r[1] for r in rows})
+        shared = overlaps(grams)
+        longer = np.maximum.outer(*[np.array([len(g) for g in grams])] * 2)
+        side, component = np.array([r[1] for r in rows]), np.array([r[3] for r in rows])
+        test = (shared >= least * longer) & (component[:, None] != component)
+        if len(set(side.tolist())) > 1:
+            test &= side[:, None] != side
         found = []
-        for x in range(len(rows)):
-            for y in range(x + 1, len(rows)):
-                if len(sides) > 1 and rows[x][1] == rows[y][1]:
-                    continue
-                p, q = find(rows[x][3]), find(rows[y][3])
-                if p != q and similarity(grams[x], grams[y], least) >= least:
-                    parent[max(p, q)] = min(p, q)
-                    found.append((rows[x][2], rows[y][2]))
+        for x, y in zip(*np.nonzero(np.triu(test, 1)), strict=True):
+            p, q = find(rows[x][3]), find(rows[y][3])
+            if p != q and similarity(grams[x], grams[y], least) >= least:
+                parent[max(p, q)] = min(p, q)
+                found.append((rows[x][2], rows[y][2]))
         return found
 
     def verify(batches):
@@ -202,6 +225,24 @@ def _verify_blocks(least: float):
     return verify
 
 
+def _unsettled(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components; minor: not in the leader's component."""
+    placed = members.join(comps.withColumnRenamed("node", "known"), F.col("node") == F.col("known"), "left").select("bucket", "leader", "node", F.coalesce("component", "node").alias("component"))
+    leads = placed.filter("node = leader").select("bucket", F.col("component").alias("lead"))
+    parts = placed.join(leads, "bucket").select("bucket", "node", "component", (F.col("component") != F.col("lead")).alias("minor"))
+    sizes = parts.groupBy("bucket").agg(F.count_if(~F.col("minor")).alias("n_major"), F.count_if("minor").alias("n_minor")).filter("n_minor > 0")
+    return parts.join(sizes, "bucket")
+
+
+def _blocks(unsettled: DataFrame) -> DataFrame:
+    """Groups of at most two blocks of a bucket's members, which between them hold all its pairs but those in the leader's component."""
+    sized = unsettled.withColumn("majors", F.ceil(F.col("n_major") / BLOCK).cast("int")).withColumn("minors", F.ceil(F.col("n_minor") / BLOCK).cast("int"))
+    own = F.expr("CASE WHEN minor THEN majors + pmod(hash(node), minors) ELSE pmod(hash(node), majors) END")
+    others = F.expr("CASE WHEN minor THEN sequence(0, majors + minors - 1) ELSE sequence(majors, majors + minors - 1) END")
+    exploded = sized.withColumn("side", own).withColumn("other", F.explode(others))
+    return exploded.select("node", "component", F.xxhash64("bucket", F.least("side", "other"), F.greatest("side", "other")).alias("group"), "side")
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, tables: int = TABLES, picks: int = PICKS) -> DataFrame:
     """One row per row of docs: doc_id, class_id (smallest doc_id of its class), kept (doc_id = class_id)."""
     spark = docs.sparkSession
@@ -209,9 +250,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, tables: int = TA
     sketches = materialize(_sketches(docs, tables, picks), "sketches")
     nodes = sketches.filter("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest", "keys").agg(F.min("doc_id").alias("node"))
     nodes = materialize(nodes, "nodes")
-    rows = nodes.filter("size(keys) > 0").select("node", F.posexplode("keys").alias("t", "key"))
-    buckets = rows.groupBy("t", "key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    members = materialize(rows.join(buckets.drop("n"), ["t", "key"]), "members")
+    rows = nodes.filter("size(keys) > 0").select("node", F.posexplode("keys").alias("t", "key")).select(F.xxhash64("t", "key").alias("bucket"), "node")
+    buckets = rows.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
+    members = materialize(rows.join(buckets.drop("n"), "bucket"), "members")
     pairs = members.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     wanted = members.select("node").distinct()
     texts = materialize(docs.join(wanted, docs.doc_id == wanted.node, "left_semi").filter("text IS NOT NULL").select("doc_id", "text"), "texts")
@@ -220,20 +261,13 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, tables: int = TA
 
     # what is still in several components of one bucket
     comps = materialize(connected_components(links), "components")
-    placed = members.join(comps, members.node == comps.node, "left").select("t", "key", "leader", members.node, F.coalesce("component", members.node).alias("component"))
-    leads = placed.filter("node = leader").select("t", "key", F.col("component").alias("lead"))
-    parts = placed.join(leads, ["t", "key"]).withColumn("minor", F.col("component") != F.col("lead"))
-    sizes = parts.groupBy("t", "key").agg(F.count_if(~F.col("minor")).alias("n_major"), F.count_if("minor").alias("n_minor")).filter("n_minor > 0")
-    sizes = sizes.select("t", "key", F.ceil(F.col("n_major") / BLOCK).cast("int").alias("majors"), F.ceil(F.col("n_minor") / BLOCK).cast("int").alias("minors"))
-    open_rows = parts.join(sizes, ["t", "key"])
-    own = F.expr("CASE WHEN minor THEN majors + pmod(hash(node), minors) ELSE pmod(hash(node), majors) END")
-    others = F.expr("CASE WHEN minor THEN sequence(0, majors + minors - 1) ELSE sequence(majors, majors + minors - 1) END")
-    grouped = (
-        open_rows.withColumn("own", own)
-        .withColumn("other", F.explode(others))
-        .select("node", "component", F.xxhash64("t", "key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), F.col("own").alias("side"))
-    )
-    blocks = grouped.join(texts, grouped.node == texts.doc_id).select("group", "side", "node", "component", "text")
+    unsettled = materialize(_unsettled(members, comps), "unsettled")
+    mixed = unsettled.filter(F.col("n_minor") > BLOCK).groupBy("node").agg(F.array_sort(F.collect_list("bucket")).alias("in"))
+    both = F.flatten(F.transform("in", lambda x, i: F.transform(F.slice("in", i + 2, F.size("in")), lambda y: F.xxhash64(x, y))))
+    joint = mixed.filter("size(in) > 1").select(F.explode(both).alias("bucket"), "node")
+    heads = joint.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = _unsettled(joint.join(heads, "bucket"), comps)
+    blocks = _blocks(unsettled.filter(F.col("n_minor") <= BLOCK)).unionByName(_blocks(again)).join(texts, F.col("node") == texts.doc_id).select("group", "side", "node", "component", "text")
     late = blocks.repartition("group").sortWithinPartitions("group", "side", "node").mapInArrow(_verify_blocks(least), "a long, b long")
     late = materialize(late, "late_links")
     if late.limit(1).count():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bfd_packing, config_packing, decontamination, langid, license_scan, near_dedup, secret_scan, warc
+from . import bfd_packing, config_packing, decontamination, embedding_dedup, langid, license_scan, near_dedup, secret_scan, warc
 from .common import read
 
 
@@ -28,6 +28,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(read(spark, sf_dir, "documents"))
 
@@ -40,6 +44,6 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_packed_rows, op3_language_id, op4_license_scan, op6_decontamination, op8_secret_scan, op9_best_fit_packing, op10_warc_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_packed_rows, op3_language_id, op4_license_scan, op6_decontamination, op7_embedding_near_duplicates, op8_secret_scan, op9_best_fit_packing, op10_warc_round_trip)}
 #: Others can't be expressed in SQL; tests/llm compares them with brute force.
-ORACLE_SQL = {"op4_license_scan": license_scan.oracle_sql(), "op6_decontamination": decontamination.ORACLE_SQL, "op10_warc_round_trip": warc.ORACLE_SQL}
+ORACLE_SQL = {"op4_license_scan": license_scan.oracle_sql(), "op6_decontamination": decontamination.ORACLE_SQL, "op7_embedding_near_duplicates": embedding_dedup.ORACLE_SQL, "op10_warc_round_trip": warc.ORACLE_SQL}
