@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bfd_packing, config_packing, decontamination, embedding_dedup, langid, license_scan, near_dedup, secret_scan, warc
+from . import bfd_packing, config_packing, decontamination, embedding_dedup, langid, license_scan, near_dedup, secret_scan, substring_dedup, warc
 from .common import read
 
 
@@ -24,6 +24,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -44,6 +48,6 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_packed_rows, op3_language_id, op4_license_scan, op6_decontamination, op7_embedding_near_duplicates, op8_secret_scan, op9_best_fit_packing, op10_warc_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_packed_rows, op3_language_id, op4_license_scan, op5_substring_dedup, op6_decontamination, op7_embedding_near_duplicates, op8_secret_scan, op9_best_fit_packing, op10_warc_round_trip)}
 #: Others can't be expressed in SQL; tests/llm compares them with brute force.
 ORACLE_SQL = {"op4_license_scan": license_scan.oracle_sql(), "op6_decontamination": decontamination.ORACLE_SQL, "op7_embedding_near_duplicates": embedding_dedup.ORACLE_SQL, "op10_warc_round_trip": warc.ORACLE_SQL}
