@@ -1,26 +1,64 @@
-"""A training-corpus pipeline of five stages; each stage's rows are written as Parquet and read again by the next."""
+"""A training-corpus pipeline of five stages; each stage's rows are written as Parquet and read again by the next.
+
+Every stage but the last returns the columns of documents. Columns beside doc_id and text pass through unread; n_chars
+follows the text where secrets are hidden. Rows with a null doc_id are kept by the stages that decide by doc_id.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkguard.llm import langid
+from sparkguard.llm import config_packing, decontamination, langid, near_dedup, secret_scan
 from sparkguard.llm.common import materialize, read
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which no language is found: null text, or no letter."""
-    rejected = langid.identify(docs).filter("lang_pred = 'und'").select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    """Drop documents in which no language is found: null or empty text, or no letter."""
+    model = langid.train(docs.filter(~langid.held_out()))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return langid.label_spans(rows, model, keep=("row",)).filter("lang_pred <> 'und'").select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates keep the document with the smallest doc_id, and one of its rows if it is repeated."""
+    copies = near_dedup.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
+    kept = docs.filter("doc_id IS NOT NULL").join(copies, "doc_id", "left_anti")
+    others = [c for c in docs.columns if c != "doc_id"]
+    one = kept.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in others if c != "text"])).alias("row")).select("doc_id", "row.*")
+    return one.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item."""
+    leaks = decontamination.contamination(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every reported secret; all documents stay."""
+    hidden = secret_scan.redact(docs)
+    return hidden.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else hidden
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, placed in sequences of 4096 tokens."""
+    return config_packing.pack(docs)
 
 
-STAGES = [("language_id", identify_language)]
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", hide_secrets),
+    ("packing", pack_sequences),
+]
+#: Language identification, near-duplicate classes and packing can't be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
