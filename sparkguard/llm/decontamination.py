@@ -7,7 +7,7 @@ few to miss all of them, so the search loses nothing, however long the document
 the hashes of all their shingles; candidates are verified by the exact share of the item's shingles in the document.
 
 Nulls and texts under five words have no shingles and never match. Rows with a null doc_id or item_id take no part.
-Repeated rows and rows that share a doc_id give one row per (doc_id, item_id), with the largest containment. Other
+Repeated rows and rows that share a doc_id give one row per (doc_id, item_id), of the text that shares most. Other
 columns are not read.
 """
 
@@ -56,8 +56,9 @@ def contamination(docs: DataFrame, items: DataFrame, least: float = LEAST) -> Da
     pairs = candidates.join(F.broadcast(exact) if small else exact, "item_id")
     texts = pairs.join(docs, "doc_id").withColumn("words", words_of())
     counted = texts.select("doc_id", "item_id", F.size("of_item").cast("long").alias("n_shingles"), F.size(F.array_intersect("of_item", shingles("words"))).cast("long").alias("n_shared"))
-    best = counted.filter(F.col("n_shared") >= F.col("n_shingles") * least - 1e-9).groupBy("doc_id", "item_id").agg(F.max(F.struct(F.expr("n_shared / n_shingles").alias("containment"), "n_shingles", "n_shared")).alias("m"))
-    return best.select("doc_id", "item_id", "m.n_shingles", "m.n_shared", "m.containment")
+    # the threshold comes after the aggregation: below it, it would evaluate the shingles once more for every reference
+    best = counted.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_shared", "n_shingles")).alias("m")).select("doc_id", "item_id", "m.n_shingles", "m.n_shared")
+    return best.filter(F.col("n_shared") >= F.col("n_shingles") * least - 1e-9).withColumn("containment", F.expr("n_shared / n_shingles"))
 
 
 ORACLE_SQL = f"""
