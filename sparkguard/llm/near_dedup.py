@@ -8,11 +8,10 @@ longest common subsequence inside the diagonal band that the threshold allows is
 positions. Similarity = aligned shingles / shingles of the longer document; a pair links at 0.8 or more.
 
 Equal texts are one node. Each bucket's members are first compared with the bucket's smallest member, which is linear
-for groups of copies. Buckets that then hold several components are compared in blocks, all pairs across components.
-Where more than BLOCK members stand outside the leader's component (documents that only share a frequent passage),
-the key is lengthened first: members are compared where they share two such buckets. A pair at the threshold shares
-fewer than two of the tables with a probability of 7e-4, one of similarity 0.9 with 4e-8. Classes are the connected
-components of the links.
+for groups of copies; all pairs of what is then still in different components of one bucket are compared in blocks, so
+no link inside a bucket is lost and no task holds a bucket. A block's shared shingles come from one matrix product, and
+only pairs that share enough are aligned. A pair at the threshold meets in no bucket with a probability of 5e-5, one of
+similarity 0.9 with 1e-10. Classes are the connected components of the links.
 
 Null text: a class of its own. Empty text (no word): one class of all texts equal to it. Rows that share a doc_id count
 as one document. Null doc_id: class null, kept. Columns beside doc_id and text are not read by near_duplicates().
@@ -31,7 +30,7 @@ from .common import connected_components, first_rows, gram_hashes, materialize,
 
 WORDS, SIMILARITY, TABLES, PICKS = 5, 0.8, 28, 3
 #: Rows of a bucket that one group compares with each other in the second step.
-BLOCK = 256
+BLOCK = 512
 _SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 _TOP = np.uint64(0xFFFFFFFF00000000)
 
@@ -262,12 +261,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, tables: int = TA
     # what is still in several components of one bucket
     comps = materialize(connected_components(links), "components")
     unsettled = materialize(_unsettled(members, comps), "unsettled")
-    mixed = unsettled.filter(F.col("n_minor") > BLOCK).groupBy("node").agg(F.array_sort(F.collect_list("bucket")).alias("in"))
-    both = F.flatten(F.transform("in", lambda x, i: F.transform(F.slice("in", i + 2, F.size("in")), lambda y: F.xxhash64(x, y))))
-    joint = mixed.filter("size(in) > 1").select(F.explode(both).alias("bucket"), "node")
-    heads = joint.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = _unsettled(joint.join(heads, "bucket"), comps)
-    blocks = _blocks(unsettled.filter(F.col("n_minor") <= BLOCK)).unionByName(_blocks(again)).join(texts, F.col("node") == texts.doc_id).select("group", "side", "node", "component", "text")
+    blocks = _blocks(unsettled).join(texts, F.col("node") == texts.doc_id).select("group", "side", "node", "component", "text")
     late = blocks.repartition("group").sortWithinPartitions("group", "side", "node").mapInArrow(_verify_blocks(least), "a long, b long")
     late = materialize(late, "late_links")
     if late.limit(1).count():
