@@ -94,7 +94,7 @@ def _anchor_rows(parts: int):
         return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array([done] * len(names)), pa.array(blobs, pa.binary())], ["part", "done", "blob"])
 
     def work(batches):
-        for batch in batches:
+        for batch in (whole.slice(k, 2500) for whole in batches for k in range(0, whole.num_rows, 2500)):
             doc_ids = np.asarray(batch.column(0).fill_null(0))
             data, offsets = utf8(batch.column(1))
             found: dict[str, list] = {name: [] for name, _ in _RECORD}
@@ -161,22 +161,24 @@ def _repeated(group: int):
 
 def _split_rows(batches):
     """(doc_id, text, found) to final rows of documents without repeats; the others keep their text and what was found."""
-    for batch in batches:
-        data, offsets = utf8(batch.column(1))
-        found = batch.column(2)
-        plain = np.asarray(found.is_null())
-        words = [data[offsets[i] : offsets[i + 1]].tobytes().split() if plain[i] else [] for i in range(batch.num_rows)]
-        sums = [hashlib.sha256(b" ".join(w)).hexdigest() if p else None for w, p in zip(words, plain, strict=True)]
-        mask = pa.array(~plain)
-        text = pc.if_else(mask, batch.column(1), pa.scalar(None, batch.column(1).type))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array(sums, pa.string()), text, found], ["doc_id", "n_words", "kept_sha256", "text", "found"])
+    for whole in batches:
+        for k in range(0, whole.num_rows, 1024):
+            batch = whole.slice(k, 1024)
+            data, offsets = utf8(batch.column(1))
+            plain = np.asarray(batch.column(2).is_null())
+            counts, sums = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
+            for i in np.flatnonzero(plain):
+                words = data[offsets[i] : offsets[i + 1]].tobytes().split()
+                counts[i], sums[i] = len(words), hashlib.sha256(b" ".join(words)).hexdigest()
+            text = pc.if_else(pa.array(~plain), batch.column(1), pa.scalar(None, batch.column(1).type))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(sums, pa.string()), text, batch.column(2)], ["doc_id", "n_words", "kept_sha256", "text", "found"])
 
 
 def _open_suffixes(frequent: bool):
     """(doc_id, text, found) to the suffixes at open anchors: as words from `left` words before the anchor, or window by window."""
 
     def work(batches):
-        for batch in batches:
+        for batch in (whole.slice(k, 1024) for whole in batches for k in range(0, whole.num_rows, 1024)):
             data, offsets = utf8(batch.column(1))
             found = batch.column(2)
             cuts, rows = np.asarray(found.offsets), found.flatten()
@@ -270,7 +272,7 @@ def _grow_trees(batches):
 
 def _keep_rest(batches):
     """(doc_id, text, found, more) to final rows."""
-    for batch in batches:
+    for batch in (whole.slice(k, 1024) for whole in batches for k in range(0, whole.num_rows, 1024)):
         data, offsets = utf8(batch.column(1))
         found, more = batch.column(2), batch.column(3)
         rows, f_cut = found.flatten(), np.asarray(found.offsets)
