@@ -30,6 +30,10 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit rows made of events: one to three rows a caller and day, with every checkpoint, check and action."""
+    return audit_of(read(spark, sf_dir, "events"))
+
+
+def audit_of(events: DataFrame) -> DataFrame:
     e = F.col("event_id")
     kind = F.col("event_type")
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
@@ -40,7 +44,7 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     topic = F.element_at(F.array(*map(F.lit, ("prompt_injection", "exfiltration", "code_execution"))), (e % 3 + 1).cast("int"))
     reply = kind.isin("click", "purchase")
     model = F.when(e % 2 == 0, "gpt-4o-mini").otherwise("gemma4")
-    rows = read(spark, sf_dir, "events").select(
+    rows = events.select(
         e.alias("id"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"),
         F.when(e % 97 != 0, F.concat(F.lit("u"), "user_id", F.lit("-"), day)).alias("request_id"),
