@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import materialize, shared_dir
 
 REVISIT_BYTES = 1000
 #: Records a file holds at most; a file is read by one task.
 FILE_RECORDS = 10_000
+#: Repeated payloads (some 80 bytes each) up to which their table is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 _START = re.compile(rb"(?:(?<=\n)|\A)WARC/1\.[01]\r?\n|\x1f\x8b\x08")
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
@@ -39,7 +41,10 @@ def records(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("n", F.octet_length("payload")).withColumn("digest", F.sha1(F.encode("payload", "UTF-8")))
     copies = pages.select("page_id", F.coalesce("html", F.lit("")).alias("payload")).select("page_id", F.octet_length("payload").alias("n"), F.sha1(F.encode("payload", "UTF-8")).alias("digest"))
     holders = copies.filter(F.col("n") >= REVISIT_BYTES).groupBy("digest", "n").agg(F.max("page_id").alias("holder"), F.count("*").alias("c")).filter("c > 1 AND holder IS NOT NULL")
-    rows = rows.join(holders.drop("c"), ["digest", "n"], "left")
+    holders = materialize(holders.drop("c"), "holders")
+    # payloads are shuffled only where the table of repeated ones is too large to broadcast
+    small = holders.count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(holders) if small else holders, ["digest", "n"], "left")
     revisit = F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder"))
     line = lambda name, *value: F.concat(F.lit(f"{name}: "), *value, F.lit("\r\n"))
     block = F.when(revisit, F.lit("")).otherwise(F.concat(F.lit(_HTTP), F.col("n").cast("string"), F.lit("\r\n\r\n"), "payload"))
