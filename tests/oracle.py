@@ -1,6 +1,7 @@
 """Comparison of a query with its SQL on the same parquet tables."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -13,7 +14,7 @@ def connect(sf_dir: str):
 
 
 def _cell(v):
-    return None if v is None or v != v else round(float(v), 6) if isinstance(v, float) else str(v)
+    return None if v is None or v is pd.NA or v != v else round(float(v), 6) if isinstance(v, float) else str(v)
 
 
 def canonical(frame):
