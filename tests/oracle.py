@@ -1,5 +1,7 @@
 """Comparison of a query with its SQL on the same parquet tables."""
 
+import numbers
+
 import duckdb
 import pandas as pd
 
@@ -14,7 +16,11 @@ def connect(sf_dir: str):
 
 
 def _cell(v):
-    return None if v is None or v is pd.NA or v != v else round(float(v), 6) if isinstance(v, float) else str(v)
+    if v is None or v is pd.NA or v != v:
+        return None
+    if isinstance(v, numbers.Number) and not isinstance(v, bool):
+        return int(v) if v == int(v) else round(float(v), 6)
+    return str(v)
 
 
 def canonical(frame):
