@@ -98,10 +98,10 @@ def tool_usage(turn: DataFrame) -> DataFrame:
 def cost_by(audit: DataFrame) -> DataFrame:
     """Cost per model, caller and UTC day in one pass of grouping sets: dimension, key, cost."""
     rows = summary_rows(audit).select("model", "caller_id", F.col("date").cast("string").alias("day"), "cost")
-    rows.createOrReplaceTempView("_cost_rows")
-    sql = """SELECT CASE WHEN grouping(model) = 0 THEN 'model' WHEN grouping(caller_id) = 0 THEN 'caller' ELSE 'day' END AS dimension,
-        coalesce(model, caller_id, day) AS key, sum(cost) AS cost FROM _cost_rows GROUP BY GROUPING SETS ((model), (caller_id), (day))"""
-    return rows.sparkSession.sql(sql).filter("key IS NOT NULL")
+    sets = rows.groupingSets([["model"], ["caller_id"], ["day"]], "model", "caller_id", "day")
+    sums = sets.agg(F.grouping("model").alias("no_model"), F.grouping("caller_id").alias("no_caller"), F.sum("cost").alias("cost"))
+    dimension = F.when(F.col("no_model") == 0, "model").when(F.col("no_caller") == 0, "caller").otherwise("day")
+    return sums.select(dimension.alias("dimension"), F.coalesce("model", "caller_id", "day").alias("key"), "cost").filter("key IS NOT NULL")
 
 
 def tokens_by_model(audit: DataFrame) -> DataFrame:
