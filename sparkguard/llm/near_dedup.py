@@ -244,7 +244,6 @@ def _blocks(unsettled: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, tables: int = TABLES, picks: int = PICKS) -> DataFrame:
     """One row per row of docs: doc_id, class_id (smallest doc_id of its class), kept (doc_id = class_id)."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     sketches = materialize(_sketches(docs, tables, picks), "sketches")
     nodes = sketches.filter("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest", "keys").agg(F.min("doc_id").alias("node"))
@@ -270,10 +269,10 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, tables: int = TA
     # rows that share a doc_id are one document: its texts join one class
     seen = sketches.filter("doc_id IS NOT NULL AND digest IS NOT NULL").join(nodes.select("digest", "node"), "digest")
     named = seen.join(comps, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"))
-    return _classes(spark, sketches, named)
+    return _classes(sketches, named)
 
 
-def _classes(spark, sketches: DataFrame, named: DataFrame) -> DataFrame:
+def _classes(sketches: DataFrame, named: DataFrame) -> DataFrame:
     by_doc = named.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("class_id").alias("other"))
     by_doc = materialize(by_doc, "by_doc")
     several = by_doc.filter("class_id <> other").select(F.col("class_id").alias("a"), F.col("other").alias("b"))
