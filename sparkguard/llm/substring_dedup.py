@@ -23,7 +23,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,7 +169,7 @@ def _split_rows(batches):
             for i in np.flatnonzero(plain):
                 words = data[offsets[i] : offsets[i + 1]].tobytes().split()
                 counts[i], sums[i] = len(words), hashlib.sha256(b" ".join(words)).hexdigest()
-            text = pc.if_else(pa.array(~plain), batch.column(1), pa.scalar(None, batch.column(1).type))
+            text = batch.column(1).take(pa.array(np.arange(batch.num_rows), mask=plain))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(sums, pa.string()), text, batch.column(2)], ["doc_id", "n_words", "kept_sha256", "text", "found"])
 
 
