@@ -16,8 +16,10 @@ from sparkguard.llm.common import materialize, read
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in which no language is found: null or empty text, or no letter."""
     model = langid.train(docs.filter(~langid.held_out()))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return langid.label_spans(rows, model, keep=("row",)).filter("lang_pred <> 'und'").select("row.*")
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # so that no column clashes with the operator's
+    found = langid.label_spans(plain, model, text=f"c{names.index('text')}", keep=tuple(plain.columns))
+    return found.filter("lang_pred <> 'und'").select(plain.columns).toDF(*names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ BUCKETS = 1 << 15
 #: Bound on the labelled rows that the model is fitted to.
 MAX_TRAINING_ROWS = 20_000
 SWITCH_PENALTY = 14.0
+PART_BYTES = 8 << 20
 
 # Scripts by the lead byte of a letter's UTF-8 form: 0 none, 1 Latin, 2 Greek, 3 Cyrillic, 4 Armenian/Hebrew, 5 Arabic, 6 Indic/Thai, 7 kana/Han, 8 Hangul.
 _SCRIPT = np.zeros(256, np.uint8)
@@ -143,20 +144,28 @@ SPANS = "array<struct<start:int,end:int,lang:string>>"
 def label_spans(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",), penalty: float = SWITCH_PENALTY) -> DataFrame:
     """keep, lang_pred, score (share of the letters in lang_pred's spans) and spans of words [start, end)."""
     schema = docs.select(*keep).schema.simpleString()[7:-1]
-    found = docs.select(*keep, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("has_letter"), F.col(text).alias("the_text"))
     n_keep, labels, langs = len(keep), model.labels, len(model.labels)
+    text_at = keep.index(text) if text in keep else n_keep + 1
+    extra = [] if text in keep else [F.col(text)]
+    found = docs.select(*keep, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("has_letter"), *extra)
     shared = docs.sparkSession.sparkContext.broadcast((model.table, model.allowed))
 
+    def parts_of(batches):
+        """Batches cut to rows of about PART_BYTES of text, which bounds what the scores and states of their words take."""
+        for batch in batches:
+            for i, j in slices(utf8(batch.column(text_at))[1], PART_BYTES):
+                yield batch.slice(i, j - i)
+
     def label(batches):
         table, allowed = shared.value
         columns = [np.ascontiguousarray(table[:, i]) for i in range(langs)]
-        for batch in batches:
+        for batch in parts_of(batches):
             rows = batch.num_rows
             if not langs:
                 none = pa.array([[]] * rows, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], pa.array(["und"] * rows), pa.array(np.zeros(rows)), none], [*batch.schema.names[:n_keep], "lang_pred", "score", "spans"])
                 continue
-            data, offsets = utf8(batch.column(n_keep + 1))
+            data, offsets = utf8(batch.column(text_at))
             parts, counts, weights = [], np.zeros(rows, np.int64), []
             for i, j in slices(offsets):
                 part = data[offsets[i] : offsets[j]]
