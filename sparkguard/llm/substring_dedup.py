@@ -30,7 +30,7 @@ from .common import _range_hashes, gram_hashes, materialize, mix, slices, utf8,
 
 WINDOW, PREFIX, GROUP = 13, 6, 2000
 SPAN = WINDOW - PREFIX + 1
-_RECORD = (("prefix", "<u8"), ("span", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("first", "<u4"), ("n", "u1"))
+_RECORD = (("prefix", "<u8"), ("span", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("left", "u1"), ("n", "u1"))
 _SIZE = sum(np.dtype(t).itemsize for _, t in _RECORD)
 
 
@@ -108,7 +108,7 @@ def _anchor_rows(parts: int):
                 span = _range_hashes(lambda lo, hi, h=hashes: h[lo:hi], len(hashes), first, first + n + WINDOW - 1)
                 span = mix(span ^ (at - first).astype(np.uint64))
                 prefix = _range_hashes(lambda lo, hi, h=hashes: h[lo:hi], len(hashes), at, at + PREFIX)
-                for name, value in (("prefix", prefix), ("span", span), ("doc", doc_ids[i + row[at]]), ("at", at - begin), ("first", first - begin), ("n", n)):
+                for name, value in (("prefix", prefix), ("span", span), ("doc", doc_ids[i + row[at]]), ("at", at - begin), ("left", at - first), ("n", n)):
                     found[name].append(value)
             if not found["doc"]:
                 continue
@@ -134,7 +134,7 @@ def _repeated(group: int):
         for batch in batches:
             for is_done, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 (done if is_done else blobs).append(blob)
-        sure, f = _unpack(done), _unpack(blobs)
+        sure, f = ({**x, "first": x["at"].astype(np.int64) - x["left"]} for x in (_unpack(done), _unpack(blobs)))
         low, high = _least(f["prefix"], f["doc"])
         keep = low < high
         f = {k: v[keep] for k, v in f.items()}
