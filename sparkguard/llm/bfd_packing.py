@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .tokens import cut, documents_ids, public_path
 
 CAPACITY = 4096
@@ -115,7 +116,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, blo
         if parts:
             yield from flush(parts, first)
 
-    return docs.select("doc_id", "text").mapInArrow(work, SCHEMA)
+    return bound_batches(docs).select("doc_id", "text").mapInArrow(work, SCHEMA)
 
 
 def with_positions(packed: DataFrame) -> DataFrame:

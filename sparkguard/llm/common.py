@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text is worked on in slices of whole documents of about so many bytes, which bounds a Python worker's memory.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Rows of an Arrow batch of whole texts; the default of 10,000 takes hundreds of MB outside the heap for each task.
+BATCH_ROWS = 2000
 _BLOCK = 1 << 18
 _MULT = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -26,6 +28,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches bounded; called by the operators that give texts to Python."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, so that a lost executor costs no recomputation of what is above."""
     path = shared_dir(df.sparkSession, name)

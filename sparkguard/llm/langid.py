@@ -14,16 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, byte_set, first_rows, slices, utf8, word_spans
+from .common import ASCII_LOWER, bound_batches, byte_set, first_rows, slices, utf8, word_spans
 
 BUCKETS = 1 << 15
 #: Bound on the labelled rows that the model is fitted to.
 MAX_TRAINING_ROWS = 20_000
 SWITCH_PENALTY = 14.0
-PART_BYTES = 8 << 20
+PART_BYTES, FEATURE_BYTES = 4 << 20, 1 << 20
 
 # Scripts by the lead byte of a letter's UTF-8 form: 0 none, 1 Latin, 2 Greek, 3 Cyrillic, 4 Armenian/Hebrew, 5 Arabic, 6 Indic/Thai, 7 kana/Han, 8 Hangul.
 _SCRIPT = np.zeros(256, np.uint8)
@@ -62,7 +63,7 @@ def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 
 def train(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", max_rows: int = MAX_TRAINING_ROWS) -> LanguageModel:
     """Fit to the rows with a label, or to about max_rows of them chosen by a hash of the key."""
-    rows = rows.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
+    rows = bound_batches(rows).filter(F.col(label).isNotNull() & F.col(text).isNotNull())
     n = rows.select(label).count()
     if n > max_rows:
         rows = rows.filter(F.expr(f"pmod(xxhash64({key}), 1000000) < {max(1, int(1e6 * max_rows / n))}"))
@@ -75,7 +76,7 @@ def train(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "
             of = np.array([index.get(x, 0) for x in batch.column(1).to_pylist()], np.int64)
             size = BUCKETS + N_SCRIPTS
             total = np.zeros(len(labels) * size, np.int64)
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, FEATURE_BYTES):
                 part = data[offsets[i] : offsets[j]]
                 starts, ends, row = word_spans(part, offsets[i : j + 1] - offsets[i])
                 if not len(starts):
@@ -144,6 +145,7 @@ SPANS = "array<struct<start:int,end:int,lang:string>>"
 def label_spans(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",), penalty: float = SWITCH_PENALTY) -> DataFrame:
     """keep, lang_pred, score (share of the letters in lang_pred's spans) and spans of words [start, end)."""
     schema = docs.select(*keep).schema.simpleString()[7:-1]
+    bound_batches(docs)
     n_keep, labels, langs = len(keep), model.labels, len(model.labels)
     text_at = keep.index(text) if text in keep else n_keep + 1
     extra = [] if text in keep else [F.col(text)]
@@ -153,7 +155,8 @@ def label_spans(docs: DataFrame, model: LanguageModel, text: str = "text", keep:
     def parts_of(batches):
         """Batches cut to rows of about PART_BYTES of text, which bounds what the scores and states of their words take."""
         for batch in batches:
-            for i, j in slices(utf8(batch.column(text_at))[1], PART_BYTES):
+            sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0)
+            for i, j in slices(np.concatenate(([0], np.cumsum(np.asarray(sizes), dtype=np.int64))), PART_BYTES):
                 yield batch.slice(i, j - i)
 
     def label(batches):
@@ -167,7 +170,7 @@ def label_spans(docs: DataFrame, model: LanguageModel, text: str = "text", keep:
                 continue
             data, offsets = utf8(batch.column(text_at))
             parts, counts, weights = [], np.zeros(rows, np.int64), []
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, FEATURE_BYTES):
                 part = data[offsets[i] : offsets[j]]
                 starts, ends, row = word_spans(part, offsets[i : j + 1] - offsets[i])
                 counts[i:j] = np.bincount(row, minlength=j - i)

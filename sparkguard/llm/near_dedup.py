@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, first_rows, gram_hashes, materialize, mix, slices, utf8, word_hashes, word_spans
+from .common import bound_batches, connected_components, first_rows, gram_hashes, materialize, mix, slices, utf8, word_hashes, word_spans
 
 WORDS, SIMILARITY, TABLES, PICKS = 5, 0.8, 28, 3
 #: Rows of a bucket that one group compares with each other in the second step.
@@ -244,7 +244,7 @@ def _blocks(unsettled: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, tables: int = TABLES, picks: int = PICKS) -> DataFrame:
     """One row per row of docs: doc_id, class_id (smallest doc_id of its class), kept (doc_id = class_id)."""
-    docs = docs.select("doc_id", "text")
+    docs = bound_batches(docs).select("doc_id", "text")
     sketches = materialize(_sketches(docs, tables, picks), "sketches")
     nodes = sketches.filter("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest", "keys").agg(F.min("doc_id").alias("node"))
     nodes = materialize(nodes, "nodes")

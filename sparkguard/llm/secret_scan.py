@@ -18,6 +18,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bound_batches
+
 KINDS = ("assign", "access", "hex", "client", "token")
 #: Two parts further apart than so many characters are never linked.
 SCOPE = 200
@@ -96,7 +98,7 @@ _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end"
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep and spans (kind, start, end, strong) of every row."""
-    rows = docs.select(*keep, text)
+    rows = bound_batches(docs).select(*keep, text)
 
     def find(batches):
         for batch in batches:
@@ -114,7 +116,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """All rows and columns of docs, with every reported span of the text replaced by mark; overlapping spans are one."""
-    at, columns = docs.columns.index(text), docs.columns
+    at, columns = bound_batches(docs).columns.index(text), docs.columns
 
     def hide(value: str | None) -> str | None:
         if not value:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _range_hashes, gram_hashes, materialize, mix, slices, utf8, word_hashes, word_spans
+from .common import _range_hashes, bound_batches, gram_hashes, materialize, mix, slices, utf8, word_hashes, word_spans
 
 WINDOW, PREFIX, GROUP = 13, 6, 2000
 SPAN = WINDOW - PREFIX + 1
@@ -297,7 +297,7 @@ def _keep_rest(batches):
 def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = bound_batches(docs).select("doc_id", "text")
     parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_anchor_rows(parts), "part int, done boolean, blob binary")
     repeated = rows.repartition("part").mapInArrow(_repeated(group), FOUND)

@@ -17,7 +17,7 @@ from .common import byte_set, first_rows, slices, utf8, word_hashes, word_spans
 
 END_OF_DOCUMENT = 1
 #: Words whose ids a Python worker keeps between slices.
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 600_000
 _tables: dict = {}
 
 
