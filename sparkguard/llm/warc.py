@@ -5,9 +5,12 @@ page_id is a `response`; the others are `revisit` records that refer to it. Smal
 are framed by their Content-Length and written through Spark's text writer, whose line separator is the blank lines that end a
 WARC record, so archives can be in any store that Spark reaches.
 
-Reading: a record is accepted if its version line, headers, length, end and payload digest hold; plain files and files of
-gzip members are both read. After a failed check the reader searches for the next valid member or version line, goes on
-from there, and logs the bytes between as a quarantined gap.
+Reading: a record is accepted if its version line, headers, length, end and payload digest (SHA-1 in hex or base32) hold;
+plain files and files of gzip members, of one record or of many, are both read. After a failed check the reader searches for
+the next valid member or version line, goes on from there, and logs the bytes between as a quarantined gap. It does the same
+within the bytes of a member, and within what inflates of one that is damaged or cut off; its records and gaps have the
+member's place in the file. In a member that fails to inflate or its own checksum, records without a digest that can be
+checked are `unverified`. Files are held in memory, and so is what a member inflates to.
 
 Null html counts as an empty payload, a null url as no target. A null page_id is carried as such. Repeated rows are
 written once each; equal rows that hold the largest page_id are all responses. Other columns are not written.
@@ -15,6 +18,8 @@ written once each; equal rows that hold the largest page_id are all responses. O
 
 from __future__ import annotations
 
+import base64
+import contextlib
 import hashlib
 import re
 import zlib
@@ -32,6 +37,8 @@ FILE_RECORDS = 10_000
 BROADCAST_ROWS = 500_000
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 _START = re.compile(rb"(?:(?<=\n)|\A)WARC/1\.[01]\r?\n|\x1f\x8b\x08")
+_LINE = re.compile(rb"(?<=\n)WARC/1\.[01]\r?\n")
+_CHUNK = 1 << 16
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 
 
@@ -80,6 +87,37 @@ def _headers(raw: bytes) -> dict[str, str]:
     return out
 
 
+def _sha1_hex(digest: str) -> str | None:
+    """A declared SHA-1 as lower-case hex, or null if it is none: hex and base32, upper and lower case."""
+    kind, _, value = digest.partition(":")
+    if kind.strip().lower() != "sha1":
+        return None
+    value = value.strip()
+    if re.fullmatch("[0-9a-fA-F]{40}", value):
+        return value.lower()
+    return base64.b32decode(value.upper()).hex() if re.fullmatch("[A-Za-z2-7]{32}", value) else None
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    """The content of a body in chunked transfer coding, or null if it isn't such a body."""
+    out, at = [], 0
+    while size := re.compile(rb"([0-9a-fA-F]{1,8})[ \t]*(?:;[^\r\n]*)?\r\n").match(body, at):
+        n = int(size[1], 16)
+        if not n:
+            return b"".join(out)
+        out.append(body[size.end() : size.end() + n])
+        at = size.end() + n + 2
+    return None
+
+
+def _digest_holds(payload: bytes, want: str) -> bool:
+    """Writers take the digest of a chunked payload as it is or of its content."""
+    if hashlib.sha1(payload).hexdigest() == want:
+        return True
+    plain = _unchunked(payload)
+    return plain is not None and hashlib.sha1(plain).hexdigest() == want
+
+
 def parse_record(data: bytes, at: int) -> tuple[dict, int] | str:
     """The record at a place and the place after it, or why there is none."""
     if not _VERSION.match(data, at):
@@ -98,54 +136,89 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int] | str:
     if data[stop : stop + len(gap)] != gap and data[stop:].strip():
         return "record does not end"
     block = data[start:stop]
-    payload = block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
-    digest = head.get("warc-payload-digest", "")
-    if head["warc-type"] != "revisit" and digest.startswith("sha1:") and re.fullmatch("[0-9a-f]{40}", digest[5:]) and hashlib.sha1(payload).hexdigest() != digest[5:]:
+    http = block.startswith(b"HTTP/") or head.get("content-type", "").lower().startswith("application/http")
+    payload = block.partition(b"\r\n\r\n")[2] if http else block
+    want = None if head["warc-type"] == "revisit" else _sha1_hex(head.get("warc-payload-digest", ""))
+    if want and not _digest_holds(payload, want):
         return "payload digest differs"
-    return {"headers": head, "payload": payload, "offset": at}, min(len(data), stop + len(gap))
+    return {"headers": head, "payload": payload, "offset": at, "checked": want is not None}, min(len(data), stop + len(gap))
+
 
+def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What inflates of the member at a place, the place where that ends, and why it ends before the member does."""
+    view, inflate, out, place = memoryview(data), zlib.decompressobj(31), [], at
+    while place < len(data) and not inflate.eof:
+        before = inflate.copy()
+        try:
+            out.append(inflate.decompress(view[place : place + _CHUNK]))
+        except zlib.error as e:
+            # what the bytes before the error give is lost with the call that fails, so they are given one by one
+            with contextlib.suppress(zlib.error):
+                for place in range(place, min(len(data), place + _CHUNK)):  # noqa: B020
+                    out.append(before.decompress(view[place : place + 1]))
+            return b"".join(out), place, f"bad member: {e}"
+        place = min(len(data), place + _CHUNK)
+    return b"".join(out), place - len(inflate.unused_data), "" if inflate.eof else "member is cut off"
 
-def _member(data: bytes, at: int) -> tuple[bytes, int] | str:
-    inflate = zlib.decompressobj(31)
-    try:
-        out = inflate.decompress(data[at:]) + inflate.flush()
-    except zlib.error as e:
-        return f"bad member: {e}"
-    return (out, len(data) - len(inflate.unused_data)) if inflate.eof else "member is cut off"
+
+def _inner(data: bytes, error: str):
+    """Records and gaps of a member's bytes, as salvage() gives those of a file."""
+    at, bad, why = 0, None, ""
+    while at < len(data):
+        got = parse_record(data, at)
+        if not isinstance(got, str):
+            if bad is not None:
+                yield "gap", f"{why} (bytes {bad} to {at} of the member)"
+                bad = None
+            yield "record" if got[0]["checked"] or not error.startswith("bad") else "unverified", got[0]
+            at = got[1]
+            continue
+        if bad is None:
+            bad, why = at, got
+        step = _LINE.search(data, at + 1)
+        at = step.start() if step else len(data)
+    if bad is not None:
+        yield "gap", f"{why} (bytes {bad} to {len(data)} of the member)"
+    if error:
+        yield "gap", error
 
 
 def salvage(data: bytes):
-    """Yields ("record", record, start, end) and ("gap", reason, start, end), which together cover the file."""
+    """Yields ("record", record, start, end), ("unverified", record, start, end) and ("gap", reason, start, end), which together cover the file."""
     at, bad, why = 0, None, ""
+    held: list[tuple] = []  # of a damaged member, whose end is where the next valid one begins
+    held_at = inflated = 0
     while at < len(data):
-        found: list[dict] = []
+        found: list[tuple] = []
+        error = ""
         if data.startswith(b"\x1f\x8b", at):
-            member = _member(data, at)
-            reason, after = (member, at) if isinstance(member, str) else ("", member[1])
-            inner = 0
-            while not reason and inner < len(member[0]):
-                got = parse_record(member[0], inner)
-                if isinstance(got, str):
-                    reason = got
-                else:
-                    found.append(got[0])
-                    inner = got[1]
+            out, after, error = _member(data, at)
+            found = list(_inner(out, error))
+            valid = any(kind != "gap" for kind, _ in found)
+            reason = "" if valid or not found else error or found[0][1]
         else:
             got = parse_record(data, at)
             reason, after = (got, at) if isinstance(got, str) else ("", got[1])
-            found = [] if reason else [got[0]]
+            found = [] if reason else [("record", got[0])]
         if not reason:
+            yield from ((kind, what, held_at, at) for kind, what in held)
+            held = []
             if bad is not None:
                 yield "gap", why, bad, at
                 bad = None
-            for record in found:
-                yield "record", record, at, after
-            at = after
-            continue
-        if bad is None:
+            if not error:
+                yield from ((kind, what, at, after) for kind, what in found)
+                at = after
+                continue
+            held, held_at, inflated = found, at, after
+        elif bad is None and not held:
             bad, why = at, reason
+        # members may begin in what a damaged one took for its own; version lines there have been seen
         step = _START.search(data, at + 1)
+        while step and step.start() < inflated and step[0][:1] == b"W":
+            step = _START.search(data, step.end())
         at = step.start() if step else len(data)
+    yield from ((kind, what, held_at, len(data)) for kind, what in held)
     if bad is not None:
         yield "gap", why, bad, len(data)
 
@@ -154,7 +227,7 @@ READ = "file string, kind string, start long, end long, reason string, record_id
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record and one per quarantined gap of every file below path."""
+    """One row per record (or unverified record) and one per quarantined gap of every file below path."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def work(batches):
@@ -170,7 +243,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     else:
                         h = what["headers"]
                         length = h.get("x-payload-length", "")
-                        rows.append((file, kind, start, end, None, h.get("warc-record-id"), h["warc-type"], h.get("warc-target-uri"), h.get("warc-refers-to"), h.get("warc-payload-digest"), int(length) if length.isdigit() else None, what["payload"]))
+                        rows.append((file, kind, start, end, None if kind == "record" else "no digest to check in a damaged member", h.get("warc-record-id"), h["warc-type"], h.get("warc-target-uri"), h.get("warc-refers-to"), h.get("warc-payload-digest"), int(length) if length.isdigit() else None, what["payload"]))
                     if len(rows) >= 512:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                         rows = []

@@ -1,5 +1,6 @@
 """Training-data operators against brute force, on texts with every odd case."""
 
+import base64
 import gzip
 import hashlib
 import random
@@ -331,3 +332,52 @@ def test_salvage(zipped):
     gaps = [(s, e) for k, _, s, e in found if k == "gap"]
     assert gaps == [(len(parts[0]), len(parts[0]) + len(parts[1])), (sum(map(len, parts[:5])), len(data))]
     assert list(warc.salvage(b"")) == [] and [x[0] for x in warc.salvage(b"junk")] == ["gap"]
+
+
+def found_ids(data: bytes, kind: str = "record") -> list[int]:
+    return [int(x[1]["headers"]["warc-record-id"][10:-1]) for x in warc.salvage(data) if x[0] == kind]
+
+
+def test_salvage_within_a_member():
+    r = random.Random(5)
+    parts = [record(i, bytes(r.choices(b"abcdefghijklmnop", k=400))) for i in range(60)]
+    plain = b"".join(parts)
+    damaged = bytearray(plain)
+    damaged[sum(map(len, parts[:3])) + len(parts[3]) - 20] ^= 1
+    whole = gzip.compress(bytes(damaged))
+    # one damaged record costs that record only, and is logged
+    assert found_ids(whole) == [i for i in range(60) if i != 3]
+    gaps = [x for x in warc.salvage(whole) if x[0] == "gap"]
+    assert len(gaps) == 1 and gaps[0][1].startswith("payload digest differs") and gaps[0][2:] == (0, len(whole))
+    sound = gzip.compress(plain)
+    # a cut tail keeps what inflates, a wrong checksum everything that a digest confirms; the member that follows is read
+    cut = sound[: len(sound) // 2]
+    kept = found_ids(cut)
+    assert kept == list(range(len(kept))) and 20 < len(kept) < 40
+    assert found_ids(cut + gzip.compress(record(99, b"next"))) == [*kept, 99]
+    assert [x[1] for x in warc.salvage(cut) if x[0] == "gap"][-1] == "member is cut off"
+    crc = bytearray(sound)
+    crc[-8] ^= 1
+    assert found_ids(bytes(crc)) == list(range(60))
+    bad = bytearray(sound)
+    bad[len(sound) // 2 : len(sound) // 2 + 4] = b"\xff\xff\xff\xff"
+    assert set(range(20)) <= set(found_ids(bytes(bad)))
+    # without a digest nothing confirms a record of a damaged member
+    bare = bytearray(gzip.compress(plain.replace(b"WARC-Payload-Digest: sha1:", b"X: ")))
+    bare[-8] ^= 1
+    assert found_ids(bytes(bare)) == [] and found_ids(bytes(bare), "unverified") == list(range(60))
+    stored = bytearray(gzip.compress(plain, 0))
+    stored[-8] ^= 1
+    assert found_ids(bytes(stored)) == list(range(60))
+
+
+@pytest.mark.parametrize("form", [lambda d: base64.b32encode(d).decode(), lambda d: base64.b32encode(d).decode().lower(), lambda d: d.hex().upper()])
+def test_salvage_checks_all_forms_of_a_digest(form):
+    def one(i, payload, body, kind="response"):
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Payload-Digest: sha1:{form(hashlib.sha1(payload).digest())}\r\nContent-Type: application/http; msgtype={kind}\r\nContent-Length: {len(body)}\r\n\r\n"
+        return head.encode() + body + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    data = one(1, b"abc", http + b"abc") + one(2, b"abc", http + b"abd") + one(3, b"", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "request") + one(4, b"abcde", http + b"3\r\nabc\r\n2\r\nde\r\n0\r\n\r\n")
+    assert found_ids(data) == [1, 3, 4]
+    assert [x[1] for x in warc.salvage(data) if x[0] == "gap"] == ["payload digest differs"]
