@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bfd_packing, config_packing, decontamination, embedding_dedup, langid, license_scan, near_dedup, secret_scan, substring_dedup, warc
-from .common import read
+from .common import materialize, read
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return substring_dedup.digest(materialize(substring_dedup.kept_texts(read(spark, sf_dir, "documents")), "kept"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,17 +10,16 @@ windows have equal anchors at equal places, and an anchor serves a run of up to
 3. The open suffixes are grouped by prefix. In each group a tree grows word by word to the right of the prefix, then to
    the left; branches of a single document end. Nodes at depth WINDOW with several documents are the repeats.
    A prefix with more than GROUP suffixes is lengthened to the whole window, which a plain aggregation counts.
-4. The windows found are joined to their documents, whose covered words go.
+4. The windows found are joined to their documents, whose covered words go: kept_texts() returns the text that stays and the
+   ranges of words that went; remove_repeats() is a digest of it.
 
 Words are runs of other bytes than ASCII white space, compared by 64-bit hashes of each word and of its neighbours. Null
 text has no words. Rows with a null doc_id lose nothing and take nothing away. Rows that share a doc_id are one document
-(with one text); none makes the other lose words. Other columns are not read.
+(with one text); none makes the other lose words. Kept words are joined by single blanks. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -159,18 +158,19 @@ def _repeated(group: int):
 
 
 def _split_rows(batches):
-    """(doc_id, text, found) to final rows of documents without repeats; the others keep their text and what was found."""
+    """(doc_id, text, found) to rows with the words of documents without repeats; the others keep their text and what was found."""
     for whole in batches:
         for k in range(0, whole.num_rows, 1024):
             batch = whole.slice(k, 1024)
             data, offsets = utf8(batch.column(1))
-            plain = np.asarray(batch.column(2).is_null())
-            counts, sums = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
+            texts = batch.column(1).is_valid()
+            plain = np.asarray(batch.column(2).is_null()) & np.asarray(texts)
+            counts, kept = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
             for i in np.flatnonzero(plain):
                 words = data[offsets[i] : offsets[i + 1]].tobytes().split()
-                counts[i], sums[i] = len(words), hashlib.sha256(b" ".join(words)).hexdigest()
+                counts[i], kept[i] = len(words), b" ".join(words)
             text = batch.column(1).take(pa.array(np.arange(batch.num_rows), mask=plain))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(sums, pa.string()), text, batch.column(2)], ["doc_id", "n_words", "kept_sha256", "text", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(kept, pa.binary()).cast(pa.string()), text, batch.column(2)], ["doc_id", "n_words", "kept", "text", "found"])
 
 
 def _open_suffixes(frequent: bool):
@@ -270,7 +270,7 @@ def _grow_trees(batches):
 
 
 def _keep_rest(batches):
-    """(doc_id, text, found, more) to final rows."""
+    """(doc_id, text, found, more) to (doc_id, n_words, kept, removed)."""
     for batch in (whole.slice(k, 1024) for whole in batches for k in range(0, whole.num_rows, 1024)):
         data, offsets = utf8(batch.column(1))
         found, more = batch.column(2), batch.column(3)
@@ -278,7 +278,7 @@ def _keep_rest(batches):
         first, n, at = (np.asarray(rows.field(x)).astype(np.int64) for x in ("first", "n", "at"))
         late, m_cut = np.asarray(more.flatten()).astype(np.int64), np.asarray(more.offsets)
         f_cut, m_cut = f_cut - f_cut[0], m_cut - m_cut[0]
-        total, removed, sums = [], [], []
+        total, removed, kept = [], [], []
         for r in range(batch.num_rows):
             words = data[offsets[r] : offsets[r + 1]].tobytes().split()
             sure = np.arange(f_cut[r], f_cut[r + 1])
@@ -289,13 +289,18 @@ def _keep_rest(batches):
             np.add.at(change, np.minimum(np.concatenate((first[sure] + n[sure] + WINDOW - 1, alone + WINDOW)), len(words)), -1)
             covered = np.cumsum(change[:-1]) > 0
             total.append(len(words))
-            removed.append(int(covered.sum()))
-            sums.append(hashlib.sha256(b" ".join(w for w, c in zip(words, covered.tolist(), strict=True) if not c)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sums, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], covered, [0])))).tolist()
+            removed.append([{"start": i, "end": j} for i, j in zip(edge[::2], edge[1::2], strict=True)])
+            kept.append(b" ".join(w for w, c in zip(words, covered.tolist(), strict=True) if not c))
+        ranges = pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), ranges], ["doc_id", "n_words", "kept", "removed"])
 
 
-def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every row."""
+RANGES = "array<struct<start:int,end:int>>"
+
+
+def kept_texts(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """doc_id, n_words, kept (the text that stays, null for a null text), removed (ranges [start, end) of words, in order) of every row."""
     spark = docs.sparkSession
     docs = bound_batches(docs).select("doc_id", "text")
     parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -304,7 +309,7 @@ def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     per_doc = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "at")).alias("found"))
     joined = docs.join(per_doc, "doc_id", "left").select("doc_id", "text", "found")
     found = "array<struct<first:int,n:int,at:int>>"
-    split = materialize(joined.mapInArrow(_split_rows, f"doc_id long, n_words long, kept_sha256 string, text string, found {found}"), "split")
+    split = materialize(joined.mapInArrow(_split_rows, f"doc_id long, n_words long, kept string, text string, found {found}"), "split")
     touched = split.filter("found IS NOT NULL").select("doc_id", "text", "found")
 
     suffixes = touched.filter("exists(found, x -> x.at >= 0)").mapInArrow(_open_suffixes(False), "prefix binary, doc_id long, at int, left int, words binary")
@@ -314,6 +319,17 @@ def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     whole = windows.join(lowest, ["a", "b"]).filter("doc_id > low").select("doc_id", "first")
     more = in_trees.unionByName(whole).groupBy("doc_id").agg(F.collect_list("first").alias("more"))
     rest = touched.join(more, "doc_id", "left").select("doc_id", "text", "found", F.coalesce("more", F.array().cast("array<int>")).alias("more"))
-    removed = rest.mapInArrow(_keep_rest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    clean = split.filter("found IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
-    return clean.unionByName(removed)
+    cut = rest.mapInArrow(_keep_rest, f"doc_id long, n_words long, kept string, removed {RANGES}")
+    clean = split.filter("found IS NULL").select("doc_id", "n_words", "kept", F.array().cast(RANGES).alias("removed"))
+    return clean.unionByName(cut)
+
+
+def digest(texts: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of the rows of kept_texts()."""
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return texts.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2(F.encode(F.coalesce("kept", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
+def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """The digest of what stays of every row."""
+    return digest(kept_texts(docs, group))

@@ -112,6 +112,19 @@ def test_substring_dedup(docs, empty, group):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("group", [1, 2000])
+def test_substring_dedup_returns_texts_and_ranges(docs, empty, group):
+    texts = {(i, t): (t or "").split() for i, t, *_ in corpus() if i not in (8, 14, 15)}
+    got = substring_dedup.kept_texts(docs.filter("doc_id IS NULL OR doc_id NOT IN (8, 14, 15)"), group).collect()
+    ranges = {r.doc_id: [tuple(x) for x in r.removed] for r in got}
+    assert ranges[2] == [(0, 300)] and ranges[3] == [(0, 50), (51, 200), (201, 300)] and ranges[11] == [(0, 40)] and ranges[12] == [(60, 100)]
+    assert ranges[1] == ranges[10] == ranges[None] == ranges[4] == []
+    kept = {(r.doc_id, r.kept) for r in got}
+    want = {(i, None if t is None else " ".join(w for k, w in enumerate(x) if not any(a <= k < b for a, b in ranges[i]))) for (i, t), x in texts.items()}
+    assert kept == want and all(r.n_words == len((dict(texts.keys())[r.doc_id] or "").split()) for r in got)
+    assert substring_dedup.kept_texts(empty).count() == 0
+
+
 def test_language_spans(spark, docs, empty):
     r = random.Random(1)
     lexicon = {"en": ["the", "house", "with", "there", "thing"], "it": ["della", "casa", "perché", "zione", "quello"], "ru": ["слово", "дом", "когда", "человек"]}
