@@ -9,20 +9,39 @@ from ..functions import columns as C
 from ..schemas import CHECKS
 
 
-def judge_inputs(texts: DataFrame, max_chars: int, text: str = "content") -> DataFrame:
-    """texts(request_id, message_index, role, content) cut into slices of max_chars code points, with the checkpoint they were captured at."""
+#: Place of a reply's text, after all messages.
+REPLY_INDEX = 2**31 - 1
+
+
+def call_texts(views: DataFrame) -> DataFrame:
+    """views(request_id, view) of replies' tool calls as texts for judge_inputs."""
+    return views.select("request_id", F.lit(REPLY_INDEX).alias("message_index"), F.lit("assistant").alias("role"), F.col("view").alias("content"), F.lit("tool_call").alias("captured_at"))
+
+
+def judge_inputs(texts: DataFrame, max_chars: int, text: str = "content", requests: DataFrame | None = None) -> DataFrame:
+    """texts(request_id, message_index, role, content) cut into slices of max_chars code points, with checkpoint and context.
+
+    A captured_at of the texts' own (as of call_texts) goes before the role's. The context is what the judge is told beside
+    the text: the role and the tools that the request offers, by requests(request_id, tools); none without it. Inputs are
+    the same if checkpoint, context and text are.
+    """
     at = F.when(F.col("role") == "tool", "tool_result").when(F.col("role") == "assistant", "output").otherwise("input")
-    rows = texts.filter(F.length(text) > 0).withColumn("captured_at", at)
+    rows = texts.filter(F.length(text) > 0).withColumn("captured_at", F.coalesce("captured_at", at) if "captured_at" in texts.columns else at)
+    tools = F.lit("none")
+    if requests is not None:
+        rows = rows.join(requests.select("request_id", F.array_join("tools", ", ").alias("offered")), "request_id", "left")
+        tools = F.coalesce(F.nullif("offered", F.lit("")), tools)
+    rows = rows.withColumn("context", F.concat(F.lit("message role: "), "role", F.lit("; offered tools: "), tools))
     pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / max_chars).cast("int")), lambda i: F.substr(text, i * max_chars + 1, F.lit(max_chars)))
-    cut = rows.select("request_id", "message_index", "captured_at", F.posexplode(pieces).alias("chunk", "text"))
-    return cut.withColumn("input_key", F.sha2(F.concat_ws("\u0000", "captured_at", "text"), 256))
+    cut = rows.select("request_id", "message_index", "captured_at", "context", F.posexplode(pieces).alias("chunk", "text"))
+    return cut.withColumn("input_key", F.sha2(F.concat_ws("\u0000", "captured_at", F.sha2("context", 256), "text"), 256))
 
 
 def plan_judging(inputs: DataFrame, verdicts: DataFrame, max_calls: int) -> tuple[DataFrame, DataFrame]:
     """(distinct inputs still to be judged, requests that need more than max_calls new ones and so fail)."""
     new = inputs.join(verdicts.select("input_key"), "input_key", "left_anti")
     per_request = new.select("request_id", "input_key").distinct().groupBy("request_id").agg(F.count("*").alias("new_inputs"))
-    return new.dropDuplicates(["input_key"]).select("input_key", "captured_at", "text"), per_request.filter(F.col("new_inputs") > max_calls)
+    return new.dropDuplicates(["input_key"]).select("input_key", "captured_at", "context", "text"), per_request.filter(F.col("new_inputs") > max_calls)
 
 
 def check_judge(inputs: DataFrame, verdicts: DataFrame, threshold: float) -> DataFrame:

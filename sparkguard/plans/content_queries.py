@@ -80,7 +80,8 @@ keyed AS (SELECT *, sha256(captured_at || chr(0) || text) AS input_key FROM inpu
 
 
 def _inputs(spark: SparkSession, d: str) -> DataFrame:
-    return decisions.judge_inputs(V.messages(spark, d), 200)
+    """The operator's inputs under the key of the SQL, which leaves the context out."""
+    return decisions.judge_inputs(V.messages(spark, d), 200).withColumn("input_key", F.sha2(F.concat_ws("\u0000", "captured_at", "text"), 256))
 
 
 def _verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -88,8 +89,8 @@ def _verdicts(spark: SparkSession, d: str) -> DataFrame:
     return _inputs(spark, d).dropDuplicates(["input_key"]).select("input_key", score.alias("score"), F.lit("judged").alias("reason"), F.when(F.length("text") % 2 == 0, F.array(F.lit("spam"))).otherwise(F.array().cast("array<string>")).alias("categories"))
 
 
-query("judge_inputs", f"WITH {_INPUTS} SELECT request_id, message_index, captured_at, chunk, input_key FROM keyed")(lambda s, d: _inputs(s, d).drop("text"))
-query("judge_plan", f"WITH {_INPUTS} SELECT DISTINCT input_key, captured_at FROM keyed WHERE length(text) % 97 >= 50")(lambda s, d: decisions.plan_judging(_inputs(s, d), _verdicts(s, d).filter("score < 0.5"), 8)[0].drop("text"))
+query("judge_inputs", f"WITH {_INPUTS} SELECT request_id, message_index, captured_at, chunk, input_key FROM keyed")(lambda s, d: _inputs(s, d).drop("context", "text"))
+query("judge_plan", f"WITH {_INPUTS} SELECT DISTINCT input_key, captured_at FROM keyed WHERE length(text) % 97 >= 50")(lambda s, d: decisions.plan_judging(_inputs(s, d), _verdicts(s, d).filter("score < 0.5"), 8)[0].drop("context", "text"))
 query("judge_over_limit", f"WITH {_INPUTS} SELECT request_id, count(DISTINCT input_key) AS new_inputs FROM keyed WHERE length(text) % 97 >= 50 GROUP BY 1 HAVING count(DISTINCT input_key) > 2")(lambda s, d: decisions.plan_judging(_inputs(s, d), _verdicts(s, d).filter("score < 0.5"), 2)[1])
 query(
     "judge_verdicts",
