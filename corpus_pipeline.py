@@ -13,13 +13,22 @@ from sparkguard.llm import config_packing, decontamination, langid, near_dedup,
 from sparkguard.llm.common import materialize, read
 
 
+#: Share of a document's letters (by their UTF-8 bytes, as label_spans() scores) that the spans of one language hold at least.
+MIN_SCORE = 0.5
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which no language is found: null or empty text, or no letter."""
+    """Drop documents without a letter, and those in which no language holds MIN_SCORE of the letters.
+
+    Null and empty texts have no letter. Where no row has a label to learn from, all documents with a letter stay.
+    """
     model = langid.train(docs.filter(~langid.held_out()))
+    if not model.labels:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # so that no column clashes with the operator's
     found = langid.label_spans(plain, model, text=f"c{names.index('text')}", keep=tuple(plain.columns))
-    return found.filter("lang_pred <> 'und'").select(plain.columns).toDF(*names)
+    return found.filter(F.expr("lang_pred <> 'und'") & (F.col("score") >= MIN_SCORE)).select(plain.columns).toDF(*names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """The pipeline's stages on a small corpus, and its queries against SQL."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkguard.llm import queries
+from sparkguard.llm import langid, queries
 from tests.oracle import canonical, connect
 
 from .test_operators import words
@@ -32,6 +35,21 @@ def test_stages(spark, tmp_path):
             assert "0123456789abcdef" not in hidden.text and hidden.n_chars == len(hidden.text)
 
 
+def test_language_stage_decides_by_spans(spark, tmp_path):
+    r = random.Random(1)
+    lexicon = {"en": ["the", "house", "with", "there", "thing"], "it": ["della", "casa", "perché", "zione", "quello"], "ru": ["слово", "дом", "когда", "человек"]}
+    text = lambda k, n: " ".join(r.choice(lexicon[k]) for _ in range(n))
+    rows = [(i, text(k, 60), k) for i, k in enumerate(["en", "it", "ru"] * 20)]
+    rows += [(100, text("en", 40) + " " + text("it", 35) + " " + text("ru", 15), None), (101, text("en", 40) + " " + text("it", 10), None), (102, "12 !", None), (103, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = lambda d: {x.doc_id for x in corpus_pipeline.identify_language(spark, d, str(tmp_path)).collect()}
+    # 100 has letters, but no language that holds half of them
+    assert kept(docs) == {*range(60), 101}
+    # nothing to learn from: no label at all, or only in held-out rows
+    assert kept(docs.withColumn("lang", F.lit(None).cast("string"))) == {*range(60), 100, 101}
+    assert kept(docs.withColumn("lang", F.when(langid.held_out(), F.col("lang")))) == {*range(60), 100, 101}
+
+
 def test_run_equals_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     rows = out.collect()
