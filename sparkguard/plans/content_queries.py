@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import corpus, decisions, retrieval, scans
+from ..operators import corpus, decisions, retrieval, scans, tool_args
 from . import sql as S
 from . import views as V
 
@@ -44,31 +44,59 @@ _MATCH = " ".join(f"""WHEN regexp_matches(text, '{"" if s[4] else "(?i)"}{s[3]}'
 query("scan_signatures", f"SELECT 'd' || doc_id AS request_id, 'block' AS verdict, regexp_extract(r, '\\(([^()]+)\\):', 1) AS category, r AS reason FROM (SELECT doc_id, CASE {_MATCH} END AS r FROM documents) WHERE r IS NOT NULL")(lambda s, d: scans.scan_signatures(_texts(s, d), FEED))
 query("text_forms", "SELECT 'd' || doc_id AS request_id FROM documents")(lambda s, d: scans.text_forms(_texts(s, d)).filter("size(forms) > 0").select("request_id"))
 
-#: (name, arguments, what the scan must say)
-_CALLS = [
-    ("run_shell", '{"command": "ls -la"}', None),
-    ("run_shell", '{"command": "rm -rf /tmp/x"}', "run_shell.command: shell: rm -rf"),
-    ("run_sql", '{"q": {"text": ["select 1", "DELETE FROM users"]}}', "run_sql.q.text[1]: sql: DELETE without WHERE"),
-    ("read_file", '{"path": "/etc/hosts"}', "read_file.path: path_traversal: absolute path outside allowed root"),
-    ("read_file", '{"path": "/workspace/a.txt"}', None),
-    ("http_get", '{"url": "http://h/%252e%252e%252fsecret"}', "http_get.url: path_traversal: url-encoded traversal"),
-    ("load", '{"code": "x = pickle.loads(data)"}', "load.code: deserialization: pickle.load"),
-    ("run_sql", '{"q": "select name from t where id = 1 or 1=1"}', "run_sql.q: sql: OR tautology"),
-    ("query_customers", '{"name": "O\'Neil, see drop box"}', None),
-]
+_K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"
 
 
-def _dangerous_calls(spark: SparkSession, d: str) -> DataFrame:
-    pick = lambda i: F.element_at(F.array(*[F.lit(c[i]) for c in _CALLS]), (F.col("event_id") % len(_CALLS) + 1).cast("int"))
-    return V.read(spark, d, "events").select(F.concat(F.lit("r"), (F.col("event_id") / 3).cast("long")).alias("request_id"), F.col("event_id").alias("position"), pick(0).alias("name"), pick(1).alias("arguments"))
+def _event_calls(spark: SparkSession, d: str) -> DataFrame:
+    """One call per event, of six kinds, with arguments made of the event's columns."""
+    k, u, kind = F.regexp_extract("props", "([0-9]+)", 1).cast("long"), F.col("user_id"), F.col("event_type")
+    text = lambda c: c.cast("string")
+    each = [
+        ("run_shell", "command", F.concat(F.lit("rm "), kind, F.repeat(F.lit("x"), (k * 30).cast("int")), F.when(u % 3 == 0, " -fr").otherwise(" -f"), F.lit(" /tmp/"), text(u))),
+        ("run_sql", "query", F.concat(F.lit("DELETE /* "), kind, F.lit(" */ FROM t WHERE "), text(u % 4), F.lit(" = "), text(k % 4))),
+        ("read_file", "path", F.concat(F.lit("/workspace/"), kind, F.when(k % 3 == 0, "/%2e%2E/").otherwise("/a/"), text(u))),
+        ("note", "text", F.concat(kind, F.lit(" | "), F.when(k % 3 == 0, "python3").when(k % 3 == 1, "pythonic").otherwise("sort"), F.lit(" "), text(u))),
+        ("load", "code", F.concat(F.lit("yaml.load("), F.repeat(F.lit("f("), (k % 7).cast("int")), F.lit("x"), F.repeat(F.lit(")"), (k % 7).cast("int")), F.when(u % 2 == 0, ", Loader=SafeLoader)").otherwise(")"))),
+        ("read_file", "path", F.concat(F.lit("/workspace"), F.when(k % 2 == 0, "/").otherwise("2/"), text(u), F.lit("/./b"))),
+    ]
+    pick = lambda f: F.element_at(F.array(*map(f, each)), (F.col("event_id") % len(each) + 1).cast("int"))
+    arguments = F.concat(F.lit('{"'), pick(lambda x: F.lit(x[1])), F.lit('": "'), pick(lambda x: x[2]), F.lit('"}'))
+    # rows of one file are spread, as what is made of them is much larger than they are
+    rows = V.read(spark, d, "events").select("event_id", "user_id", "event_type", "props").repartition(spark.sparkContext.defaultParallelism)
+    return rows.select(F.concat(F.lit("r"), (F.col("event_id") / 3).cast("long")).alias("request_id"), F.col("event_id").alias("position"), pick(lambda x: F.lit(x[0])).alias("name"), arguments.alias("arguments"))
 
 
-_EXPECTED = ", ".join("NULL" if c[2] is None else "'" + c[2] + "'" for c in _CALLS)
 query(
     "check_tool_args",
-    f"""WITH c AS (SELECT 'r' || (event_id // 3) AS request_id, event_id, [{_EXPECTED}][CAST(event_id % {len(_CALLS)} + 1 AS INTEGER)] AS hit FROM events)
+    f"""WITH e AS (SELECT event_id, event_id % 6 AS kind, event_type, user_id AS u, {_K} AS k FROM events),
+  c AS (SELECT 'r' || (event_id // 3) AS request_id, event_id, CASE
+    WHEN kind = 0 AND length('rm ' || event_type || repeat('x', CAST(k * 30 AS INT)) || CASE WHEN u % 3 = 0 THEN ' -fr' ELSE ' -f' END || ' /tmp/' || u) > 2000 THEN 'run_shell.command: shell: command too long to inspect'
+    WHEN kind = 0 AND u % 3 = 0 THEN 'run_shell.command: shell: rm -rf'
+    WHEN kind = 1 AND u % 4 = k % 4 THEN 'run_sql.query: sql: DELETE without WHERE'
+    WHEN kind = 2 AND k % 3 = 0 THEN 'read_file.path: path_traversal: url-encoded traversal'
+    WHEN kind = 3 AND k % 3 = 0 THEN 'note.text: shell: pipe to shell or interpreter'
+    WHEN kind = 4 AND u % 2 = 1 THEN 'load.code: deserialization: yaml.load without SafeLoader'
+    WHEN kind = 5 AND k % 2 = 1 THEN 'read_file.path: path_traversal: absolute path outside allowed root' END AS hit FROM e)
   SELECT request_id, CASE WHEN count(hit) = 0 THEN 'allow' ELSE 'block' END AS verdict, coalesce(arg_min(hit, event_id) FILTER (WHERE hit IS NOT NULL), 'no dangerous arguments in ' || count(*) || ' tool call(s)') AS reason FROM c GROUP BY 1""",
-)(lambda s, d: scans.check_tool_args(_dangerous_calls(s, d), "/workspace"))
+)(lambda s, d: tool_args.check_tool_args(_event_calls(s, d), "/workspace"))
+
+
+def _document_args(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts as arguments: of a shell tool for even ids, of a note that pads a deletion for odd ones."""
+    even = F.col("doc_id") % 2 == 0
+    value = F.when(even, F.coalesce("text", F.lit(""))).otherwise(F.concat(F.lit("rm "), F.coalesce("text", F.lit("")), F.lit(" -rf x")))
+    return V.read(spark, d, "documents").select("doc_id", F.when(even, "run_shell").otherwise("note").alias("name"), F.when(even, "command").otherwise("text").alias("key"), value.alias("value"))
+
+
+query(
+    "scan_document_args",
+    r"""WITH v AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '\$[0-9@*]|\$[''"]|[\\''"]', '', 'g'), '[ \t\r\f\v]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents),
+  r AS (SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN CASE WHEN NOT regexp_matches(t, '[;&|\n]') THEN 'rm -rf' WHEN regexp_matches(t, '(^|[^\p{L}\p{N}_.-])(remove-item|ri|rd|rmdir|del|erase) [^;&|\n]*$') THEN 'Remove-Item -Recurse' END
+    WHEN list_max(list_transform(regexp_split_to_array(t, '[;&|\n]'), lambda x: length(x))) > 2000 THEN 'command too long to inspect'
+    WHEN regexp_matches(t, '(^|[^\p{L}\p{N}_./-])(sudo|doas|su)($|[^\p{L}\p{N}_./-])') THEN 'sudo' WHEN contains(t, '$(') THEN 'command substitution $(' WHEN contains(t, '`') THEN 'command substitution `'
+    WHEN contains(t, '&&') THEN 'command chaining &&' WHEN contains(t, '||') THEN 'command chaining ||' WHEN contains(t, ';') THEN 'command chaining ;' WHEN contains(t, '&') THEN 'background &' WHEN contains(t, chr(10)) THEN 'command chaining newline' END AS rule FROM v)
+  SELECT doc_id, CASE WHEN rule IS NOT NULL THEN 'shell' END AS category, rule FROM r""",
+)(lambda s, d: tool_args.scan_args(tool_args.arg_hints(_document_args(s, d))).select("doc_id", "category", "rule"))
 query("find_pii")(lambda s, d: scans.find_pii(_texts(s, d)).select("request_id", F.size("spans").alias("n_spans"), F.sha2("redacted", 256).alias("redacted_sha256")))
 query("find_pii_pages")(lambda s, d: scans.find_pii(V.read(s, d, "pages"), "html").select("page_id", F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",").alias("spans")))
 
