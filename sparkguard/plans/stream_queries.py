@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from ..streaming import jobs
 from . import sql as S
 from . import views as V
@@ -18,8 +15,7 @@ ORACLES: dict[str, str] = {}
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_dir(spark, "stream")
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,9 +42,8 @@ def stream_session_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_live_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = jobs.run_once(jobs.live_turns(_stream(spark, sf_dir).withWatermark("ts_utc", jobs.WATERMARK)), _folder(spark), "update")
-    last = out.groupBy("request_id").agg(F.max_by(F.struct("state", "pre_ms", "model_ms", "post_ms"), "epoch").alias("t"))
-    return V.rounded(last.select("request_id", "t.*"))
+    out = jobs.run_once(jobs.live_turns(_stream(spark, sf_dir).withWatermark("ts_utc", jobs.WATERMARK)), _folder(spark), "update", keys=("request_id",))
+    return V.rounded(out.select("request_id", "state", "pre_ms", "model_ms", "post_ms"))
 
 
 def stream_rolling_budget(spark: SparkSession, sf_dir: str) -> DataFrame:

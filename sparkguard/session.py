@@ -1,8 +1,9 @@
-"""Making the library importable in Python workers."""
+"""Making the library importable in Python workers, and folders for what jobs write between their stages."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,3 +24,16 @@ def ship(spark: SparkSession) -> None:
             archive.write(path, path.relative_to(root.parent))
     context.addPyFile(str(target))
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which the driver and all executors share.
+
+    Where that is unset, a local master (tests) gets a temporary folder; a cluster has none that all machines see.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.gettempdir() + "/checkpoints"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -6,6 +6,7 @@ watermark or timer; use the RocksDB state store for large key sets.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import columns as C
-from ..operators import scans
+from ..operators import scans, tool_args
 from ..schemas import AUDIT, TURN_SUMMARY
 from ..sources.audit import derive
 
@@ -91,31 +92,40 @@ def _turn(request_id, first, state, pre, model, post, strength) -> pd.DataFrame:
 
 
 def rolling_budget(requests: DataFrame, per_minute: int) -> DataFrame:
-    """requests(caller_id, id, ts_utc) with verdicts; only allowed ones of the last 60 s count. State: their times."""
+    """requests(caller_id, id, ts_utc) with verdicts; only allowed ones of the last 60 s count. State: their times.
+
+    A batch is judged in the order of time; a request that comes in a later batch than a younger one is judged when it comes.
+    """
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        recent = list(state.get[0]) if state.exists else []
+        recent = deque(state.get[0] if state.exists else ())
         rows = pd.concat(list(parts)).sort_values(["ts_utc", "id"])
         verdicts = []
         for r in rows.itertuples():
             now = r.ts_utc.value // 1000
-            recent = [t for t in recent if t > now - 60_000_000]
+            while recent and recent[0] <= now - 60_000_000:
+                recent.popleft()
             verdicts.append("block" if len(recent) >= per_minute else "allow")
             if verdicts[-1] == "allow":
                 recent.append(now)
-        state.update((recent,))
+        state.update((list(recent),))
         state.setTimeoutTimestamp(max((recent[-1] if recent else 0) // 1000, state.getCurrentWatermarkMs()) + 120_000)
         yield pd.DataFrame({"caller_id": rows.caller_id, "id": rows.id, "verdict": verdicts})
 
     return requests.select("caller_id", "id", "ts_utc").groupBy("caller_id").applyInPandasWithState(fold, "caller_id string, id long, verdict string", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def guard_scan(texts: DataFrame, types: tuple[str, ...] = scans.PII_TYPES) -> DataFrame:
-    """Arriving texts with redactions; stateless."""
-    return scans.find_pii(texts, types=types)
+def guard_scan(texts: DataFrame, feed: list[tuple] = (), types: tuple[str, ...] = scans.PII_TYPES) -> DataFrame:
+    """Arriving texts with redactions and the feed's first signature that matches (null: none); stateless."""
+    return scans.match_signatures(scans.find_pii(texts, types=types), list(feed))
+
+
+def guard_calls(calls: DataFrame, allowed_root: str | None = None, max_command_chars: int = 2000) -> DataFrame:
+    """The string arguments of arriving tool calls with the first shell, SQL, path or deserialization rule that holds; stateless."""
+    return tool_args.scan_args(tool_args.arg_hints(tool_args.explode_args(calls)), allowed_root, max_command_chars)
 
 
 def each_batch_with_feed(texts: DataFrame, load_feed: Callable[[], list[tuple]], write: Callable[[DataFrame, int], None]):
@@ -149,12 +159,24 @@ def snapshots(rows: DataFrame, path: str, seconds: int = 5):
     return rows.writeStream.foreachBatch(run).trigger(processingTime=f"{seconds} seconds")
 
 
-def run_once(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and read its result; in update mode the last row of each key's batch stays."""
+def run_once(stream: DataFrame, path: str, mode: str = "append", keys: tuple[str, ...] = (), trigger: dict | None = None) -> DataFrame:
+    """Run a stream over what is there now and read its result: in complete mode that of the last batch, in update mode the last row of each key.
+
+    Every batch has a folder of its own, which a batch that is run again replaces.
+    """
     spark = stream.sparkSession
+    started = stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(**(trigger or {"availableNow": True}))
     if mode == "append":
-        query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        query = started.format("parquet").option("path", f"{path}/out").start()
     else:
-        query = stream.writeStream.foreachBatch(lambda b, e: b.withColumn("epoch", F.lit(e)).write.mode("append").parquet(f"{path}/out")).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        query = started.foreachBatch(lambda b, e: b.write.mode("overwrite").parquet(f"{path}/out/epoch={e}")).outputMode(mode).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+    if not query.lastProgress and mode != "append":
+        return spark.createDataFrame([], stream.schema)
+    out = spark.read.parquet(f"{path}/out")
+    if mode == "complete":
+        return out.filter(F.col("epoch") == out.agg(F.max("epoch")).first()[0]).drop("epoch")
+    if keys:
+        last = out.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "epoch").alias("row"))
+        return last.select("row.*")
+    return out

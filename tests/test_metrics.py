@@ -1,5 +1,7 @@
 """Metrics of hand-made audit rows with known results."""
 
+from collections import Counter
+
 import pytest
 
 from sparkguard.operators import metrics as M
@@ -8,34 +10,32 @@ from sparkguard.schemas import AUDIT
 from sparkguard.sources import audit as A
 
 DAY = "2026-10-03T"
-CHECKS = [  # request, caller, time, checkpoint, check, action, latency, decided_by, tokens, cost, policy
-    ("r1", "anonymous", "12:00:05", "input", "permissions", "allow", 0.5, "rules", 0, 0.0, "0.1"),
-    ("r1", "anonymous", "12:00:05.5", "input", "jev", "allow", 100.0, "jev", 0, 0.0, "0.1"),
-    ("r1", "anonymous", "12:00:06", "output", "pii_secrets", "allow", 1.0, "rules", 1000, 0.5, "0.1"),
-    ("r1", "anonymous", "12:00:06", "output", "jev", "allow", 50.0, "fallback", 1000, 0.5, "0.1"),
-    ("r2", "anonymous", "12:00:40", "tool_result", "loop_detection", "allow", 0.25, "rules", 0, 0.0, "0.1"),
-    ("r2", "anonymous", "12:00:40", "tool_result", "pii_secrets", "redact", 2.0, "rules", 0, 0.0, "0.1"),
-    ("r2", "anonymous", "12:00:41", "output", "pii_secrets", "allow", 0.75, "rules", 500, 0.25, "0.1"),
-    ("r3", "support", "12:01:10", "input", "permissions", "allow", 0.5, "rules", 0, 0.0, "0.1"),
-    ("r3", "support", "12:01:10", "input", "jev", "allow", 200.0, "jev", 0, 0.0, "0.1"),
-    ("r3", "support", "12:01:11", "tool_call", "permissions", "block", 0.5, "rules", 300, 0.0, "0.1"),
-    ("r4", "anonymous", "12:01:30", "input", "signatures", "flag", 1.0, "rules", 0, 0.0, "0.2"),
-    ("r4", "anonymous", "12:01:31", "output", "pii_secrets", "allow", 0.25, "rules", 100, 0.0, "0.2"),
-    (None, None, "11:59:00", None, "policy_loaded", "allow", 0.0, "rules", 0, 0.0, "0.1"),
-    (None, None, "12:01:20", None, "policy_loaded", "allow", 0.0, "rules", 0, 0.0, "0.2"),
-    (None, None, "12:00:30", None, "auth_failed", "block", 0.1, "rules", 0, 0.0, "0.1"),
-    ("r5", "anonymous", "12:01:40", "input", "upstream_unavailable", "block", 5.0, "rules", 0, 0.0, "0.2"),
-]
+_NAMES = ("permissions", "signatures", "pii_secrets", "jev", "loop_detection")
+_PLACES = ("input", "output", "tool_result", "tool_call")
+_ACTIONS = ("allow", "allow", "redact", "allow", "flag", "allow", "block")
+
+
+def _made(i: int) -> tuple:
+    """Row i: request, caller, time, checkpoint, check, action, latency, decided_by, tokens, cost, policy; every sixth is a system event."""
+    time, policy = f"09:{i // 9:02d}:{i * 7 % 60:02d}", "p" + str(i // 30)
+    if i % 6 == 5:
+        return (f"q{i // 4}" if i % 4 else None, None, time, None if i % 12 == 5 else "input", ("policy_loaded", "upstream_unavailable")[i % 12 > 5], ("allow", "block")[i % 12 > 5], 0.5, "rules", 0, 0.0, policy)
+    check = _NAMES[i % 5]
+    reply = i % 4 in (1, 3)
+    return (f"q{i // 4}", f"team-{i // 4 % 3}" if i // 4 % 7 else None, time, _PLACES[i % 4], check, _ACTIONS[i % 7], (i * 37 % 101) / 4, ("jev", "fallback")[i % 3 == 0] if check == "jev" else "rules", i * 10 if reply else 0, i / 8 if reply else 0.0, policy)
+
+
+CHECKS = [_made(i) for i in range(60)]
 TURNS = [  # request, caller, ts, checkpoint, action, conversation, overhead, calls, tools, prompt, completion, cost, upstream, model
-    ("t1", "anonymous", DAY + "12:00:00", "input", "allow", "s1", 2.0, None, None, None, None, 0.0, None, "gemma4"),
-    ("t1", "anonymous", DAY + "12:00:01", "tool_call", "allow", "s1", 1.0, 2, "query_customers,run_shell", 800, 200, 0.5, 100.0, "gemma4"),
-    ("t2", "anonymous", DAY + "12:00:10", "tool_result", "redact", "s1", 3.0, None, None, None, None, 0.0, None, "gemma4"),
-    ("t2", "anonymous", DAY + "12:00:11", "tool_call", "block", "s1", 1.0, 1, "run_shell", 1500, 500, 1.0, 200.0, "gemma4"),
-    ("t3", "anonymous", DAY + "12:00:20", "input", "allow", "s1", 2.0, None, None, None, None, 0.0, None, "gemma4"),
-    ("t3", "anonymous", DAY + "12:00:21", "output", "allow", "s1-redacted", 1.0, 0, None, 400, 100, 0.25, 90.0, "gemma4"),
-    ("t4", "anonymous", DAY + "12:05:00", "input", "block", "s2", 4.0, None, None, None, None, 0.0, None, "gemma4"),
-    ("t5", "support", "2026-10-02T23:59:00", "input", "flag", "s3", 1.0, None, None, None, None, 0.0, None, "big"),
-    ("t5", "support", "2026-10-02T23:59:01", "output", "allow", "s3", 1.0, 0, None, 600, 400, 2.0, 48.0, "big"),
+    ("w1", "ops", DAY + "07:00:00", "input", "flag", "day-1", 5.0, None, None, None, None, 0.0, None, "small"),
+    ("w1", "ops", DAY + "07:00:03", "tool_call", "allow", "day-1", 2.0, 3, "find_parts,find_parts,send_mail", 50, 25, 0.125, 40.0, "small"),
+    ("w2", "ops", DAY + "07:10:00", "tool_result", "allow", "day-1", 7.0, None, None, None, None, 0.0, None, "small"),
+    ("w2", "ops", DAY + "07:10:04", "output", "redact", "other", 4.0, 0, None, 70, 5, 0.375, 60.0, "small"),
+    ("w3", "ops", DAY + "08:00:00", "input", "block", "day-2", 9.0, None, None, None, None, 0.0, None, "small"),
+    ("w4", "ops", DAY + "08:30:00", "input", "allow", "day-3", 3.0, None, None, None, None, 0.0, None, "large"),
+    ("w4", "ops", DAY + "08:30:09", "tool_call", "block", "day-3", 1.0, 1, "send_mail", 200, 100, 2.0, 80.0, "large"),
+    ("w5", "lab", "2026-10-01T22:00:00", "input", "allow", "night", 1.0, None, None, None, None, 0.0, None, "large"),
+    ("w5", "lab", "2026-10-01T22:00:09", "output", "allow", "night", 6.0, 0, None, 300, 30, 3.0, 500.0, "large"),
 ]
 
 
@@ -57,27 +57,60 @@ def turn(spark):
     return frame(spark, rows).cache()
 
 
+STRENGTH = {"allow": 0, "flag": 1, "redact": 2, "block": 3}
+
+
+def scanned(since: str = "") -> list[tuple]:
+    """The check rows: those of a checkpoint that aren't system events."""
+    return [r for r in CHECKS if r[3] and r[4] in _NAMES and r[2] >= since]
+
+
+def by_request(value, rows) -> dict:
+    out: dict = {}
+    for r in rows:
+        if r[0]:
+            out.setdefault(r[0], []).append(value(r))
+    return out
+
+
+def nearest(values: list[float], p: int) -> float:
+    return sorted(values)[-(-p * len(values) // 100) - 1]
+
+
 def test_totals_and_timeline(checks):
     r = M.requests(checks)
-    assert M.totals(r).first().asDict() == {"requests": 4, "allowed": 1, "redacted": 1, "blocked": 1, "flagged": 1}
-    assert [tuple(x) for x in M.timeline(r).orderBy("minute").collect()] == [("2026-10-03T12:00:00Z", 2, 0, 1, 0), ("2026-10-03T12:01:00Z", 2, 1, 0, 1)]
-    assert tuple(M.overhead(r).first()) == (3.0, 201.0, 1.25, 3.0)
+    strongest = {k: max(v) for k, v in by_request(lambda r: STRENGTH[r[5]], scanned()).items()}
+    count = Counter(strongest.values())
+    assert M.totals(r).first().asDict() == {"requests": len(strongest), "allowed": count[0], "redacted": count[2], "blocked": count[3], "flagged": count[1]} and min(count.values()) > 0
+    minute = {k: min(v)[:5] for k, v in by_request(lambda r: r[2], scanned()).items()}
+    want = {m: [0, 0, 0, 0] for m in minute.values()}
+    for k, m in minute.items():
+        want[m][0] += 1
+        if strongest[k]:
+            want[m][{3: 1, 2: 2, 1: 3}[strongest[k]]] += 1
+    assert [tuple(x) for x in M.timeline(r).orderBy("minute").collect()] == [(f"{DAY}{m}:00Z", *n) for m, n in sorted(want.items())]
+    every = [sum(v) for v in by_request(lambda r: r[6], scanned()).values()]
+    rules = [sum(v) for v in by_request(lambda r: r[6] if r[4] != "jev" else 0.0, scanned()).values()]
+    assert tuple(M.overhead(r).first()) == pytest.approx((nearest(every, 50), nearest(every, 95), nearest(rules, 50), nearest(rules, 95)))
 
 
 def test_counts(checks):
-    assert tuple(M.judge_latency(checks).first()) == (100.0, 200.0)
-    assert {x.decided_by: x.rows for x in M.decided_by(checks).collect()} == {"rules": 9, "jev": 2, "fallback": 1}
-    assert {x.check: x.rows for x in M.system_events(checks).collect()} == {"auth_failed": 1, "policy_loaded": 2, "upstream_unavailable": 1}
-    assert {x.policy_version: x.rows for x in M.policy_versions(checks).collect()} == {"0.1": 12, "0.2": 4}
+    judged = [r[6] for r in scanned() if r[4] == "jev"]
+    assert tuple(M.judge_latency(checks).first()) == (nearest(judged, 50), nearest(judged, 95))
+    assert {x.decided_by: x.rows for x in M.decided_by(checks).collect()} == Counter(r[7] for r in scanned())
+    assert {x.check: x.rows for x in M.system_events(checks).collect()} == Counter(r[4] for r in CHECKS if r[4] not in _NAMES)
+    assert {x.policy_version: x.rows for x in M.policy_versions(checks).collect()} == Counter(r[10] for r in CHECKS)
 
 
 def test_usage(checks):
     usage = M.usage_rows(checks)
-    assert tuple(M.usage_total(usage).first()) == (1900, 0.75)
-    assert {x.caller_id: (x.tokens_today, x.cost_today) for x in M.usage_today(usage, "2026-10-03").collect()} == {"anonymous": (1600, 0.75), "support": (300, 0.0)}
-    late = M.since(checks, DAY + "12:01:00Z")
-    assert M.totals(M.requests(late)).first().requests == 2
-    assert M.usage_total(M.usage_rows(late)).first().tokens_total == 400
+    most = by_request(lambda r: (r[8], r[9], r[1]), CHECKS)
+    rows = [max(v, key=lambda x: x[:2]) for v in most.values()]
+    assert tuple(M.usage_total(usage).first()) == pytest.approx((sum(r[0] for r in rows), sum(r[1] for r in rows)))
+    got = {x.caller_id: (x.tokens_today, x.cost_today) for x in M.usage_today(usage, DAY[:10]).collect()}
+    assert got == {c: (sum(r[0] for r in rows if r[2] == c), pytest.approx(sum(r[1] for r in rows if r[2] == c))) for c in {r[2] for r in rows} if c}
+    late = M.since(checks, DAY + "09:04:00Z")
+    assert M.totals(M.requests(late)).first().requests == len(by_request(lambda r: 1, scanned("09:04")))
 
 
 @pytest.mark.parametrize(("values", "want"), [([7.0], (7.0, 7.0)), ([3.0, 1.0], (1.0, 3.0)), ([float(i) for i in range(1, 21)], (10.0, 19.0)), ([], (0.0, 0.0))])
@@ -88,18 +121,19 @@ def test_percentiles(spark, values, want):
 
 
 def test_agents(turn):
-    a = {r.caller_id: r for r in T.agents(T.turns(turn)).collect()}["anonymous"]
-    assert (a.sessions, a.turns, a.max_steps, a.tool_calls, a.block_rate, a.tokens, a.cost) == (2, 4, 3, 3, 0.5, 3500, 1.75)
-    assert (a.avg_upstream_latency_ms, a.avg_overhead_ms, round(a.overhead_share, 6)) == (130.0, 3.5, 0.025)
-    assert {(r.caller_id, r.tool): r.calls for r in T.tool_usage(T.turns(turn)).collect()} == {("anonymous", "query_customers"): 1, ("anonymous", "run_shell"): 2}
+    a = {r.caller_id: r for r in T.agents(T.turns(turn)).collect()}["ops"]
+    # w1 and w2 share a session, as a turn's session is that of its first request row
+    assert (a.sessions, a.turns, a.max_steps, a.tool_calls, a.block_rate, a.tokens, a.cost) == (3, 4, 2, 4, 0.5, 450, 2.5)
+    assert (a.avg_upstream_latency_ms, a.avg_overhead_ms, round(a.overhead_share, 6)) == (60.0, 7.75, round(22 / 202, 6))
+    assert {(r.caller_id, r.tool): r.calls for r in T.tool_usage(T.turns(turn)).collect()} == {("ops", "find_parts"): 2, ("ops", "send_mail"): 2}
 
 
 def test_economics_and_latency(turn):
     t = T.turns(turn)
-    assert tuple(T.session_cost(t).first()) == (1.75, 2.0, 1.25)
+    assert tuple(T.session_cost(t).first()) == (0.5, 3.0, 1.375)
     assert T.blocked_before_upstream(turn).first()[0] == 1
     r = T.request_latency(t).first()
-    assert (r.pre_ms_p50, r.pre_ms_p95, r.upstream_ms_p50, r.upstream_ms_p95, r.post_ms_p50, r.post_ms_p95, r.total_ms_p50, r.total_ms_p95) == (2, 4, 90, 200, 1, 1, 93, 204)
+    assert (r.pre_ms_p50, r.pre_ms_p95, r.upstream_ms_p50, r.upstream_ms_p95, r.post_ms_p50, r.post_ms_p95, r.total_ms_p50, r.total_ms_p95) == (5, 9, 60, 500, 2, 6, 71, 507)
 
 
 def test_derived_columns(spark):
@@ -113,10 +147,10 @@ def test_read_back(spark, tmp_path, checks):
     text = "\n".join(checks.select(*[f.name for f in AUDIT]).toJSON().collect())
     (tmp_path / "audit-2026-10-03.jsonl").write_text(text + '\n\n{"id": 99, "torn\n{"id": 98, "ts": "bad"}\n')
     (tmp_path / "audit-2026-10-01.jsonl").write_text("not json\n")
-    assert A.read_audit(spark, str(tmp_path)).count() == 16
-    assert A.read_audit(spark, str(tmp_path), "2026-10-03T12:01:00Z").count() == 7
+    assert A.read_audit(spark, str(tmp_path)).count() == len(CHECKS)
+    assert A.read_audit(spark, str(tmp_path), DAY + "09:04:00Z").count() == sum(r[2] >= "09:04" for r in CHECKS)
     assert A.read_audit(spark, str(tmp_path / "none")).count() == 0
     A.write_audit(checks, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 16
+    assert spark.read.parquet(str(tmp_path / "out")).count() == len(CHECKS)
     A.export_csv(checks, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns[-1] == "category"

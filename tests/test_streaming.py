@@ -36,6 +36,46 @@ def test_snapshot(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out/metrics/latest")).count() == 1
 
 
+@pytest.mark.parametrize("job", ["minutes", "turns"])
+def test_state_crosses_batches(spark, tmp_path, job):
+    """Rows of one minute or request come in several batches; what a stream keeps of the earlier ones counts."""
+    from sparkguard.operators import turns
+    from sparkguard.sources.audit import derive
+
+    (tmp_path / "log").mkdir()
+    rows = list(enumerate(CHECKS)) if job == "minutes" else [(i, (f"q{i % 5}", "u", f"09:00:{i:02d}", ("input", "output")[i // 5 % 2], "turn_summary", ("allow", "redact")[i == 7], 1.0, "rules", 1, 0.5, "p")) for i in range(10)]
+    for part in range(4):
+        write(spark, tmp_path / "log", f"2026-10-03-{part}", rows[part::4])
+    stream = jobs.tail(spark, str(tmp_path / "log"), maxFilesPerTrigger=1)
+    batch = derive(spark.read.schema(AUDIT).json(str(tmp_path / "log")))
+    if job == "minutes":
+        got = jobs.run_once(jobs.minute_decisions(stream), str(tmp_path / "run"), "complete")
+        scanned = batch.filter("NOT is_system_event").groupBy("minute").count()
+        assert {(r.minute.strftime("%Y-%m-%dT%H:%M:00Z"), r["rows"]) for r in got.collect()} == {tuple(r) for r in scanned.collect()}
+    else:
+        got = jobs.run_once(jobs.live_turns(stream), str(tmp_path / "run"), "update", keys=("request_id",))
+        want = {r.request_id: r.strongest for r in turns.turns(batch).selectExpr("request_id", "action AS strongest").collect()}
+        assert {r.request_id: r.state for r in got.collect()} == want
+    batches = sorted(p.name for p in (tmp_path / "run/out").glob("epoch=*"))
+    assert len(batches) >= 4
+    # a batch that runs again replaces its folder
+    assert jobs.run_once(jobs.minute_decisions(stream), str(tmp_path / "run2"), "complete").count() > 0 or job == "turns"
+
+
+def test_guards_on_streams(spark, tmp_path):
+    (tmp_path / "texts").mkdir()
+    (tmp_path / "calls").mkdir()
+    texts = ["call 555-010-7788 now", "${jndi:x}", "plain"]
+    for i, t in enumerate(texts):
+        pd.DataFrame({"request_id": [f"r{i}"], "content": [t]}).to_parquet(tmp_path / "texts" / f"{i}.parquet")
+        pd.DataFrame({"request_id": [f"r{i}"], "position": pd.array([0], "int32"), "name": ["run_shell"], "arguments": [['{"command": "rm -r x"}', '{"command": "ls"}', '{"path": "../x"}'][i]]}).to_parquet(tmp_path / "calls" / f"{i}.parquet")
+    read = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    found = jobs.run_once(jobs.guard_scan(read("texts", "request_id string, content string"), scans.EXAMPLE_FEED), str(tmp_path / "a"))
+    assert {(r.request_id, r.redacted, r.signature) for r in found.collect()} == {("r0", "call [REDACTED:PHONE] now", None), ("r1", "${jndi:x}", "CE-B"), ("r2", "plain", None)}
+    hits = jobs.run_once(jobs.guard_calls(read("calls", "request_id string, position int, name string, arguments string")), str(tmp_path / "b"))
+    assert {(r.request_id, r.rule) for r in hits.collect()} == {("r0", "rm -rf"), ("r1", None), ("r2", "'..' segment")}
+
+
 def test_bad_feed_keeps_the_last_good_one(spark, tmp_path):
     feeds = [scans.EXAMPLE_FEED, [("BAD", "other", "broken", "(", False)]]
     seen = []
