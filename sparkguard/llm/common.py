@@ -2,37 +2,35 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: Text is worked on in slices of whole documents of about so many bytes, which bounds a Python worker's memory.
 SLICE_BYTES = 2 << 20
 #: Rows of an Arrow batch of whole texts; the default of 10,000 takes hundreds of MB outside the heap for each task.
 BATCH_ROWS = 2000
+#: Bytes that an Arrow batch takes; a single row may be longer.
+BATCH_BYTES = 32 << 20
 _BLOCK = 1 << 18
 _MULT = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INV = pow(_MULT, -1, 1 << 64)
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def bound_batches(df: DataFrame) -> DataFrame:
-    """df, with its session's Arrow batches bounded; called by the operators that give texts to Python."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, BATCH_ROWS)
+    """df, with its session's Arrow batches bounded in rows and bytes; called by the operators that give texts to Python.
+
+    The settings stay, as plans read them when they run; they bound memory and change no result.
+    """
+    conf, rows, size = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, str(BATCH_ROWS))
+        conf.set(size, f"{BATCH_BYTES}b")
     return df
 
 

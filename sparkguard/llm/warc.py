@@ -10,34 +10,39 @@ plain files and files of gzip members, of one record or of many, are both read.
 the next valid member or version line, goes on from there, and logs the bytes between as a quarantined gap. It does the same
 within the bytes of a member, and within what inflates of one that is damaged or cut off; its records and gaps have the
 member's place in the file. In a member that fails to inflate or its own checksum, records without a digest that can be
-checked are `unverified`. Files are held in memory, and so is what a member inflates to.
+checked are `unverified`. A file is held in memory by one task, and so is what a member inflates to: archives written here
+are bounded by bytes, those of others by what a row of Spark's binaryFile source holds (2 GiB).
 
 Null html counts as an empty payload, a null url as no target. A null page_id is carried as such. Repeated rows are
-written once each; equal rows that hold the largest page_id are all responses. Other columns are not written.
+written once each; rows that tie for the largest page_id are all responses. Very long payloads are written and read whole. An
+empty table gives an archive without records, and no rows. Columns beside page_id, url and html, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import base64
-import contextlib
 import hashlib
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import bound_batches, materialize, shared_dir, slices
 
 REVISIT_BYTES = 1000
-#: Records a file holds at most; a file is read by one task.
-FILE_RECORDS = 10_000
+#: Records are written in blocks of about so many bytes, so many to a file; a file is read by one task. It holds at most
+#: FILE_BLOCKS * BLOCK_BYTES bytes, or FILE_BLOCKS records where single ones are longer than a block.
+BLOCK_BYTES, FILE_BLOCKS = 4 << 20, 8
 #: Repeated payloads (some 80 bytes each) up to which their table is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 _START = re.compile(rb"(?:(?<=\n)|\A)WARC/1\.[01]\r?\n|\x1f\x8b\x08")
 _LINE = re.compile(rb"(?<=\n)WARC/1\.[01]\r?\n")
+_TEXT = re.compile(rb"\S")
 _CHUNK = 1 << 16
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 
@@ -74,13 +79,30 @@ def records(pages: DataFrame) -> DataFrame:
     return rows.withColumn("block", block).select("page_id", text.alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    records(pages).select("value").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+def _blocks(block_bytes: int):
+    """Records to blocks of consecutive ones, with the blank lines that end each but the last."""
+
+    def work(batches):
+        for batch in batches:
+            sizes = np.asarray(pc.binary_length(batch.column(0)), dtype=np.int64)
+            cuts = np.concatenate(([0], np.cumsum(sizes)))
+            joined = []
+            for i, j in slices(cuts, block_bytes):
+                joined.append("\r\n\r\n".join(batch.column(0).slice(i, j - i).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(joined, pa.string())], ["value"])
+
+    return work
+
+
+def write_archives(pages: DataFrame, path: str, block_bytes: int = BLOCK_BYTES, file_blocks: int = FILE_BLOCKS) -> None:
+    blocks = bound_batches(records(pages)).select("value").mapInArrow(_blocks(block_bytes), "value string")
+    blocks.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", file_blocks).text(path)
 
 
 def _headers(raw: bytes) -> dict[str, str]:
+    """Header lines end at CR LF or LF only: other line ends of Unicode may stand within a value."""
     out = {}
-    for row in raw.decode("utf-8", "replace").splitlines()[1:]:
+    for row in raw.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")[1:]:
         key, colon, value = row.partition(":")
         if colon:
             out[key.strip().lower()] = value.strip()
@@ -133,7 +155,7 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int] | str:
     stop = start + int(head["content-length"])
     if stop > len(data):
         return "block is cut off"
-    if data[stop : stop + len(gap)] != gap and data[stop:].strip():
+    if data[stop : stop + len(gap)] != gap and _TEXT.search(data, stop):
         return "record does not end"
     block = data[start:stop]
     http = block.startswith(b"HTTP/") or head.get("content-type", "").lower().startswith("application/http")
@@ -147,17 +169,24 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int] | str:
 def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
     """What inflates of the member at a place, the place where that ends, and why it ends before the member does."""
     view, inflate, out, place = memoryview(data), zlib.decompressobj(31), [], at
+    step = 1 << 12  # small members are given small pieces, as what follows one is copied with it
     while place < len(data) and not inflate.eof:
         before = inflate.copy()
         try:
-            out.append(inflate.decompress(view[place : place + _CHUNK]))
+            out.append(inflate.decompress(view[place : place + step]))
         except zlib.error as e:
-            # what the bytes before the error give is lost with the call that fails, so they are given one by one
-            with contextlib.suppress(zlib.error):
-                for place in range(place, min(len(data), place + _CHUNK)):  # noqa: B020
-                    out.append(before.decompress(view[place : place + 1]))
+            # what the bytes before the error give is lost with the call that fails, so the piece is halved down to the bad byte
+            while step > 1:
+                step //= 2
+                trial = before.copy()
+                try:
+                    out.append(trial.decompress(view[place : place + step]))
+                except zlib.error:
+                    continue
+                before, place = trial, place + step
             return b"".join(out), place, f"bad member: {e}"
-        place = min(len(data), place + _CHUNK)
+        place = min(len(data), place + step)
+        step = min(2 * step, _CHUNK)
     return b"".join(out), place - len(inflate.unused_data), "" if inflate.eof else "member is cut off"
 
 
@@ -228,7 +257,7 @@ READ = "file string, kind string, start long, end long, reason string, record_id
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record (or unverified record) and one per quarantined gap of every file below path."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = bound_batches(spark.read.format("binaryFile").load(path)).select("path", "content")
 
     def work(batches):
         names = [x.split()[0] for x in READ.split(", ")]

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -394,3 +395,37 @@ def test_salvage_checks_all_forms_of_a_digest(form):
     data = one(1, b"abc", http + b"abc") + one(2, b"abc", http + b"abd") + one(3, b"", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "request") + one(4, b"abcde", http + b"3\r\nabc\r\n2\r\nde\r\n0\r\n\r\n")
     assert found_ids(data) == [1, 3, 4]
     assert [x[1] for x in warc.salvage(data) if x[0] == "gap"] == ["payload digest differs"]
+
+
+def test_urls_cannot_add_headers(spark, tmp_path):
+    odd = [" ", "\x85", "\x0b", "\x0c", "\x1c", " ", "\r\n", "\n", "\r"]
+    rows = [(i, f"http://x/{c}WARC-Type: revisit", f"page {i}") for i, c in enumerate(odd)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w")).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == [(i, "response", None) for i in range(len(odd))]
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    rows = [(i, "u", f"{i} " + "x" * (300_000 if i % 3 else 10)) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("WARC-Type", F.lit("x")).coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "w"), 1 << 20, 2)
+    sizes = [p.stat().st_size for p in (tmp_path / "w").glob("*.txt")]
+    assert len(sizes) > 4 and max(sizes) <= (2 << 20) + 2000
+    back = warc.read_archives(spark, str(tmp_path / "w"))
+    assert back.filter("kind = 'record'").count() == 60 and back.filter("kind = 'gap'").count() == 0
+    none = warc.round_trip(pages.limit(0).drop("WARC-Type"), str(tmp_path / "none"))
+    assert none.count() == 0
+
+
+def test_salvage_is_linear_in_members():
+    r = random.Random(3)
+    times = []
+    for n in (2500, 10_000):
+        parts = [bytearray(gzip.compress(record(i, bytes(r.choices(range(256), k=300))))) for i in range(n)]
+        for part in parts[::7]:
+            part[len(part) // 2] ^= 255
+        data = b"".join(parts)
+        start = time.perf_counter()
+        ids = found_ids(data)
+        times.append(time.perf_counter() - start)
+        assert set(ids) >= {i for i in range(n) if i % 7}
+    assert times[1] < 12 * times[0] + 1 and times[1] < 30
