@@ -293,19 +293,41 @@ def test_configuration_packing(docs, empty):
     assert config_packing.pack(empty).count() == 0
 
 
-def test_few_sequences():
-    r = np.random.default_rng(4)
-    counts = np.bincount(np.minimum(r.lognormal(6.5, 1, 5000).astype(int) + 1, 4096), minlength=4097)
-    packed = config_packing.solve(counts)
+HISTOGRAMS = {
+    # lengths and how many times the bound a packing may take
+    "uniform": (lambda r: r.integers(1, 4097, 20_000), 1.005),
+    "narrow": (lambda r: r.integers(1100, 2101, 20_000), None),
+    "four lengths": (lambda r: r.choice([1400, 1300, 1500, 900], 20_000), 1.005),
+    "six lengths": (lambda r: r.choice([1000, 1371, 1900, 2200, 700, 1500], 20_000), 1.01),
+    "lognormal": (lambda r: np.minimum(r.lognormal(6.5, 1, 3000).astype(int) + 1, 4096), 1.005),
+}
+
+
+@pytest.mark.parametrize("name", HISTOGRAMS)
+def test_few_sequences(name):
+    draw, most = HISTOGRAMS[name]
+    counts = np.bincount(draw(np.random.default_rng(4)), minlength=4097)
+    packed, bound = config_packing.solve(counts)
     covered = Counter()
     for n, config in packed:
-        assert sum(k * v for k, v in config.items()) <= 4096
+        assert n > 0 and sum(k * v for k, v in config.items()) <= 4096
         for k, v in config.items():
             covered[k] += n * v
     assert covered == {i: int(c) for i, c in enumerate(counts) if c}
-    bound = -(-int((counts * np.arange(4097)).sum()) // 4096)
-    assert bound <= sum(n for n, _ in packed) <= bound * 1.01 + 2
-    assert config_packing.solve(np.eye(1, 4097, 1500, dtype=int)[0] * 10) == [(5, {1500: 2})]
+    used = sum(n for n, _ in packed)
+    assert np.ceil(bound - 1e-6) >= -(-int(counts @ np.arange(4097)) // 4096) and used >= bound - 1e-6
+    assert used <= sum(n for n, _ in config_packing.best_fit(counts))
+    assert most is None or used <= bound * most + 1
+
+
+def test_small_packings():
+    assert config_packing.solve(np.eye(1, 4097, 1500, dtype=int)[0] * 10) == ([(5, {1500: 2})], pytest.approx(5.0))
+    assert config_packing.solve(np.zeros(4097, int)) == ([], 0.0)
+    counts = np.zeros(4097, int)
+    counts[[4096, 4095, 1]] = 3, 2, 1
+    assert sum(n for n, _ in config_packing.solve(counts)[0]) == 5
+    best, config = config_packing.price(np.array([3, 5]), np.array([3.0, 5.5]), 11)
+    assert (best, config) == (11.5, {3: 2, 5: 1})  # by trying all: 3 + 3 + 5
 
 
 def test_warc_round_trip(spark, tmp_path):
