@@ -1,26 +1,33 @@
 """Secret scanning with multipart credential linking.
 
 Base spans are strong by themselves: assignments of a long value to a secret-like name, access identifiers, and long
-hexadecimal runs. Other parts are weak: client identifiers, endpoints (URLs and IPv4 addresses) and opaque tokens that
-mix letters and digits. A part's interval is widened by SCOPE characters, cut at blank lines, and overlapping intervals
-are joined in one sweep over the document's sorted parts; an opaque token or a client identifier is reported only if a
-complementary part stands in its scope: identifier + token, endpoint + token, or access identifier + token.
-
-Offsets are code points, ends exclusive. Null text counts as empty and has no spans. Equal spans of one kind are
-reported once; rows are independent, so repeated rows repeat their result. Other columns are not read.
+hexadecimal runs. Other parts are weak: client identifiers, opaque tokens that mix letters and digits, and endpoints (URLs
+and IPv4 addresses). A part's interval is widened by SCOPE characters and cut at the next blank line; one sweep over the ends
+and starts of a document's parts joins the intervals. A weak part is reported only if a complementary part stands in its
+scope: identifier + token or endpoint + token, where access identifiers count as identifiers, assignments and hexadecimal
+runs as tokens. An identifier and an endpoint alone are not a credential.
+
+Offsets are code points, ends exclusive. Null text counts as empty and has no spans. Whole texts are scanned, in time that
+grows with their length. Ties: spans with one start are ordered by kind as listed in KINDS, then by end. Equal spans of one kind are
+reported once; rows are independent, so repeated rows repeat their result, and null doc_ids are carried. An empty table gives no
+rows. redact() hides identifiers and secrets, not endpoints, and keeps all columns; scan() reads no others than it is told to keep.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import bound_batches
 
-KINDS = ("assign", "access", "hex", "client", "token")
+KINDS = ("assign", "access", "hex", "client", "token", "endpoint")
+_COMPLEMENTS = {"client": ("token",), "endpoint": ("token",), "token": ("client", "endpoint")}
+_ROLES = {"assign": "token", "access": "client", "hex": "token"}
 #: Two parts further apart than so many characters are never linked.
 SCOPE = 200
 
@@ -53,33 +60,61 @@ def _opaque(value: str) -> bool:
     return any(c.isdigit() for c in value) and any(c.islower() for c in value) and any(c.isupper() for c in value) and len(set(value)) >= 10
 
 
+class _Taken:
+    """Disjoint ranges that no weak part may overlap."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def free(self, s: int, e: int) -> bool:
+        i = bisect_left(self.starts, e) - 1
+        return i < 0 or self.ends[i] <= s
+
+
+def weak_parts(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Client identifiers and opaque tokens that overlap no base span, and endpoints."""
+    strong = [(s, e) for _, s, e in base]
+    taken = _Taken(strong)
+    clients = [("client", m.start(1), m.end(1)) for m in _CLIENT.finditer(text) if taken.free(m.start(1), m.end(1))] if "id" in text.lower() else []
+    taken = _Taken(strong + [(s, e) for _, s, e in clients])
+    tokens = [("token", m.start(), m.end()) for m in _TOKEN.finditer(text) if _opaque(m[0]) and taken.free(m.start(), m.end())] if _LONG_WORD.search(text) else []
+    if not clients and not tokens and not base:
+        return []
+    return clients + tokens + [("endpoint", m.start(), m.end()) for m in _ENDPOINT.finditer(text)]
+
+
 def linked_spans(text: str, base: list[tuple[str, int, int]], scope: int = SCOPE) -> list[tuple[str, int, int]]:
     """The weak parts that stand with a complementary part in their scope."""
-    taken = sorted((s, e) for _, s, e in base)
-    free = lambda s, e: not any(a < e and s < b for a, b in taken)
-    weak = [("client", m.start(1), m.end(1)) for m in _CLIENT.finditer(text) if free(m.start(1), m.end(1))] if "id" in text.lower() else []
-    clients = [(s, e) for _, s, e in weak]
-    if _LONG_WORD.search(text):
-        weak += [("token", m.start(), m.end()) for m in _TOKEN.finditer(text) if _opaque(m[0]) and free(m.start(), m.end()) and not any(a < m.end() and m.start() < b for a, b in clients)]
+    weak = weak_parts(text, base)
     if not weak:
         return []
-    parts = [(s, e, kind) for kind, s, e in weak] + [(s, e, {"access": "client", "assign": "token", "hex": "token"}[kind]) for kind, s, e in base]
-    parts += [(m.start(), m.end(), "endpoint") for m in _ENDPOINT.finditer(text)]
-    parts.sort()
+    parts = [(kind, s, e, kind) for kind, s, e in weak] + [(kind, s, e, _ROLES[kind]) for kind, s, e in base]
     cuts = [m.start() for m in _BLANK.finditer(text)]
-    # sweep: open intervals are those whose end, widened by the scope and cut at the next blank line, is not yet passed
-    opened: list[tuple[int, int, str, int]] = []
-    kept, k = set(), 0
-    for s, e, kind in parts:
-        while k < len(cuts) and cuts[k] < s:
-            k += 1
-        until = min(e + scope, cuts[k]) if k < len(cuts) else e + scope
-        opened = [x for x in opened if x[3] >= s]
-        for a, b, other, _ in opened:
-            if b <= s and {kind, other} in ({"client", "token"}, {"endpoint", "token"}, {"endpoint", "client"}):
-                kept |= {(a, b), (s, e)}
-        opened.append((s, e, kind, until))
-    return [(kind, s, e) for kind, s, e in weak if (s, e) in kept]
+    events = sorted([(e, 0, i) for i, (_, _, e, _) in enumerate(parts)] + [(s, 1, i) for i, (_, s, _, _) in enumerate(parts)])
+    reach = dict.fromkeys(_COMPLEMENTS, -1)  # how far the parts of each role that have ended reach
+    waiting: dict[str, list[tuple[int, int]]] = {role: [] for role in _COMPLEMENTS}  # ended and not linked yet: (until, part)
+    kept = set()
+    for at, starts, i in events:
+        _, s, e, role = parts[i]
+        if starts:
+            for other in _COMPLEMENTS[role]:
+                if reach[other] >= at:
+                    kept.add(i)
+                kept.update(k for until, k in waiting[other] if until >= at)
+                waiting[other].clear()  # linked now, or out of reach for all that follow
+        else:
+            k = bisect_left(cuts, s)
+            until = min(e + scope, cuts[k]) if k < len(cuts) else e + scope
+            reach[role] = max(reach[role], until)
+            waiting[role].append((until, i))
+    return [parts[i][:3] for i in sorted(kept) if i < len(weak)]
 
 
 def _ordered(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -122,7 +157,9 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
         if not value:
             return value
         out, last, until = [], 0, 0
-        for _, s, e in spans_of(value)[1]:
+        for kind, s, e in spans_of(value)[1]:
+            if kind == "endpoint":
+                continue
             if s >= until:
                 out += [value[last:s], mark]
             until = last = max(until, e)
@@ -141,8 +178,6 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
 
 def digest(docs: DataFrame) -> DataFrame:
     """Per document the counts of base spans, the digest of their places and all spans as text."""
-    from pyspark.sql import functions as F
-
     place = lambda x: F.concat_ws(":", x.kind, x.start, x.end)
     count = lambda kind: F.size(F.filter("spans", lambda x: (x.kind == kind) & x.strong)).cast("long")
     return scan(docs).select(

@@ -204,6 +204,32 @@ def test_vectors_equal_all_pairs(spark):
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_that_share_an_id(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, 0, a, "x"), (1, 0, b, "x"), (2, 0, a, "x"), (3, 0, [0.01, 1.0, 0.0], "x"), (4, 0, b, "x"), (4, 0, b, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>, node string")
+    got = Counter((x.vec_id, x.n_links, x.component_id) for x in embedding_dedup.near_duplicate_vectors(df).collect())
+    assert got == Counter({(1, 1, 1): 1, (2, 1, 1): 1, (1, 3, 1): 1, (3, 3, 1): 1, (4, 3, 1): 2})
+
+
+def test_vector_tables():
+    """Recall at the threshold, and unrelated candidates of a row at growing sizes."""
+    r = np.random.default_rng(5)
+    for n in (2000, 16_000):
+        tables, projections = embedding_dedup.parameters(n)
+        x = r.normal(size=(n, 64))
+        keys = embedding_dedup.table_keys(x, tables, projections)
+        pairs = sum(int((c * (c - 1) // 2).sum()) for c in (np.unique(keys[:, t], return_counts=True)[1] for t in range(tables)))
+        assert 2 * pairs / n < 2 * tables
+        # pairs at a cosine of 0.98 exactly
+        u = x[:2000] / np.linalg.norm(x[:2000], axis=1, keepdims=True)
+        other = r.normal(size=u.shape)
+        other -= (other * u).sum(1, keepdims=True) * u
+        y = 0.98 * u + np.sqrt(1 - 0.98**2) * other / np.linalg.norm(other, axis=1, keepdims=True)
+        met = (keys[:2000] == embedding_dedup.table_keys(y, tables, projections)).any(1)
+        assert met.mean() >= 0.998
+
+
 def test_secrets(spark, docs, empty):
     hexes, key = "0123456789abcdef" * 2, "AKIA" + "Q" * 16
     text = f'é password = "{"s" * 12}" {key} and {hexes}; Token:short PassWord:{"v" * 13}'
@@ -212,7 +238,10 @@ def test_secrets(spark, docs, empty):
     assert text[base[1][1] : base[1][2]] == key
     opaque = "Zk3jQ9dLm2Pq8RtVw4Xy"
     assert secret_scan.spans_of(f"value {opaque} alone") == ([], [])
-    assert [k for k, *_ in secret_scan.spans_of(f"https://api.host.example/v1 uses {opaque}")[1]] == ["token"]
+    assert [k for k, *_ in secret_scan.spans_of(f"https://api.host.example/v1 uses {opaque}")[1]] == ["endpoint", "token"]
+    assert secret_scan.spans_of("client_id=abcdefgh1 at https://api.host.example/v1") == ([], [])
+    hidden_part = f"client_id: abcdefgh1 at https://api.host.example/v1 with {opaque}"
+    assert [k for k, *_ in secret_scan.spans_of(hidden_part)[1]] == ["client", "endpoint", "token"]
     assert secret_scan.spans_of("https://api.host.example/v1 " + "x " * 300 + opaque)[1] == []
     assert secret_scan.spans_of(f"https://api.host.example/v1\n\n{opaque}")[1] == []
     df = spark.createDataFrame([(1, text), (1, text), (2, None), (3, "")], "doc_id long, text string")
@@ -223,6 +252,79 @@ def test_secrets(spark, docs, empty):
     assert secret_scan.redact(docs).count() == docs.count() and secret_scan.scan(empty).count() == 0
 
 
+def base_by_hand(text):
+    """The base spans without patterns: by trying every place from the left."""
+    found, value, upper, hexes = [], set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"), set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), set("0123456789abcdef")
+    low = "".join(c.lower() if c.isascii() else c for c in text)
+
+    def run(at, letters):
+        while at < len(text) and text[at] in letters:
+            at += 1
+        return at
+
+    at = 0
+    while at < len(text):
+        name = next((n for n in ("password", "passwd", "secret", "token", "api_key", "apikey") if low.startswith(n, at)), None)
+        k = at + len(name or "")
+        k += text[k : k + 1] in ("'", '"') and bool(name)
+        k = run(k, " ")
+        ok = name and text[k : k + 1] in (":", "=")
+        k = run(k + 1, " ")
+        k += text[k : k + 1] in ("'", '"')
+        end = run(k, value)
+        if ok and end > k:
+            found += [("assign", at, end)] if end - k >= 12 else []
+            at = end
+        else:
+            at += 1
+    for kind, letters, head, least in (("access", upper, "AKIA", 18), ("hex", hexes, "", 16)):
+        at = 0
+        while at < len(text):
+            end = run(at + len(head), letters) if text.startswith(head, at) else at
+            if end > at + len(head):
+                found += [(kind, at, end)] if end - at >= least else []
+                at = end
+            else:
+                at += 1
+    return sorted(found, key=lambda x: (x[1], secret_scan.KINDS.index(x[0]), x[2]))
+
+
+def test_secrets_equal_brute_force(spark):
+    r, texts = random.Random(8), []
+    bits = ["password", "PassWd", "secret", "token", "apikey", "API_KEY", "ſecret", '"', "'", " ", "  ", ":", "=", "==", "AKIA", "AKIA" + "Q" * 14, "AKIA" + "7" * 13, "0123456789abcdef", "deadbeef", "Zk3jQ9dLm2Pq8RtVw4Xy", "client_id=", "account-id: abcdef12", "https://h.example/a", "10.0.0.1", "\n\n", "\n \n", "\n", "é", "x" * 150, "word ", "abcdefghijklmnop"]
+    texts = [None, "", *("".join(r.choice(bits) for _ in range(r.randrange(1, 40))) for _ in range(600))]
+    linked = 0
+    for text in texts:
+        base, every = secret_scan.spans_of(text)
+        assert base == base_by_hand(text or "")
+        # all pairs of parts
+        parts = [(k, s, e, k) for k, s, e in secret_scan.weak_parts(text or "", base)] + [(k, s, e, {"access": "client"}.get(k, "token")) for k, s, e in base]
+        want = set()
+        for k, s, e, role in parts:
+            blank = min([m for m in range(s, len(text)) if text[m] == "\n" and text[m + 1 :].lstrip(" \t\r").startswith("\n")], default=10**9)
+            for k2, s2, e2, role2 in parts:
+                if e <= s2 <= min(e + secret_scan.SCOPE, blank) and {role, role2} in ({"client", "token"}, {"endpoint", "token"}):
+                    want |= {(k, s, e), (k2, s2, e2)}
+        assert set(every) == set(base) | {x for x in want if x[0] in ("client", "token", "endpoint")}
+        linked += len(every) > len(base)
+    assert linked > 30
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {x.doc_id: (x.n_assign, x.n_access, x.n_hex, x.base_sha256, x.spans) for x in secret_scan.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        base, every = base_by_hand(t or ""), secret_scan.spans_of(t)[1]
+        assert got[i] == (*(sum(k == x for k, *_ in base) for x in ("assign", "access", "hex")), secret_scan.sha256_of(base), ",".join(f"{k}:{s}:{e}" for k, s, e in every))
+
+
+def test_secret_scan_is_linear():
+    part = "client_id=abcdefgh1 Zk3jQ9dLm2Pq8RtVw4Xy 10.0.0.1 password = 'abcdefghijklmnop' "
+    times = []
+    for n in (3000, 12_000):
+        start = time.perf_counter()
+        assert len(secret_scan.spans_of(part * n)[1]) >= 4 * n
+        times.append(time.perf_counter() - start)
+    assert times[1] < 8 * times[0] + 0.5
+
+
 def test_token_ids():
     path = tokens.public_path()
     tokenizer = tokens.table(path).tokenizer
