@@ -113,6 +113,26 @@ def test_substring_dedup(docs, empty, group):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("group", [1, 2000])
+def test_substring_dedup_of_hot_prefixes_and_shared_ids(spark, group, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", 0.05)
+    passage, start = words(30, 70), words(8, 71)
+    rows = [(i, " ".join(words(20, 1000 + i) + (start + words(20, 2000 + i % 40) if i % 3 else passage) + words(9, 3000 + i))) for i in range(300)]
+    rows += [(7, " ".join(words(40, 9000))), (8, " ".join(passage)), (8, rows[3][1]), (301, None), (302, ""), (None, " ".join(passage))]
+    split = [(i, (t or "").split()) for i, t in rows]
+    low = {}
+    for i, w in split:
+        for s in range(len(w) - 12) if i is not None else ():
+            low[tuple(w[s : s + 13])] = min(i, low.get(tuple(w[s : s + 13]), i))
+    want = Counter()
+    for i, w in split:
+        gone = {k for s in range(len(w) - 12) if i is not None and low[tuple(w[s : s + 13])] < i for k in range(s, s + 13)}
+        want[i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()] += 1
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, tag string").repartition(3)
+    assert Counter(map(tuple, substring_dedup.remove_repeats(df, group).collect())) == want
+    assert sum(n[2] > 0 for n in want) > 200
+
+
 @pytest.mark.parametrize("group", [1, 2000])
 def test_substring_dedup_returns_texts_and_ranges(docs, empty, group):
     texts = {(i, t): (t or "").split() for i, t, *_ in corpus() if i not in (8, 14, 15)}
