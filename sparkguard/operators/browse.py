@@ -19,12 +19,18 @@ def search(audit: DataFrame, since: str | None = None, until: str | None = None,
 
 
 def page(audit: DataFrame, offset: int = 0, limit: int = 100) -> DataFrame:
-    """One page, newest first; the total is audit.count()."""
+    """One page, newest first; page_with_total() also counts."""
     if offset < 0 or not 1 <= limit <= 1000:
         raise ValueError("offset must be at least 0 and limit from 1 to 1000")
     return audit.orderBy(F.desc("id")).offset(offset).limit(limit)
 
 
+def page_with_total(audit: DataFrame, offset: int = 0, limit: int = 100) -> DataFrame:
+    """One page with the number of all rows that match in total, which a count of its own finds."""
+    total = audit.agg(F.count("*").alias("total"))
+    return page(audit, offset, limit).crossJoin(F.broadcast(total))  # one row
+
+
 def threat_feed(audit: DataFrame, n: int = 30, of: int = 200) -> DataFrame:
     """The newest n threats among the newest `of` rows."""
     newest = audit.orderBy(F.desc("id")).limit(of)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +47,25 @@ def plan_judging(inputs: DataFrame, verdicts: DataFrame, max_calls: int) -> tupl
     return new.dropDuplicates(["input_key"]).select("input_key", "captured_at", "context", "text"), per_request.filter(F.col("new_inputs") > max_calls)
 
 
+def judge(plan: DataFrame, ask: Callable[[list[dict]], list[dict]], batch: int = 64, parallel: int | None = None) -> DataFrame:
+    """Verdicts of a judge over the distinct inputs of plan_judging(): ask gets batches of captured_at, context and text, and gives score, reason and categories.
+
+    A judge is slow, so its inputs are spread over parallel tasks whatever their files are. A score outside 0 to 1, or none, is an error.
+    """
+    rows = plan.select("input_key", "captured_at", "context", "text").repartition(parallel or plan.sparkSession.sparkContext.defaultParallelism)
+
+    def work(batches):
+        for frame in batches:
+            for i in range(0, len(frame), batch):
+                part = frame.iloc[i : i + batch]
+                answers = ask(part[["captured_at", "context", "text"]].to_dict("records"))
+                if len(answers) != len(part) or not all(0 <= a["score"] <= 1 for a in answers):
+                    raise ValueError("a judge gives one score from 0 to 1 for each input")
+                yield pd.DataFrame({"input_key": part.input_key.to_numpy(), "score": [float(a["score"]) for a in answers], "reason": [a.get("reason", "") for a in answers], "categories": [list(a.get("categories", ())) for a in answers]})
+
+    return rows.mapInPandas(work, "input_key string, score double, reason string, categories array<string>")
+
+
 def check_judge(inputs: DataFrame, verdicts: DataFrame, threshold: float) -> DataFrame:
     """Per request the chunk with the highest score (the first on ties) decides; block from the threshold on."""
     joined = inputs.join(verdicts, "input_key")

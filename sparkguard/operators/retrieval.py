@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import takewhile
 
 import numpy as np
 import pandas as pd
@@ -11,56 +13,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-_HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*\Z")
+_HEADING = re.compile(r" {0,3}(#{1,6})[ \t]+(\S.*)")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 _CHUNK = ArrayType(StructType([StructField("chunk_index", IntegerType()), StructField("section_path", ArrayType(StringType())), StructField("char_start", IntegerType()), StructField("char_end", IntegerType()), StructField("text", StringType()), StructField("embedding_input", StringType()), StructField("token_count", IntegerType()), StructField("error", StringType())]))
 
 
 def sections(text: str) -> list[tuple[list[str], int, int]]:
     """(heading path, start, end) of Markdown sections; headings inside fenced blocks are text. The ranges cover the text."""
-    out, path, start, at, fence = [], [], 0, 0, ""
+    cuts: list[tuple[int, list[str]]] = [(0, [])]
+    above: list[tuple[int, str]] = []  # level and name of the open headings; levels may be skipped
+    at, fence = 0, ""
     for line in text.splitlines(keepends=True):
-        bare = line.rstrip("\r\n")
-        mark = _FENCE.match(bare)
-        if fence:
-            if mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence) and not bare.strip().strip(fence[0]):
+        if mark := _FENCE.match(line):
+            if not fence:
+                fence = mark[1]
+            elif mark[1].startswith(fence):
                 fence = ""
-        elif mark:
-            fence = mark[1]
-        elif heading := _HEADING.match(bare):
-            if at > start:
-                out.append((list(path), start, at))
-            level = len(heading[1])
-            path = [*path[: level - 1], (heading[2] or "").strip()]
-            start = at
+        elif not fence and (heading := _HEADING.match(line)):
+            level, name = len(heading[1]), heading[2].rstrip()
+            closing = name.rstrip("#")
+            above = [h for h in above if h[0] < level] + [(level, closing.rstrip() if closing[-1:] in (" ", "\t") else name)]
+            cuts.append((at, [n for _, n in above]))
         at += len(line)
-    if at > start:
-        out.append((list(path), start, at))
-    return out
+    ends = [start for start, _ in cuts[1:]] + [len(text)]
+    return [(path, start, end) for (start, path), end in zip(cuts, ends, strict=True) if end > start]
 
 
 def chunk_text(title: str, text: str, count_tokens, max_tokens: int) -> list[dict]:
-    """Chunks within the token budget: whole paragraphs first, then the longest prefix by binary search. They cover the text without overlap."""
+    """Chunks within the token budget: as many whole paragraphs as fit, else as many characters. They cover the text without overlap."""
     out: list[dict] = []
     for path, start, end in sections(text):
-        prefix = f"{title}\n{' > '.join(path)}\n\n"
-        fits = lambda a, b, p=prefix: count_tokens(p + text[a:b]) <= max_tokens
+        prefix = "\n".join([title, " > ".join(path)] if path else [title]) + "\n\n"
         if count_tokens(prefix) >= max_tokens:
             raise ValueError("the heading path exceeds the token budget")
+        fits = lambda a, b, p=prefix: count_tokens(p + text[a:b]) <= max_tokens
+        breaks = [start + m.end() for m in re.finditer(r"\n[ \t]*\n", text[start:end])]
+        breaks = [b for b in breaks if b < end] + [end]
         while start < end:
-            stop = end
-            if not fits(start, end):
-                stop = start
-                for m in re.finditer(r"\n[ \t]*\n+", text[start:end]):
-                    if not fits(start, start + m.end()):
-                        break
-                    stop = start + m.end()
+            ahead = [end] if fits(start, end) else breaks[bisect_right(breaks, start) :]
+            stop = max(takewhile(lambda b, a=start: fits(a, b), ahead), default=start)
+            if stop == start:  # a paragraph that doesn't fit: the longest part of it that does
+                stop += bisect_left(range(start + 1, ahead[0] + 1), True, key=lambda b, a=start: not fits(a, b))
                 if stop == start:
-                    low, high = start + 1, end
-                    while low < high:
-                        middle = (low + high + 1) // 2
-                        low, high = (middle, high) if fits(start, middle) else (low, middle - 1)
-                    stop = low
+                    raise ValueError("one character exceeds the token budget")
             body = text[start:stop]
             out.append({"chunk_index": len(out), "section_path": path, "char_start": start, "char_end": stop, "text": body, "embedding_input": prefix + body, "token_count": count_tokens(prefix + body), "error": None})
             start = stop
@@ -82,7 +77,7 @@ def chunk(documents: DataFrame, count_tokens, max_tokens: int) -> DataFrame:
 
     rows = documents.withColumn("source_sha256", F.sha2("text", 256)).withColumn("c", F.explode(cut("title", "text")))
     kept = rows.select("document_id", "source_sha256", "c.*")
-    return kept.withColumn("chunk_id", F.concat_ws("#", "document_id", "chunk_index")).withColumn("input_sha256", F.sha2("embedding_input", 256))
+    return kept.withColumn("chunk_id", F.format_string("%s:C%04d", F.col("document_id").cast("string"), F.col("chunk_index"))).withColumn("input_sha256", F.sha2("embedding_input", 256))
 
 
 def h2_sections(documents: DataFrame) -> DataFrame:
@@ -182,7 +177,8 @@ def keyword_search_many(chunks: DataFrame, queries: DataFrame, k: int = 5) -> Da
 
 
 def index_report(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """One row: documents, chunks, tokens, and faults: texts that differ from their range, gaps or overlaps, uncovered ends."""
+    """One row: documents, chunks, tokens, dimensions if chunks have vectors, and faults: texts that differ from their range, gaps or overlaps, uncovered ends."""
+    dimensions = [f(F.size("embedding")).alias(n) for f, n in ((F.min, "min_dimensions"), (F.max, "max_dimensions"))] if "embedding" in chunks.columns else []
     w = Window.partitionBy("document_id").orderBy("chunk_index")
     joined = chunks.join(documents.select("document_id", F.col("text").alias("source")), "document_id")
     rows = joined.withColumn("previous", F.coalesce(F.lag("char_end").over(w), F.lit(0))).withColumn("last", F.lead("chunk_index").over(w).isNull())
@@ -194,6 +190,7 @@ def index_report(chunks: DataFrame, documents: DataFrame) -> DataFrame:
         F.count_if(~same).alias("text_mismatches"),
         F.count_if(F.col("previous") != F.col("char_start")).alias("gaps_or_overlaps"),
         F.count_if(F.col("last") & (F.col("char_end") != F.length("source"))).alias("uncovered_ends"),
+        *dimensions,
     )
 
 

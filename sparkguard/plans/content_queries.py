@@ -42,7 +42,6 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 _MATCH = " ".join(f"""WHEN regexp_matches(text, '{"" if s[4] else "(?i)"}{s[3]}') THEN 'signature {s[0]} ({s[1]}): {s[2]}'""" for s in FEED)
 query("scan_signatures", f"SELECT 'd' || doc_id AS request_id, 'block' AS verdict, regexp_extract(r, '\\(([^()]+)\\):', 1) AS category, r AS reason FROM (SELECT doc_id, CASE {_MATCH} END AS r FROM documents) WHERE r IS NOT NULL")(lambda s, d: scans.scan_signatures(_texts(s, d), FEED))
-query("text_forms", "SELECT 'd' || doc_id AS request_id FROM documents")(lambda s, d: scans.text_forms(_texts(s, d)).filter("size(forms) > 0").select("request_id"))
 
 _K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"
 

@@ -2,11 +2,11 @@
 
 import pytest
 
-from sparkguard.plans import audit_queries, content_queries, guard_queries, stream_queries
+from sparkguard.plans import audit_queries, content_queries, file_queries, guard_queries, stream_queries
 
 from .oracle import canonical, connect
 
-MODULES = (audit_queries, guard_queries, content_queries, stream_queries)
+MODULES = (audit_queries, guard_queries, content_queries, file_queries, stream_queries)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
