@@ -34,9 +34,10 @@ from .common import _range_hashes, bound_batches, gram_hashes, materialize, mix,
 
 WINDOW, PREFIX, GROUP = 13, 6, 2000
 #: Share of the documents from which on a prefix is hot, and anchors of a partition.
-HOT, PART = 1 / 1000, 500_000
+HOT, PART = 1 / 100, 500_000
 SPAN = WINDOW - PREFIX + 1
-_RECORD = (("prefix", "<u8"), ("span", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("at", "<u4"), ("left", "u1"), ("n", "u1"))
+# A prefix is known by its partition and 32 more bits; two that share both are only told apart later, by their words.
+_RECORD = (("prefix", "<u4"), ("span", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("at", "<u4"), ("left", "u1"), ("n", "u1"))
 _SIZE = sum(np.dtype(t).itemsize for _, t in _RECORD)
 
 
@@ -143,7 +144,7 @@ def _anchor_rows(parts: int, hot):
                 if chosen.any():
                     some = {k: v[chosen] for k, v in fields.items()}
                     key = some["prefix"] if state == _OPEN else mix(some["doc"].astype(np.uint64))
-                    yield emit((key % np.uint64(parts)).astype(np.int64), state, some)
+                    yield emit((key % np.uint64(parts)).astype(np.int64), state, {**some, "prefix": some["prefix"] >> np.uint64(32)})
 
     return work
 
@@ -349,7 +350,7 @@ def kept_texts(docs: DataFrame, group: int = GROUP) -> DataFrame:
     valid = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     counts = materialize(valid.mapInArrow(_count_anchors, "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n")), "prefixes")
     total = counts.filter("prefix IS NULL").first()
-    hot = counts.filter(F.col("prefix").isNotNull() & (F.col("n") > group) & (F.col("n") > HOT * valid.count())).select("prefix").collect()  # at most 1 / HOT times a document's anchors
+    hot = counts.filter(F.col("prefix").isNotNull() & (F.col("n") > HOT * valid.count())).select("prefix").collect()  # at most 1 / HOT times a document's anchors
     shared = spark.sparkContext.broadcast(np.sort(np.array([r.prefix for r in hot], np.int64).view(np.uint64)))
     parts = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total.n if total else 0) // PART))
     rows = valid.mapInArrow(_anchor_rows(parts, shared), "part int, state int, blob binary")
