@@ -41,6 +41,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows up to which a table is broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def sized(table: DataFrame, row_bytes: int | str = 16) -> DataFrame:
+    """A written table, to be broadcast if it is small: by its rows of so many bytes, or by the lengths of a column."""
+    size = F.count("*") * row_bytes if isinstance(row_bytes, int) else F.sum(F.octet_length(row_bytes))
+    return F.broadcast(table) if (table.agg(size.alias("size")).first().size or 0) <= BROADCAST_BYTES else table
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b); component is the smallest node reachable.
 

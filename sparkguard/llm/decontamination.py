@@ -6,9 +6,13 @@ floor((1 - LEAST) * u) + 1 smallest shingle hashes: a document that holds at lea
 few to miss all of them, so the search loses nothing, however long the document is. Documents probe the sketches with
 the hashes of all their shingles; candidates are verified by the exact share of the item's shingles in the document.
 
-Nulls and texts under five words have no shingles and never match. Rows with a null doc_id or item_id take no part.
-Repeated rows and rows that share a doc_id give one row per (doc_id, item_id), of the text that shares most. Other
-columns are not read.
+Candidates are few, so documents are filtered by them where they are read and no text is shuffled; only where they are too
+many for a broadcast are they joined by a shuffle.
+
+Nulls, empty texts and texts under five words have no shingles and never match. Rows with a null doc_id or item_id take no part.
+Repeated rows and rows that share a doc_id or an item_id give one row per (doc_id, item_id), of the texts with the greatest
+containment; ties go to the longer item. Very long texts are searched whole. Empty tables give no rows. Other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -16,9 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, sized
+
 WORDS, LEAST = 5, 0.8
-#: Sketch rows (16 bytes each) up to which their table is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 200_000
 
 
 def words_of(text: str = "text") -> Column:
@@ -48,17 +52,16 @@ def contamination(docs: DataFrame, items: DataFrame, least: float = LEAST) -> Da
     """doc_id, item_id, n_shingles, n_shared, containment of each document that holds at least least of an item."""
     docs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     items = items.filter("item_id IS NOT NULL").select("item_id", words_of().alias("words"))
-    sketch = sketches(items, least)
-    small = sketch.count() <= BROADCAST_ROWS
+    sketch = sized(materialize(sketches(items, least), "sketches"))
     probe = docs.select("doc_id", words_of().alias("words")).select("doc_id", F.explode(shingle_hashes("words")).alias("hash"))
-    candidates = probe.join(F.broadcast(sketch) if small else sketch, "hash").select("doc_id", "item_id").distinct()
+    candidates = sized(materialize(probe.join(sketch, "hash").select("doc_id", "item_id").distinct(), "candidates"))
     exact = items.select("item_id", shingles("words").alias("of_item")).filter("of_item IS NOT NULL")
-    pairs = candidates.join(F.broadcast(exact) if small else exact, "item_id")
-    texts = pairs.join(docs, "doc_id").withColumn("words", words_of())
+    exact = sized(materialize(exact.withColumn("joined", F.array_join("of_item", " ")), "shingles"), "joined").drop("joined")
+    texts = docs.join(candidates, "doc_id").withColumn("words", words_of()).join(exact, "item_id")
     counted = texts.select("doc_id", "item_id", F.size("of_item").cast("long").alias("n_shingles"), F.size(F.array_intersect("of_item", shingles("words"))).cast("long").alias("n_shared"))
     # the threshold comes after the aggregation: below it, it would evaluate the shingles once more for every reference
-    best = counted.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_shared", "n_shingles")).alias("m")).select("doc_id", "item_id", "m.n_shingles", "m.n_shared")
-    return best.filter(F.col("n_shared") >= F.col("n_shingles") * least - 1e-9).withColumn("containment", F.expr("n_shared / n_shingles"))
+    best = counted.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.expr("n_shared / n_shingles AS containment"), "n_shingles", "n_shared")).alias("m"))
+    return best.select("doc_id", "item_id", "m.n_shingles", "m.n_shared", "m.containment").filter(F.col("n_shared") >= F.col("n_shingles") * least - 1e-9)
 
 
 ORACLE_SQL = f"""
