@@ -10,11 +10,15 @@ positions. Similarity = aligned shingles / shingles of the longer document; a pa
 Equal texts are one node. Each bucket's members are first compared with the bucket's smallest member, which is linear
 for groups of copies; all pairs of what is then still in different components of one bucket are compared in blocks, so
 no link inside a bucket is lost and no task holds a bucket. A block's shared shingles come from one matrix product, and
-only pairs that share enough are aligned. A pair at the threshold meets in no bucket with a probability of 5e-5, one of
-similarity 0.9 with 1e-10. Classes are the connected components of the links.
-
-Null text: a class of its own. Empty text (no word): one class of all texts equal to it. Rows that share a doc_id count
-as one document. Null doc_id: class null, kept. Columns beside doc_id and text are not read by near_duplicates().
+only pairs that share enough are aligned. A table's picks all fall among the shared shingles of a pair that shares m of n with a
+probability of C(m, 3) / C(2n - m, 3): a pair of long texts at the threshold meets in no bucket with a probability of 5e-5, one of
+similarity 0.9 with 1e-10, while of short ones (8 of 10 shingles) 3e-4 and of the shortest (4 of 5) 2e-3 are missed. Texts are
+shuffled for those in buckets only. Classes are the connected components of the links.
+
+Null text: a class of its own. Empty text (no word): one class of all texts equal to it. Very long texts are compared whole;
+blocks are bounded by bytes as well as by rows. Rows that share a doc_id count as one document. Ties: the smallest doc_id names a
+class. Null doc_id: class null, kept. An empty table gives no rows. Columns beside doc_id and text, whatever their names, are not
+read by near_duplicates().
 """
 
 from __future__ import annotations
@@ -26,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, connected_components, first_rows, gram_hashes, materialize, mix, slices, utf8, word_hashes, word_spans
+from .common import bound_batches, connected_components, first_rows, gram_hashes, materialize, mix, sized, slices, utf8, word_hashes, word_spans
 
 WORDS, SIMILARITY, TABLES, PICKS = 5, 0.8, 28, 3
 #: Rows of a bucket that one group compares with each other in the second step.
 BLOCK = 512
+#: Bytes of text of such a block.
+BLOCK_BYTES = 16 << 20
 _SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 _TOP = np.uint64(0xFFFFFFFF00000000)
 
@@ -136,7 +142,7 @@ def overlaps(grams: list[np.ndarray]) -> np.ndarray:
 def _sketches(docs: DataFrame, tables: int, picks: int) -> DataFrame:
     def sketch(batches):
         for batch in batches:
-            data, offsets = utf8(batch.column(2))
+            data, offsets = utf8(batch.column(3))
             parts, sizes = [], np.zeros(batch.num_rows, np.int64)
             for i, j in slices(offsets):
                 grams, counts, _ = labelled_shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -144,10 +150,10 @@ def _sketches(docs: DataFrame, tables: int, picks: int) -> DataFrame:
                 parts.append(order_keys(grams, counts, tables, picks))
             keys = np.concatenate(parts) if parts else np.zeros((0, tables), np.uint64)
             cuts = np.concatenate(([0], np.cumsum(np.where(sizes > 0, tables, 0)))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys.reshape(-1).view(np.int64)))], ["doc_id", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys.reshape(-1).view(np.int64)))], ["doc_id", "digest", "bytes", "keys"])
 
-    rows = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), "text")
-    return rows.mapInArrow(sketch, "doc_id long, digest binary, keys array<long>")
+    rows = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").cast("long").alias("bytes"), "text")
+    return rows.mapInArrow(sketch, "doc_id long, digest binary, bytes long, keys array<long>")
 
 
 def _shingles_of(texts: pa.Array) -> list[np.ndarray]:
@@ -224,21 +230,23 @@ def _verify_blocks(least: float):
     return verify
 
 
-def _unsettled(members: DataFrame, comps: DataFrame) -> DataFrame:
+def _unsettled(members: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
     """Members of buckets that hold several components; minor: not in the leader's component."""
     placed = members.join(comps.withColumnRenamed("node", "known"), F.col("node") == F.col("known"), "left").select("bucket", "leader", "node", F.coalesce("component", "node").alias("component"))
     leads = placed.filter("node = leader").select("bucket", F.col("component").alias("lead"))
     parts = placed.join(leads, "bucket").select("bucket", "node", "component", (F.col("component") != F.col("lead")).alias("minor"))
-    sizes = parts.groupBy("bucket").agg(F.count_if(~F.col("minor")).alias("n_major"), F.count_if("minor").alias("n_minor")).filter("n_minor > 0")
-    return parts.join(sizes, "bucket")
+    open_ = parts.groupBy("bucket").agg(F.count_if("minor").alias("n_minor")).filter("n_minor > 0").select("bucket")
+    rows = parts.join(open_, "bucket").join(nodes.select("node", "bytes"), "node")
+    some = lambda minor: F.greatest(F.count_if(minor) / BLOCK, F.sum(F.when(minor, F.col("bytes")).otherwise(0)) / BLOCK_BYTES)
+    sizes = rows.groupBy("bucket").agg(F.ceil(some(~F.col("minor"))).cast("int").alias("majors"), F.ceil(some(F.col("minor"))).cast("int").alias("minors"))
+    return rows.drop("bytes").join(sizes, "bucket")
 
 
 def _blocks(unsettled: DataFrame) -> DataFrame:
     """Groups of at most two blocks of a bucket's members, which between them hold all its pairs but those in the leader's component."""
-    sized = unsettled.withColumn("majors", F.ceil(F.col("n_major") / BLOCK).cast("int")).withColumn("minors", F.ceil(F.col("n_minor") / BLOCK).cast("int"))
     own = F.expr("CASE WHEN minor THEN majors + pmod(hash(node), minors) ELSE pmod(hash(node), majors) END")
     others = F.expr("CASE WHEN minor THEN sequence(0, majors + minors - 1) ELSE sequence(majors, majors + minors - 1) END")
-    exploded = sized.withColumn("side", own).withColumn("other", F.explode(others))
+    exploded = unsettled.withColumn("side", own).withColumn("other", F.explode(others))
     return exploded.select("node", "component", F.xxhash64("bucket", F.least("side", "other"), F.greatest("side", "other")).alias("group"), "side")
 
 
@@ -246,20 +254,20 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, tables: int = TA
     """One row per row of docs: doc_id, class_id (smallest doc_id of its class), kept (doc_id = class_id)."""
     docs = bound_batches(docs).select("doc_id", "text")
     sketches = materialize(_sketches(docs, tables, picks), "sketches")
-    nodes = sketches.filter("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest", "keys").agg(F.min("doc_id").alias("node"))
+    nodes = sketches.filter("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest", "keys").agg(F.min("doc_id").alias("node"), F.max("bytes").alias("bytes"))
     nodes = materialize(nodes, "nodes")
     rows = nodes.filter("size(keys) > 0").select("node", F.posexplode("keys").alias("t", "key")).select(F.xxhash64("t", "key").alias("bucket"), "node")
     buckets = rows.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
     members = materialize(rows.join(buckets.drop("n"), "bucket"), "members")
     pairs = members.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    wanted = members.select("node").distinct()
-    texts = materialize(docs.join(wanted, docs.doc_id == wanted.node, "left_semi").filter("text IS NOT NULL").select("doc_id", "text"), "texts")
+    wanted = sized(materialize(members.select(F.col("node").alias("doc_id")).distinct(), "wanted"))
+    texts = materialize(docs.join(wanted, "doc_id", "left_semi").filter("text IS NOT NULL").select("doc_id", "text"), "texts")
     first = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
     links = materialize(first.select("a", "b", "text_a", "text_b").mapInArrow(_verify_pairs(least), "a long, b long"), "links")
 
     # what is still in several components of one bucket
     comps = materialize(connected_components(links), "components")
-    unsettled = materialize(_unsettled(members, comps), "unsettled")
+    unsettled = materialize(_unsettled(members, comps, nodes), "unsettled")
     blocks = _blocks(unsettled).join(texts, F.col("node") == texts.doc_id).select("group", "side", "node", "component", "text")
     late = blocks.repartition("group").sortWithinPartitions("group", "side", "node").mapInArrow(_verify_blocks(least), "a long, b long")
     late = materialize(late, "late_links")
