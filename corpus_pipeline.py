@@ -1,7 +1,10 @@
 """A training-corpus pipeline of five stages; each stage's rows are written as Parquet and read again by the next.
 
-Every stage but the last returns the columns of documents. Columns beside doc_id and text pass through unread; n_chars
-follows the text where secrets are hidden. Rows with a null doc_id are kept by the stages that decide by doc_id.
+Every stage but the last returns the columns of documents. Columns beside doc_id and text, whatever their names and types,
+pass through unread; n_chars follows the text where secrets are hidden. Rows with a null doc_id are kept by near-duplicate
+removal, which decides by doc_id, and judged by their texts in all other stages. Null and empty texts are dropped by the first
+stage and pass the others. Texts of any length are read whole, ties and repeated rows are as each stage says, and empty tables give
+empty tables.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkguard.llm import config_packing, decontamination, langid, near_dedup, secret_scan
-from sparkguard.llm.common import materialize, read
+from sparkguard.llm.common import materialize, read, sized
 
 
 #: Share of a document's letters (by their UTF-8 bytes, as label_spans() scores) that the spans of one language hold at least.
@@ -31,19 +34,32 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.filter(F.expr("lang_pred <> 'und'") & (F.col("score") >= MIN_SCORE)).select(plain.columns).toDF(*names)
 
 
+def _without(docs: DataFrame, bad: DataFrame, key: str) -> DataFrame:
+    """docs but for those whose key is in bad; texts are only shuffled where the keys are too many for a broadcast."""
+    return docs.join(sized(materialize(bad.select(key).distinct(), "dropped")), key, "left_anti")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates keep the document with the smallest doc_id, and one of its rows if it is repeated."""
-    copies = near_dedup.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    kept = docs.filter("doc_id IS NOT NULL").join(copies, "doc_id", "left_anti")
-    others = [c for c in docs.columns if c != "doc_id"]
-    one = kept.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in others if c != "text"])).alias("row")).select("doc_id", "row.*")
-    return one.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    """Of each class of near duplicates keep the document with the smallest doc_id.
+
+    Rows that share a doc_id are one document: of those with equal texts one stays, unlike texts all do.
+    """
+    names = docs.columns
+    copies = near_dedup.near_duplicates(docs).filter("NOT kept").select("doc_id")
+    kept = materialize(_without(docs, copies, "doc_id").select(names), "kept")
+    shared = sized(materialize(kept.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "shared"))
+    again = kept.join(shared, "doc_id", "left_semi").select(names)
+    text = "t" * (max(map(len, names)) + 1)  # a name that no column has
+    one = again.withColumn(text, F.sha2("text", 256)).dropDuplicates(["doc_id", text]).select(names)
+    return kept.join(shared, "doc_id", "left_anti").select(names).unionByName(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
-    leaks = decontamination.contamination(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """Drop documents that hold a benchmark item; rows that share a doc_id, or have none, are each judged by their text."""
+    key = "k" * (max(map(len, docs.columns)) + 1)
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    leaks = decontamination.contamination(keyed.select(F.col(key).alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    return _without(keyed, leaks.select(F.col("doc_id").alias(key)), key).select(docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
