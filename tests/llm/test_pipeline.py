@@ -50,6 +50,28 @@ def test_language_stage_decides_by_spans(spark, tmp_path):
     assert kept(docs.withColumn("lang", F.when(langid.held_out(), F.col("lang")))) == {*range(60), 100, 101}
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null ids, shared ids, clashing and map columns, empty tables."""
+    item, base, unlike = (" ".join(words(n, k)) for n, k in ((30, 9), (120, 1), (90, 2)))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, base), (1, unlike), (1, base), (2, base), (None, base), (None, unlike + " " + item), (3, None), (4, ""), (5, item + " " + unlike), (5, " ".join(words(70, 5)))]
+    schema = "doc_id long, text string, lang string, n_chars int, score double, spans map<string,int>, label string, keep string, node long, class_id int, tag string, item_id string"
+    docs = spark.createDataFrame([(i, t, None, len(t or ""), 0.5, {"a": 1}, "l", "k", 7, 8, "t", "x") for i, t in rows], schema)
+    kept = lambda name, d: sorted((r.doc_id or 0, r.text or "") for r in dict(corpus_pipeline.STAGES)[name](spark, d, str(tmp_path)).collect())
+    text = lambda r: (r[0] or 0, r[1] or "")
+    assert kept("language_id", docs) == sorted(text(r) for r in rows if r[1])
+    # 2 is a copy of 1; 1 keeps both of its texts, one row each
+    assert kept("near_dedup", docs) == sorted([text(r) for i, r in enumerate(rows) if i not in (2, 3)])
+    assert kept("decontamination", docs) == sorted(text(r) for r in rows if item not in (r[1] or ""))
+    assert kept("secrets", docs) == sorted(map(text, rows))
+    packed = corpus_pipeline.pack_sequences(spark, docs, str(tmp_path))
+    assert packed.count() == len(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert name == "packing" or out.schema.simpleString() == docs.schema.simpleString()
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_run_equals_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     rows = out.collect()
