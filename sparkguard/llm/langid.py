@@ -1,11 +1,13 @@
 """Language identification: scripts narrow the candidates, Viterbi over word scores labels spans.
 
 A word's score for a language is the sum of log-probabilities of its byte trigrams, learned from labelled rows. Script
-ranges (from the lead bytes of UTF-8) rule out languages that never use the word's script. Viterbi with a constant
-penalty for each switch then labels every word, so that a document may hold spans of several languages.
+ranges of code points rule out languages that never use the word's script; code points of no script (signs, emoji, punctuation)
+count for nothing. Viterbi with a constant penalty for each switch then labels every word, so that a document may hold spans of
+several languages. Words are separated by ASCII white space: what is written without it (Chinese, Thai) is one word and one span.
 
-Nulls and empty texts have no spans and are `und`; so are texts without a letter. Repeated rows give repeated rows.
-Ties go to the language that sorts first. Other columns of the input are not read.
+Nulls and empty texts have no spans and are `und`; so are texts without a letter. Very long texts are labelled whole. Repeated
+rows give repeated rows, null doc_ids are carried and learned from. Ties go to the language that sorts first. Without a labelled
+row all are `und`. An empty table gives no rows. Other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, bound_batches, byte_set, first_rows, slices, utf8, word_spans
+from .common import ASCII_LOWER, bound_batches, first_rows, slices, utf8, word_spans
 
 BUCKETS = 1 << 15
 #: Bound on the labelled rows that the model is fitted to.
@@ -26,12 +28,28 @@ MAX_TRAINING_ROWS = 20_000
 SWITCH_PENALTY = 14.0
 PART_BYTES, FEATURE_BYTES = 4 << 20, 1 << 20
 
-# Scripts by the lead byte of a letter's UTF-8 form: 0 none, 1 Latin, 2 Greek, 3 Cyrillic, 4 Armenian/Hebrew, 5 Arabic, 6 Indic/Thai, 7 kana/Han, 8 Hangul.
-_SCRIPT = np.zeros(256, np.uint8)
-for _s, _lo, _hi in ((1, 0x41, 0x5A), (1, 0x61, 0x7A), (1, 0xC3, 0xCA), (2, 0xCD, 0xCF), (3, 0xD0, 0xD3), (4, 0xD4, 0xD7), (5, 0xD8, 0xDF), (6, 0xE0, 0xE0), (1, 0xE1, 0xE1), (7, 0xE3, 0xE9), (8, 0xEA, 0xED), (7, 0xF0, 0xF0)):
-    _SCRIPT[_lo : _hi + 1] = _s
-N_SCRIPTS = 9
-_LETTER = byte_set((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
+#: Scripts by ranges of code points (blocks of Unicode); letters of other code points have none.
+SCRIPTS = {
+    "Latin": [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xB5, 0xB5), (0xBA, 0xBA), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F), (0x250, 0x2AF), (0x300, 0x36F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xFB00, 0xFB06), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)],
+    "Greek": [(0x370, 0x3FF), (0x1F00, 0x1FFF)],
+    "Cyrillic": [(0x400, 0x52F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)],
+    "Armenian": [(0x530, 0x58F), (0xFB13, 0xFB17)],
+    "Hebrew": [(0x590, 0x5FF), (0xFB1D, 0xFB4F)],
+    "Arabic": [(0x600, 0x6FF), (0x750, 0x77F), (0x8A0, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFE)],
+    "Devanagari": [(0x900, 0x97F), (0xA8E0, 0xA8FF)],
+    **{name: [(0x980 + 0x80 * i, 0x9FF + 0x80 * i)] for i, name in enumerate(("Bengali", "Gurmukhi", "Gujarati", "Oriya", "Tamil", "Telugu", "Kannada", "Malayalam", "Sinhala", "Thai", "Lao"))},
+    "Tibetan": [(0xF00, 0xFFF)],
+    "Myanmar": [(0x1000, 0x109F)],
+    "Georgian": [(0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F)],
+    "Hangul": [(0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF)],
+    "Ethiopic": [(0x1200, 0x139F), (0x2D80, 0x2DDF)],
+    "Khmer": [(0x1780, 0x17FF)],
+    "Kana": [(0x3040, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9D)],
+    "Han": [(0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)],
+}
+_RANGES = sorted((lo, hi, i + 1) for i, ranges in enumerate(SCRIPTS.values()) for lo, hi in ranges)
+_LOW, _HIGH, _NUMBER = (np.array(x) for x in zip(*_RANGES, strict=True))
+N_SCRIPTS = len(SCRIPTS) + 1
 
 
 @dataclass
@@ -43,6 +61,27 @@ class LanguageModel:
     allowed: np.ndarray
 
 
+def byte_scripts(data: np.ndarray) -> np.ndarray:
+    """The script of the code point that each byte of UTF-8 text belongs to; 0: none."""
+    out = np.zeros(len(data), np.uint8)
+    out[((data >= 0x41) & (data <= 0x5A)) | ((data >= 0x61) & (data <= 0x7A))] = list(SCRIPTS).index("Latin") + 1
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        first = data[lead].astype(np.int64)
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        point = first & (0x7F >> size)
+        for k in range(1, 4):
+            more = size > k
+            at = np.minimum(lead + k, len(data) - 1)
+            point = np.where(more, point << 6 | (data[at] & 0x3F), point)
+        k = np.searchsorted(_LOW, point, "right") - 1
+        script = np.where((k >= 0) & (point <= _HIGH[k]), _NUMBER[k], 0).astype(np.uint8)
+        for k in range(4):
+            some = size > k
+            out[np.minimum(lead[some] + k, len(data) - 1)] = script[some]
+    return out
+
+
 def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     """Trigram bucket of each byte within a word (0: not a letter), each word's first such byte, and its script."""
     lengths = ends - starts
@@ -54,9 +93,10 @@ def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     b = np.where(in_word > 0, low[at - 1], 32).astype(np.uint32)
     c = np.where(in_word > 1, low[at - 2], 32).astype(np.uint32)
     bucket = ((a | b << np.uint32(8) | c << np.uint32(16)) * np.uint32(2654435761)) >> np.uint32(17)
-    letter = _LETTER[data[at]]
+    scripts = byte_scripts(data)[at]
+    letter = scripts > 0
     bucket = np.where(letter, np.maximum(bucket, 1), 0).astype(np.int32)
-    script = np.maximum.reduceat(_SCRIPT[data[at]], first) if len(first) else np.zeros(0, np.uint8)
+    script = np.maximum.reduceat(scripts, first) if len(first) else np.zeros(0, np.uint8)
     letters = np.add.reduceat(letter.astype(np.int32), first) if len(first) else np.zeros(0, np.int32)
     return bucket, first, script, letters
 
