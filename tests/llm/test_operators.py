@@ -162,6 +162,18 @@ def test_language_spans(spark, docs, empty):
     assert langid.identify(empty).count() == 0
 
 
+def test_scripts_of_code_points():
+    names = ["", *langid.SCRIPTS]
+    scripts = lambda t: [names[x] for x in langid.byte_scripts(np.frombuffer(t.encode(), np.uint8))]
+    for letter, script in {"a": "Latin", "é": "Latin", "ế": "Latin", "ß": "Latin", "λ": "Greek", "ж": "Cyrillic", "ժ": "Armenian", "ש": "Hebrew", "ع": "Arabic", "ह": "Devanagari", "ক": "Bengali", "த": "Tamil", "ไ": "Thai", "ა": "Georgian", "አ": "Ethiopic", "한": "Hangul", "か": "Kana", "中": "Han", "𠀀": "Han", "😀": "", "—": "", "×": "", "5": ""}.items():
+        assert set(scripts(letter)) == {script}, letter
+        assert scripts("x" + letter + "y") == ["Latin", *[script] * len(letter.encode()), "Latin"]
+    data, offsets = utf8(pa.array(["hello😀 გამარჯობა 中文"]))
+    starts, ends, _ = word_spans(data, offsets)
+    _, _, script, letters = langid._features(data, starts, ends)
+    assert [names[x] for x in script] == ["Latin", "Georgian", "Han"] and letters.tolist() == [5, 27, 6]
+
+
 def test_held_out_accuracy(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     got = langid.identify(d).filter("held_out").join(d.select("doc_id", "lang"), "doc_id")
@@ -188,6 +200,13 @@ def test_license_scan(spark, empty):
     got = {(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(1, 7, 2, 3, 5, "mit", "mit"), (2, 10, 2, 2, 8, "apache,gpl", "apache,gpl,lgpl"), (3, 0, 0, None, None, "", ""), (4, 0, 0, None, None, "", ""), (5, 15, 0, None, None, "", "mit"), (6, 5, 0, None, None, "", "")}
     assert license_scan.scan(empty).count() == 0
+    filler = " lorem" * 30_000
+    notice = {k: v.replace("[", "").replace("]", "") for k, v in license_scan.NOTICES.items()}
+    changed = notice["zlib"].replace("authors", "writers")
+    texts = [(10, f"x {notice['isc']}."), (11, changed.upper()), (12, notice["zlib"].replace("damages", "harm")), (13, filler + " " + notice["bsd"]), (14, notice["zlib"].replace("held", "held held")), (None, notice["mpl"])]
+    df = spark.createDataFrame([(i, t, "w", 1) for i, t in texts], "doc_id long, text string, words string, hits int")
+    labels = {r.doc_id: r.labels for r in license_scan.scan(df).collect()}
+    assert labels == {10: "isc", 11: "zlib", 12: "", 13: "bsd", 14: "", None: "mpl"}
 
 
 def test_decontamination(spark, docs, empty):
