@@ -6,8 +6,9 @@ the smallest sufficient room, found in a segment tree over room sizes. Nothing i
 block, and a block leaves at most a few rows part filled. A row is written as its id vector (little-endian 32 bit, short of `capacity`
 only by its padding), the cumulative lengths of its segments, and position ids that restart at every segment.
 
-Null text counts as empty: one piece that holds the end-of-document id alone. Repeated rows are packed as often as they
-stand. Null doc_ids are carried. Other columns are not read. sequence_id = partition * 2**32 + number in the partition.
+Null text counts as empty: one piece that holds the end-of-document id alone. A text of any length is read whole. Repeated rows
+are packed as often as they stand. Null doc_ids are carried. Ties: of equally long pieces the earlier one is placed first. An empty
+table gives no rows. Other columns, whatever their names, are not read. sequence_id = partition * 2**32 + number in the partition.
 """
 
 from __future__ import annotations
@@ -132,6 +133,7 @@ def write_packed(packed: DataFrame, path: str, capacity: int = CAPACITY, pad_id:
     packed.select("sequence_id", "n_tokens", ids.alias("input_ids"), "cu_seqlens", resets.alias("position_resets"), "segments").write.parquet(path)
 
 
-def digest(packed: DataFrame) -> DataFrame:
-    """packed with the checksum of its ids and the places where positions restart."""
-    return packed.select("sequence_id", "n_tokens", F.crc32("input_ids").alias("ids_crc32"), "input_ids", "cu_seqlens", F.slice("cu_seqlens", F.lit(1), F.size("cu_seqlens") - 1).alias("position_resets"), "segments")
+def digest(written: DataFrame) -> DataFrame:
+    """Rows of the written matrix with the checksum of their ids, short of the padding."""
+    ids = F.expr("substring(input_ids, 1, 4 * n_tokens)")
+    return written.select("sequence_id", "n_tokens", F.crc32(ids).alias("ids_crc32"), "input_ids", "cu_seqlens", "position_resets", "segments")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_dir
 from . import bfd_packing, config_packing, decontamination, embedding_dedup, langid, license_scan, near_dedup, secret_scan, substring_dedup, warc
 from .common import materialize, read
 
@@ -13,7 +14,9 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bfd_packing.digest(bfd_packing.pack(read(spark, sf_dir, "documents")))
+    path = shared_dir(spark, "matrix")
+    bfd_packing.write_packed(bfd_packing.pack(read(spark, sf_dir, "documents")), path)
+    return bfd_packing.digest(spark.read.parquet(path))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

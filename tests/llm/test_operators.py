@@ -411,6 +411,11 @@ def test_packed_rows_round_trip(docs, empty, tmp_path):
     bfd_packing.write_packed(packed, str(tmp_path / "packed"), 256)
     back = docs.sparkSession.read.parquet(str(tmp_path / "packed"))
     assert back.count() == len(rows) and back.filter("length(input_ids) <> 1024").count() == 0
+    by_id = {r.sequence_id: r for r in rows}
+    for r in bfd_packing.digest(back).collect():
+        packed_row = by_id[r.sequence_id]
+        assert (r.n_tokens, r.ids_crc32, r.cu_seqlens, r.position_resets) == (packed_row.n_tokens, zlib.crc32(packed_row.input_ids), packed_row.cu_seqlens, packed_row.cu_seqlens[:-1])
+        assert bytes(r.input_ids) == bytes(packed_row.input_ids) + b"\0" * (1024 - 4 * r.n_tokens)
 
 
 def test_configuration_packing(docs, empty):
