@@ -46,11 +46,6 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
 
-def p50_p95(value: str, name: str) -> list[Column]:
-    """Nearest-rank percentiles; 0 without values."""
-    return [F.coalesce(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})"), F.lit(0.0)).alias(f"{name}_p{int(100 * p)}") for p in (0.5, 0.95)]
-
-
 def conversation_id(caller: str, first_user_message: str) -> Column:
     """First 16 hex digits of SHA-256 over caller, a zero character and the first user message."""
     return F.substring(F.sha2(F.concat(F.coalesce(caller, F.lit("")), F.char(F.lit(0)), F.coalesce(first_user_message, F.lit(""))), 256), 1, 16)

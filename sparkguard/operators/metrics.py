@@ -44,8 +44,30 @@ def timeline(per_request: DataFrame) -> DataFrame:
     return per_request.groupBy(C.minute_text(F.col("first_ts")).alias("minute")).agg(F.count("*").alias("requests"), *[F.count_if(F.col("outcome") == n).alias(n) for n in names])
 
 
+def percentiles(rows: DataFrame, values: dict[str, str], keys: tuple[str, ...] = (), chunks: int = 256) -> DataFrame:
+    """Nearest-rank p50 and p95 of several columns (name: column), per key or as one row; 0 without values.
+
+    Exact, but no state or task holds all distinct values: equal ones are counted first, approximate quantiles cut them into chunks of
+    about equal counts, counts of chunks tell where the ranks fall, and only the values of those chunks are put in order.
+    """
+    by = [*keys, "measure"]
+    sides = F.array(*[F.struct(F.lit(name).alias("measure"), F.col(column).cast("double").alias("value")) for name, column in values.items()])
+    counted = rows.select(*keys, F.inline(sides)).filter("value IS NOT NULL").groupBy(*by, "value").agg(F.count("*").alias("n"))
+    cuts = counted.groupBy(*by).agg(F.percentile_approx("value", [i / chunks for i in range(1, chunks)], 4 * chunks).alias("cuts"))
+    cut = counted.join(F.broadcast(cuts), by).withColumn("chunk", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    w = Window.partitionBy(*by)
+    sizes = cut.groupBy(*by, "chunk").agg(F.sum("n").alias("size")).withColumn("upto", F.sum("size").over(w.orderBy("chunk"))).withColumn("total", F.sum("size").over(w))
+    ranks = sizes.withColumn("p", F.explode(F.array(F.lit(50), F.lit(95)))).withColumn("rank", F.greatest(F.ceil(F.col("p") * F.col("total") / 100), F.lit(1)))
+    homes = ranks.filter("rank <= upto AND rank > upto - size").select(*by, "chunk", "p", (F.col("rank") - F.col("upto") + F.col("size")).alias("rank"))
+    near = cut.join(F.broadcast(homes.select(*by, "chunk").distinct()), [*by, "chunk"])
+    placed = near.withColumn("last", F.sum("n").over(Window.partitionBy(*by, "chunk").orderBy("value")))
+    found = placed.join(F.broadcast(homes), [*by, "chunk"]).filter("rank <= last AND rank > last - n")
+    pick = lambda name, p: F.coalesce(F.max(F.when((F.col("measure") == name) & (F.col("p") == p), F.col("value"))), F.lit(0.0)).alias(f"{name}_p{p}")
+    return found.groupBy(*keys).agg(*[pick(name, p) for name in values for p in (50, 95)])
+
+
 def overhead(per_request: DataFrame) -> DataFrame:
-    return per_request.agg(*C.p50_p95("overhead_ms", "overhead_ms"), *C.p50_p95("rules_overhead_ms", "rules_overhead_ms"))
+    return percentiles(per_request, {"overhead_ms": "overhead_ms", "rules_overhead_ms": "rules_overhead_ms"})
 
 
 def blocks_by(audit: DataFrame, key: str) -> DataFrame:
@@ -71,30 +93,16 @@ def decided_by(audit: DataFrame) -> DataFrame:
 
 
 def latency_by_check(audit: DataFrame) -> DataFrame:
-    return check_rows(audit).groupBy("check").agg(*C.p50_p95("latency_ms", "latency_ms"))
-
-
-def judge_latency(audit: DataFrame) -> DataFrame:
-    return check_rows(audit).filter(F.col("check") == JUDGE).agg(*C.p50_p95("latency_ms", "jev_latency_ms"))
+    return percentiles(check_rows(audit), {"latency_ms": "latency_ms"}, ("check",))
 
 
 def latency_by_check_ranked(audit: DataFrame, chunks: int = 512) -> DataFrame:
-    """latency_by_check for checks with too many distinct values for one state: counts per value range, then ranks in one range.
+    """latency_by_check with another number of chunks."""
+    return percentiles(check_rows(audit), {"latency_ms": "latency_ms"}, ("check",), chunks)
 
-    The value range that holds a percentile's rank is found from counts per (check, chunk of values); only its rows are ranked.
-    """
-    rows = check_rows(audit).select("check", "latency_ms").filter("latency_ms IS NOT NULL")
-    bounds = rows.groupBy("check").agg(F.min("latency_ms").alias("lo"), F.max("latency_ms").alias("hi"))
-    width = F.greatest((F.col("hi") - F.col("lo")) / chunks, F.lit(1e-12))
-    cut = rows.join(F.broadcast(bounds), "check").withColumn("chunk", F.least(F.floor((F.col("latency_ms") - F.col("lo")) / width), F.lit(chunks - 1)))
-    sizes = cut.groupBy("check", "chunk").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("check")
-    placed = sizes.withColumn("upto", F.sum("n").over(w.orderBy("chunk"))).withColumn("total", F.sum("n").over(w))
-    ranks = placed.withColumn("p", F.explode(F.array(F.lit(50), F.lit(95)))).withColumn("rank", F.greatest(F.ceil(F.col("p") * F.col("total") / 100), F.lit(1)))
-    home = ranks.filter("rank <= upto AND rank > upto - n").select("check", "chunk", "p", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("inner"))
-    numbered = cut.withColumn("i", F.row_number().over(Window.partitionBy("check", "chunk").orderBy("latency_ms")))
-    found = numbered.join(home, ["check", "chunk"]).filter("i = inner")
-    return found.groupBy("check").agg(*[F.max(F.when(F.col("p") == p, F.col("latency_ms"))).alias(f"latency_ms_p{p}") for p in (50, 95)])
+
+def judge_latency(audit: DataFrame) -> DataFrame:
+    return percentiles(check_rows(audit).filter(F.col("check") == JUDGE), {"jev_latency_ms": "latency_ms"})
 
 
 def system_events(audit: DataFrame) -> DataFrame:

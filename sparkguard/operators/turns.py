@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..schemas import TURN_SUMMARY
+from .metrics import overhead, percentiles, totals, usage_total
 
 
 def summary_rows(audit: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def turns(audit: DataFrame) -> DataFrame:
 
 def request_latency(turn: DataFrame) -> DataFrame:
     total = turn.withColumn("total_ms", F.col("pre_ms") + F.coalesce("upstream_ms", F.lit(0.0)) + F.coalesce("post_ms", F.lit(0.0)))
-    found = total.agg(*[c for v in ("pre_ms", "upstream_ms", "post_ms", "total_ms") for c in C.p50_p95(v, v)])
+    found = percentiles(total, {v: v for v in ("pre_ms", "upstream_ms", "post_ms", "total_ms")})
     return found.withColumns({f"ttft_ms_p{p}": F.col(f"total_ms_p{p}") for p in (50, 95)})
 
 
@@ -111,7 +112,7 @@ def tokens_by_model(audit: DataFrame) -> DataFrame:
 
 def session_cost(turn: DataFrame) -> DataFrame:
     per_session = turn.filter("conversation_id IS NOT NULL").groupBy("conversation_id").agg(F.sum("cost").alias("cost"))
-    return per_session.agg(*C.p50_p95("cost", "cost"), F.coalesce(F.avg("cost"), F.lit(0.0)).alias("cost_avg"))
+    return percentiles(per_session, {"cost": "cost"}).crossJoin(per_session.agg(F.coalesce(F.avg("cost"), F.lit(0.0)).alias("cost_avg")))  # one row each
 
 
 def turn_cost(turn: DataFrame) -> DataFrame:
@@ -124,8 +125,6 @@ def blocked_before_upstream(audit: DataFrame) -> DataFrame:
 
 def history_row(per_request: DataFrame, usage: DataFrame, agent: DataFrame) -> DataFrame:
     """One flat row of headline numbers; every side is a one-row aggregate."""
-    from .metrics import overhead, totals, usage_total
-
     sums = agent.agg(F.coalesce(F.sum("sessions"), F.lit(0)).alias("sessions"), F.coalesce(F.sum("turns"), F.lit(0)).alias("turns"))
     return totals(per_request).crossJoin(overhead(per_request)).crossJoin(usage_total(usage)).crossJoin(sums)
 

@@ -115,9 +115,16 @@ def test_usage(checks):
 
 @pytest.mark.parametrize(("values", "want"), [([7.0], (7.0, 7.0)), ([3.0, 1.0], (1.0, 3.0)), ([float(i) for i in range(1, 21)], (10.0, 19.0)), ([], (0.0, 0.0))])
 def test_percentiles(spark, values, want):
-    from sparkguard.functions.columns import p50_p95
+    assert tuple(M.percentiles(spark.createDataFrame([(v,) for v in values], "v double"), {"v": "v"}).first()) == want
 
-    assert tuple(spark.createDataFrame([(v,) for v in values], "v double").agg(*p50_p95("v", "v")).first()) == want
+
+def test_percentiles_of_long_tails(spark):
+    """Few chunks, a value that is most of the rows, a long tail, nulls: as by sorting."""
+    rows = [(k, None if i % 17 == 0 else 5.0 if i % 3 else float(i**4 % 9973) ** 3, -float(i)) for k in ("a", "b") for i in range(400 if k == "a" else 7)]
+    got = M.percentiles(spark.createDataFrame(rows, "k string, v double, w double"), {"v": "v", "x": "w"}, ("k",), 4)
+    for r in got.collect():
+        v, w = ([x for x in c if x is not None] for c in ([r_[1] for r_ in rows if r_[0] == r.k], [r_[2] for r_ in rows if r_[0] == r.k]))
+        assert tuple(r)[1:] == (nearest(v, 50), nearest(v, 95), nearest(w, 50), nearest(w, 95))
 
 
 def test_agents(turn):
