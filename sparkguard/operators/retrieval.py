@@ -117,32 +117,52 @@ def search(chunks: DataFrame, query: list[float], k: int, links: DataFrame | Non
     return scored.orderBy("distance", "chunk_id").limit(k).withColumn("similarity", 1 - F.col("distance"))
 
 
+#: Bytes of query vectors or query words up to which they go to every task.
+BROADCAST_BYTES = 32 << 20
+
+
+def _nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: list, queries: np.ndarray, k: int) -> list[tuple]:
+    """(query, chunk, distance) of the k nearest of some chunks to each query; ties by chunk."""
+    distance = 1 - queries @ vectors.T / np.outer(np.linalg.norm(queries, axis=1), np.linalg.norm(vectors, axis=1))
+    return [(q, int(ids[j]), float(distance[i, j])) for i, q in enumerate(query_ids) for j in np.lexsort((ids, distance[i]))[:k]]
+
+
+_FOUND = ["query_id", "chunk_id", "distance"]
+
+
 def search_many(chunks: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
     """queries(query_id, scope, embedding) against chunks(chunk_id, scope, embedding) of their scope: the k nearest each.
 
-    Queries travel in blocks of one scope to the chunks' partitions, where a matrix product finds local candidates; only k of them
-    per query and partition are shuffled. The block table is broadcast if it is small, else joined by scope.
+    The queries of all scopes are broadcast as matrices if they are small, and every batch of chunks is multiplied with those of its
+    scopes; larger sets travel in blocks of one scope. Only k candidates per query and batch are shuffled.
     """
-    blocks = queries.groupBy("scope", F.pmod(F.hash("query_id"), F.lit(block)).alias("b")).agg(F.collect_list(F.struct("query_id", "embedding")).alias("qs"))
-    small = queries.count() * 8 * 1024 <= 64 << 20
-    paired = chunks.join(F.broadcast(blocks) if small else blocks, "scope").select("scope", "b", "chunk_id", "embedding", "qs")
-
-    def near(batches):
-        for batch in batches:
-            frame = batch.to_pandas()
-            for _, rows in frame.groupby(["scope", "b"], sort=False):
-                qs = rows["qs"].iloc[0]
-                q = np.array([np.asarray(x["embedding"], np.float64) for x in qs])
-                c = np.array([np.asarray(x, np.float64) for x in rows["embedding"]])
-                distance = 1 - q @ c.T / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1))
-                ids = rows["chunk_id"].to_numpy()
-                out = []
-                for i, x in enumerate(qs):
-                    for j in np.lexsort((ids, distance[i]))[:k]:
-                        out.append((x["query_id"], int(ids[j]), float(distance[i, j])))
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["query_id", "chunk_id", "distance"]), preserve_index=False)
-
-    local = paired.mapInArrow(near, "query_id long, chunk_id long, distance double")
+    size = queries.agg(F.sum(F.size("embedding") * F.lit(8) + 16).alias("bytes")).first().bytes or 0
+    if size <= BROADCAST_BYTES:
+        by_scope: dict = {}
+        for r in queries.select("scope", "query_id", "embedding").collect():
+            by_scope.setdefault(r.scope, []).append((r.query_id, np.asarray(r.embedding, np.float64)))
+        shared = chunks.sparkSession.sparkContext.broadcast({s: ([q for q, _ in rows], np.array([v for _, v in rows])) for s, rows in by_scope.items()})
+
+        def near(batches):
+            for batch in batches:
+                for scope, rows in batch.to_pandas().groupby("scope", sort=False):
+                    if scope in shared.value:
+                        found = _nearest(rows["chunk_id"].to_numpy(), np.array([np.asarray(x, np.float64) for x in rows["embedding"]]), *shared.value[scope], k)
+                        yield pa.RecordBatch.from_pandas(pd.DataFrame(found, columns=_FOUND), preserve_index=False)
+
+        local = chunks.select("scope", "chunk_id", "embedding").mapInArrow(near, "query_id long, chunk_id long, distance double")
+    else:
+        blocks = queries.groupBy("scope", F.pmod(F.hash("query_id"), F.lit(block)).alias("b")).agg(F.collect_list(F.struct("query_id", "embedding")).alias("qs"))
+
+        def near_blocks(batches):
+            for batch in batches:
+                for _, rows in batch.to_pandas().groupby(["scope", "b"], sort=False):
+                    qs = rows["qs"].iloc[0]
+                    vectors = np.array([np.asarray(x, np.float64) for x in rows["embedding"]])
+                    found = _nearest(rows["chunk_id"].to_numpy(), vectors, [x["query_id"] for x in qs], np.array([np.asarray(x["embedding"], np.float64) for x in qs]), k)
+                    yield pa.RecordBatch.from_pandas(pd.DataFrame(found, columns=_FOUND), preserve_index=False)
+
+        local = chunks.join(blocks, "scope").select("scope", "b", "chunk_id", "embedding", "qs").mapInArrow(near_blocks, "query_id long, chunk_id long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("similarity", 1 - F.col("distance"))
 
@@ -167,9 +187,14 @@ def tokens_of_text(text: str) -> Column:
 
 
 def keyword_search_many(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """queries(query_id, text) at once: an inverted join on words, so only chunks that share a word are scored."""
+    """queries(query_id, text) at once: an inverted join on words, so only chunks that share a word are scored.
+
+    A chunk's words stay in its task where the queries' words are broadcast, so frequent words are no hot keys.
+    """
     body = chunks.select("chunk_id", tokens_of("text").alias("words")).select("chunk_id", F.size("words").alias("n"), F.explode("words").alias("word"))
     asked = queries.select("query_id", tokens_of("text").alias("words")).select("query_id", F.size("words").alias("m"), F.explode("words").alias("word"))
+    if (asked.agg(F.sum(F.octet_length("word") + 32).alias("bytes")).first().bytes or 0) <= BROADCAST_BYTES:
+        asked = F.broadcast(asked)
     shared = body.join(asked, "word").groupBy("query_id", "chunk_id", "n", "m").agg(F.count("*").alias("s"))
     scored = shared.withColumn("score", F.round(F.col("s") / F.sqrt(F.col("n") * F.col("m")), 4))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
