@@ -37,3 +37,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.gettempdir() + "/checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def temporary(spark: SparkSession, path: str) -> None:
+    """Have a written folder removed when the application ends; results that read it are good until then."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
