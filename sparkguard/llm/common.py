@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import shared_dir, temporary
 
 #: Text is worked on in slices of whole documents of about so many bytes, which bounds a Python worker's memory.
 SLICE_BYTES = 2 << 20
@@ -35,9 +35,13 @@ def bound_batches(df: DataFrame) -> DataFrame:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder, so that a lost executor costs no recomputation of what is above."""
+    """Cut the lineage with a Parquet table in the shared folder, so that a lost executor costs no recomputation of what is above.
+
+    The table lasts as long as the application.
+    """
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
+    temporary(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

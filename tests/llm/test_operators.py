@@ -597,3 +597,24 @@ def test_salvage_is_linear_in_members():
         times.append(time.perf_counter() - start)
         assert set(ids) >= {i for i in range(n) if i % 7}
     assert times[1] < 12 * times[0] + 1 and times[1] < 30
+
+
+def test_decontamination_of_repeated_ids(spark):
+    """Clashing columns, items that share an id, very long texts."""
+    short, long_ = words(14, 90), words(104, 91)
+    items = spark.createDataFrame([(1, " ".join(short), 5), (1, " ".join(long_), 5)], "item_id long, text string, doc_id int")
+    docs = [(1, " ".join(short + long_[:19])), (2, " ".join(long_)), (3, " ".join(long_[:60])), (4, " ".join(words(40_000, 92) + short)), (5, "x" * 200_000)]
+    df = spark.createDataFrame([(i, t, "h", "i", 1) for i, t in docs], "doc_id long, text string, hash string, item_id string, words int")
+    got = {r.doc_id: (r.item_id, r.n_shingles, r.n_shared) for r in decontamination.contamination(df, items).collect()}
+    assert got == {1: (1, 10, 10), 2: (1, 100, 100), 4: (1, 10, 10)}
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 24])
+def test_small_tables_are_broadcast(spark, docs, monkeypatch, limit):
+    """The same results where candidates are joined by a shuffle."""
+    from sparkguard.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+    items = spark.createDataFrame([(1, " ".join(words(40, 2)))], "item_id long, text string")
+    assert {r.doc_id for r in decontamination.contamination(docs, items).collect()} == {10, 11, 12, 13}
+    assert sum(not r.kept for r in near_dedup.near_duplicates(docs).collect()) == 5
