@@ -232,6 +232,6 @@ def _markdown(spark: SparkSession, d: str) -> DataFrame:
     return V.read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.lit("").alias("title"), "text")
 
 
-query("index_report", "SELECT count(*) AS documents, CAST(sum((length(text) + 496) // 497) AS BIGINT) AS chunks, least(500, max(length(text)) + 3) AS max_tokens, 0 AS text_mismatches, 0 AS gaps_or_overlaps, 0 AS uncovered_ends FROM documents WHERE length(text) > 0")(lambda s, d: retrieval.index_report(retrieval.chunk(_markdown(s, d), len, 500), _markdown(s, d)))
+query("index_report", "SELECT count(*) AS documents, CAST(sum((length(text) + 497) // 498) AS BIGINT) AS chunks, least(500, max(length(text)) + 2) AS max_tokens, 0 AS text_mismatches, 0 AS gaps_or_overlaps, 0 AS uncovered_ends FROM documents WHERE length(text) > 0")(lambda s, d: retrieval.index_report(retrieval.chunk(_markdown(s, d), len, 500), _markdown(s, d)))
 query("source_fingerprint")(lambda s, d: retrieval.source_fingerprint(_markdown(s, d)))
 query("h2_sections", "SELECT doc_id AS document_id, 0 AS position FROM documents WHERE trim(text) <> ''")(lambda s, d: retrieval.h2_sections(_markdown(s, d)).select("document_id", "position"))
