@@ -154,6 +154,21 @@ def _summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 query("turn_summary")(lambda s, d: _summary(s, d))
+query(
+    "turn_facts",
+    S.with_audit(
+        f"""SELECT d.request_id, d.checkpoint, d.action, d.action || coalesce(' by ' || d.blocked_by, '') AS reason, round(d.score, 6) AS score, round(d.overhead_ms, 6) AS overhead_ms, d.blocked_by, m.messages, m.step,
+  CASE WHEN reply THEN m.messages END AS tool_calls, CASE WHEN reply THEN m.tools END AS tools, CASE WHEN reply THEN m.prompt END AS prompt_tokens, CASE WHEN reply THEN m.messages END AS completion_tokens,
+  CASE WHEN reply THEN m.prompt + m.messages ELSE 0 END AS tokens, round(CASE WHEN reply THEN (m.prompt + m.messages) / 1000.0 * 0.0006 ELSE 0 END, 6) AS cost
+  FROM (SELECT *, checkpoint NOT IN ('input', 'tool_result') AS reply FROM dec) d LEFT JOIN m USING (request_id)""",
+        S.CHECK_ROWS
+        + """, r1 AS (SELECT request_id, checkpoint, "check", CASE WHEN action = 'flag' THEN 'allow' ELSE action END AS action, score, latency_ms, list_position(['permissions', 'budget', 'loop_detection', 'signatures', 'tool_args', 'pii_secrets', 'jev'], "check") AS rank FROM checks WHERE request_id IS NOT NULL),
+k1 AS (SELECT * FROM (SELECT *, min(CASE WHEN action = 'block' THEN rank END) OVER (PARTITION BY request_id, checkpoint) AS cut FROM r1) WHERE cut IS NULL OR rank <= cut),
+dec AS (SELECT request_id, checkpoint, CASE max(CASE action WHEN 'block' THEN 3 WHEN 'redact' THEN 2 ELSE 0 END) WHEN 3 THEN 'block' WHEN 2 THEN 'redact' ELSE 'allow' END AS action, max(CASE WHEN action = 'block' THEN "check" END) AS blocked_by, max(score) AS score, sum(latency_ms) AS overhead_ms FROM k1 GROUP BY 1, 2),
+m AS (SELECT 'u' || user_id || '-' || strftime(ts, '%Y-%m-%d') AS request_id, count(*) AS messages, count(*) FILTER (WHERE event_id % 2 = 0) - CASE WHEN max(event_id) % 2 = 0 THEN 1 ELSE 0 END AS step, CAST(sum(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)) AS BIGINT) AS prompt,
+  string_agg(['query_customers', 'run_shell', 'read_file', 'http_get', 'search_documents', 'drop_tables'][CAST(event_id % 6 + 1 AS INTEGER)], ',' ORDER BY event_id) AS tools FROM events GROUP BY 1)""",
+    ),
+)(lambda s, d: _summary(s, d).drop("decided_by", "check", "model"))
 query(
     "conformance",
     """WITH o AS (SELECT doc_id AS k, CASE WHEN n_chars > 2000 THEN 'block' ELSE 'allow' END AS action FROM documents), e AS (SELECT doc_id AS k, CASE WHEN quality = 1 THEN 'allow' ELSE 'block' END AS action FROM labels)
