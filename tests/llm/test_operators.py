@@ -617,4 +617,4 @@ def test_small_tables_are_broadcast(spark, docs, monkeypatch, limit):
     monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
     items = spark.createDataFrame([(1, " ".join(words(40, 2)))], "item_id long, text string")
     assert {r.doc_id for r in decontamination.contamination(docs, items).collect()} == {10, 11, 12, 13}
-    assert sum(not r.kept for r in near_dedup.near_duplicates(docs).collect()) == 5
+    assert sorted(r.doc_id for r in near_dedup.near_duplicates(docs).collect() if not r.kept) == [2, 3, 6, 9]
