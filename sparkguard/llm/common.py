@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from ..session import shared_dir, temporary
 
 #: Text is worked on in slices of whole documents of about so many bytes, which bounds a Python worker's memory.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Rows of an Arrow batch of whole texts; the default of 10,000 takes hundreds of MB outside the heap for each task.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 #: Bytes that an Arrow batch takes; a single row may be longer.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 16 << 20
 _BLOCK = 1 << 18
 _MULT = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1

@@ -26,7 +26,7 @@ BUCKETS = 1 << 15
 #: Bound on the labelled rows that the model is fitted to.
 MAX_TRAINING_ROWS = 20_000
 SWITCH_PENALTY = 14.0
-PART_BYTES, FEATURE_BYTES = 4 << 20, 1 << 20
+PART_BYTES, FEATURE_BYTES = 2 << 20, 1 << 19
 
 #: Scripts by ranges of code points (blocks of Unicode); letters of other code points have none.
 SCRIPTS = {
