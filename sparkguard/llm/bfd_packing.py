@@ -127,8 +127,8 @@ def with_positions(packed: DataFrame) -> DataFrame:
 
 def write_packed(packed: DataFrame, path: str, capacity: int = CAPACITY, pad_id: int = 0) -> None:
     """Write fixed-width rows (an id matrix, padded), cumulative lengths and position resets as Parquet."""
-    pad = F.repeat(F.lit(pad_id.to_bytes(4, "little").hex()), F.lit(capacity) - F.col("n_tokens"))
-    ids = F.unhex(F.concat(F.hex("input_ids"), pad))
+    pad = F.unhex(F.repeat(F.lit(pad_id.to_bytes(4, "little").hex()), F.lit(capacity) - F.col("n_tokens")))
+    ids = F.concat("input_ids", pad)
     resets = F.slice("cu_seqlens", F.lit(1), F.size("cu_seqlens") - 1)
     packed.select("sequence_id", "n_tokens", ids.alias("input_ids"), "cu_seqlens", resets.alias("position_resets"), "segments").write.parquet(path)
 
