@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_dir
-from . import bfd_packing, config_packing, decontamination, embedding_dedup, langid, lexical_search, license_scan, merkle, near_dedup, secret_scan, substring_dedup, warc
+from . import bfd_packing, config_packing, decontamination, embedding_dedup, langid, lexical_search, license_scan, merkle, near_dedup, quality, secret_scan, substring_dedup, warc
 from .common import materialize, read
 
 
@@ -51,6 +51,10 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(read(spark, sf_dir, "documents"))
 
@@ -59,6 +63,6 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_packed_rows, op3_language_id, op4_license_scan, op5_substring_dedup, op6_decontamination, op7_embedding_near_duplicates, op8_secret_scan, op9_best_fit_packing, op10_warc_round_trip, op12_merkle_manifest, op13_ranked_search)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_packed_rows, op3_language_id, op4_license_scan, op5_substring_dedup, op6_decontamination, op7_embedding_near_duplicates, op8_secret_scan, op9_best_fit_packing, op10_warc_round_trip, op11_quality, op12_merkle_manifest, op13_ranked_search)}
 #: Others can't be expressed in SQL; tests/llm compares them with brute force.
 ORACLE_SQL = {"op4_license_scan": license_scan.oracle_sql(), "op6_decontamination": decontamination.ORACLE_SQL, "op7_embedding_near_duplicates": embedding_dedup.ORACLE_SQL, "op10_warc_round_trip": warc.ORACLE_SQL, "op12_merkle_manifest": merkle.oracle_sql(), "op13_ranked_search": lexical_search.ORACLE_SQL}
