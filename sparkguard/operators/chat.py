@@ -24,9 +24,14 @@ def _text(content: Column) -> Column:
 
 
 def _object(arguments: Column) -> Column:
-    """Arguments as the text of a JSON object; empty counts as {}; null: not an object."""
+    """Arguments as the text of a JSON object; empty counts as {}; null: not an object.
+
+    Spark's JSON parsers stop at the end of a value. As an element of a list, and as a field of an object, text after the value is an error
+    in one of both.
+    """
     plain = F.when(F.trim(F.coalesce(arguments, F.lit(""))) == "", "{}").otherwise(arguments)
-    return F.when(F.ltrim(plain).startswith("{") & F.try_parse_json(plain).isNotNull(), plain)
+    inside = lambda before, after: F.try_parse_json(F.concat(F.lit(before), plain, F.lit(after))).isNotNull()
+    return F.when(F.ltrim(plain).startswith("{") & inside("[", "]") & inside('{"a":', "}"), plain)
 
 
 def normalize_chat(bodies: DataFrame) -> dict[str, DataFrame]:

@@ -96,19 +96,37 @@ query(
     WHEN contains(t, '&&') THEN 'command chaining &&' WHEN contains(t, '||') THEN 'command chaining ||' WHEN contains(t, ';') THEN 'command chaining ;' WHEN contains(t, '&') THEN 'background &' WHEN contains(t, chr(10)) THEN 'command chaining newline' END AS rule FROM v)
   SELECT doc_id, CASE WHEN rule IS NOT NULL THEN 'shell' END AS category, rule FROM r""",
 )(lambda s, d: tool_args.scan_args(tool_args.arg_hints(_document_args(s, d))).select("doc_id", "category", "rule"))
+
+
+def _raw_arguments(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts as arguments: a third is damaged JSON, in three ways; every fifth runs a deletion; the others end with a long number."""
+    k, text = F.col("doc_id"), F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("note")))
+    more = F.when(k % 5 == 0, ', "command": "rm -rf /"}').otherwise(F.concat(F.lit(', "n": '), F.repeat(F.lit("7"), 5000), F.lit("}")))
+    whole = F.concat(F.expr("substr(t, 1, length(t) - 1)"), more)
+    rows = V.read(spark, d, "documents").withColumn("t", text).withColumn("t", whole)
+    damaged = F.when(k % 9 == 0, F.expr("substr(t, 1, length(t) - 1)")).when(k % 9 == 3, F.concat("t", F.lit(" x"))).when(k % 9 == 6, F.concat(F.lit("\ufeff"), "t")).otherwise(F.col("t"))
+    return rows.select(F.concat(F.lit("d"), "doc_id").alias("request_id"), F.lit(0).alias("position"), F.lit("note").alias("name"), damaged.alias("arguments"))
+
+
+query(
+    "damaged_arguments",
+    """SELECT 'd' || doc_id AS request_id, CASE WHEN doc_id % 5 = 0 THEN 'block' WHEN doc_id % 3 = 0 THEN 'error' ELSE 'allow' END AS verdict,
+  CASE WHEN doc_id % 15 = 0 THEN 'note.<unreadable>: shell: rm -rf' WHEN doc_id % 5 = 0 THEN 'note.command: shell: rm -rf' WHEN doc_id % 3 = 0 THEN 'note.<unreadable>: error: not JSON' ELSE 'no dangerous arguments in 1 tool call(s)' END AS reason FROM documents""",
+)(lambda s, d: tool_args.check_tool_args(_raw_arguments(s, d), categories=("shell",)))
 query("find_pii")(lambda s, d: scans.find_pii(_texts(s, d)).select("request_id", F.size("spans").alias("n_spans"), F.sha2("redacted", 256).alias("redacted_sha256")))
 query("find_pii_pages")(lambda s, d: scans.find_pii(V.read(s, d, "pages"), "html").select("page_id", F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",").alias("spans")))
 
 # --- judge and decisions ----------------------------------------------------------------------
 
-_INPUTS = """inputs AS (SELECT request_id, message_index, captured_at, CAST(i AS INTEGER) AS chunk, substr(content, CAST(i * 200 + 1 AS INTEGER), 200) AS text FROM (SELECT 'c' || conv_id AS request_id, turn AS message_index, CASE WHEN role = 'assistant' AND (conv_id + turn) % 3 = 0 THEN 'tool_result'
-  WHEN role = 'assistant' THEN 'output' ELSE 'input' END AS captured_at, text AS content, unnest(range(0, (length(text) - 1) // 200 + 1)) AS i FROM conversations WHERE length(text) > 0)),
-keyed AS (SELECT *, sha256(captured_at || chr(0) || text) AS input_key FROM inputs)"""
+_INPUTS = """turns AS (SELECT 'c' || conv_id AS request_id, turn AS message_index, CASE WHEN role = 'assistant' AND (conv_id + turn) % 3 = 0 THEN 'tool' ELSE role END AS role, text AS content,
+  CASE conv_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'query_customers' WHEN 2 THEN 'query_customers, run_shell' ELSE 'query_customers, run_shell, read_file' END AS tools FROM conversations WHERE length(text) > 0),
+inputs AS (SELECT request_id, message_index, CASE role WHEN 'tool' THEN 'tool_result' WHEN 'assistant' THEN 'output' ELSE 'input' END AS captured_at, 'message role: ' || role || '; offered tools: ' || tools AS context,
+  CAST(i AS INTEGER) AS chunk, substr(content, CAST(i * 200 + 1 AS INTEGER), 200) AS text FROM (SELECT *, unnest(range(0, (length(content) - 1) // 200 + 1)) AS i FROM turns)),
+keyed AS (SELECT *, sha256(captured_at || chr(0) || sha256(context) || chr(0) || text) AS input_key FROM inputs)"""
 
 
 def _inputs(spark: SparkSession, d: str) -> DataFrame:
-    """The operator's inputs under the key of the SQL, which leaves the context out."""
-    return decisions.judge_inputs(V.messages(spark, d), 200).withColumn("input_key", F.sha2(F.concat_ws("\u0000", "captured_at", "text"), 256))
+    return decisions.judge_inputs(V.messages(spark, d), 200, requests=V.offered_tools(spark, d))
 
 
 def _verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -116,8 +134,9 @@ def _verdicts(spark: SparkSession, d: str) -> DataFrame:
     return _inputs(spark, d).dropDuplicates(["input_key"]).select("input_key", score.alias("score"), F.lit("judged").alias("reason"), F.when(F.length("text") % 2 == 0, F.array(F.lit("spam"))).otherwise(F.array().cast("array<string>")).alias("categories"))
 
 
-query("judge_inputs", f"WITH {_INPUTS} SELECT request_id, message_index, captured_at, chunk, input_key FROM keyed")(lambda s, d: _inputs(s, d).drop("context", "text"))
-query("judge_plan", f"WITH {_INPUTS} SELECT DISTINCT input_key, captured_at FROM keyed WHERE length(text) % 97 >= 50")(lambda s, d: decisions.plan_judging(_inputs(s, d), _verdicts(s, d).filter("score < 0.5"), 8)[0].drop("context", "text"))
+query("judge_inputs", f"WITH {_INPUTS} SELECT request_id, message_index, captured_at, context, chunk, input_key FROM keyed")(lambda s, d: _inputs(s, d).drop("text"))
+query("judge_plan", f"WITH {_INPUTS} SELECT DISTINCT input_key, captured_at, context, text FROM keyed WHERE length(text) % 97 >= 50")(lambda s, d: decisions.plan_judging(_inputs(s, d), _verdicts(s, d).filter("score < 0.5"), 8)[0])
+query("judge_contexts", f"WITH {_INPUTS} SELECT captured_at, text, count(DISTINCT context) AS contexts, count(DISTINCT input_key) AS input_keys FROM keyed GROUP BY 1, 2")(lambda s, d: _inputs(s, d).groupBy("captured_at", "text").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("input_key").alias("input_keys")))
 query("judge_over_limit", f"WITH {_INPUTS} SELECT request_id, count(DISTINCT input_key) AS new_inputs FROM keyed WHERE length(text) % 97 >= 50 GROUP BY 1 HAVING count(DISTINCT input_key) > 2")(lambda s, d: decisions.plan_judging(_inputs(s, d), _verdicts(s, d).filter("score < 0.5"), 2)[1])
 query(
     "judge_verdicts",

@@ -88,6 +88,13 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.concat(F.lit("c"), "conv_id").alias("request_id"), F.col("turn").alias("message_index"), role.alias("role"), F.col("text").alias("content"))
 
 
+def offered_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """request_id, tools of the conversations: none to three."""
+    k = F.col("conv_id")
+    tools = F.slice(F.array(*map(F.lit, TOOLS)), F.lit(1), (k % 4).cast("int"))
+    return read(spark, sf_dir, "conversations").select("conv_id").distinct().select(F.concat(F.lit("c"), k).alias("request_id"), tools.alias("tools"))
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tool calls of requests: request_id, caller_id, position, name, arguments (JSON), one per event."""
     e = F.col("event_id")
