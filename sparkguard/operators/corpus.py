@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from ..functions.patterns import automaton, occurrences
+
 
 def document_links(documents: DataFrame) -> DataFrame:
     """document_id, transaction_id, client_id: one row per link."""
@@ -122,24 +124,53 @@ def find_clients(clients: DataFrame, name: str | None = None, client_id=None) ->
 _PLACES = ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("value", StringType())]))
 
 
-def annotate_spans(documents: DataFrame, values: DataFrame) -> DataFrame:
-    """documents(document_id, text) with spans of all non-overlapping places of their values(document_id, kind, value)."""
-    lists = values.groupBy("document_id").agg(F.collect_list(F.struct("kind", "value")).alias("values"))
+#: Bytes of known values in one automaton; more are looked for in as many passes.
+VALUE_BYTES = 16 << 20
+
+
+def annotate_spans(documents: DataFrame, values: DataFrame, overlapping: bool = False) -> DataFrame:
+    """documents(document_id, text) with spans of the places of values(kind, value), which don't overlap others of the same value unless overlapping.
+
+    Values with a document_id are those of a document, else they are known for all: one automaton, sent to the tasks once.
+    """
+    if "document_id" in values.columns:
+        lists = values.groupBy("document_id").agg(F.collect_list(F.struct("kind", "value")).alias("values"))
+        return documents.join(lists, "document_id", "left").withColumn("spans", _own_places(overlapping)("text", "values")).drop("values")
+    known = values.select("kind", "value").distinct()
+    size = known.agg(F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()[0]
+    blocks, found = max(1, -(-size // VALUE_BYTES)), documents
+    for b in range(blocks):
+        pairs = [(r.value, r.kind) for r in known.filter(f"pmod(xxhash64(value), {blocks}) = {b}").collect()]  # bounded by VALUE_BYTES
+        shared = documents.sparkSession.sparkContext.broadcast(automaton(pairs))
+        found = found.withColumn(f"_spans{b}", _known_places(shared, overlapping)("text"))
+    parts = [f"_spans{b}" for b in range(blocks)]
+    return found.withColumn("spans", F.array_sort(F.flatten(F.array(*parts)), _by_place) if blocks > 1 else F.col(parts[0])).drop(*parts)
+
+
+def _by_place(a, b):
+    key = lambda s: F.struct(s["start"], s["end"], s["kind"])
+    return F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0)
+
 
+def _spans(made, text: str | None, overlapping: bool) -> list[dict]:
+    found = [(start, end, kind) for start, end, kinds in occurrences(made, text, overlapping) for kind in kinds] if made is not None else []
+    return [{"kind": kind, "start": start, "end": end, "value": text[start:end]} for start, end, kind in sorted(found)]
+
+
+def _known_places(shared, overlapping: bool):
+    @F.pandas_udf(_PLACES)
+    def places(text: pd.Series) -> pd.Series:
+        return pd.Series([_spans(shared.value, t, overlapping) for t in text])
+
+    return places
+
+
+def _own_places(overlapping: bool):
     @F.pandas_udf(_PLACES)
     def places(text: pd.Series, wanted: pd.Series) -> pd.Series:
-        def one(t, pairs):
-            out = []
-            for p in pairs if pairs is not None else ():
-                at = t.find(p["value"]) if t and p["value"] else -1
-                while at >= 0:
-                    out.append({"kind": p["kind"], "start": at, "end": at + len(p["value"]), "value": p["value"]})
-                    at = t.find(p["value"], at + len(p["value"]))
-            return sorted(out, key=lambda s: (s["start"], s["end"], s["kind"]))
-
-        return pd.Series([one(t, w) for t, w in zip(text, wanted, strict=True)])
-
-    return documents.join(lists, "document_id", "left").withColumn("spans", places("text", "values")).drop("values")
+        return pd.Series([_spans(automaton((p["value"], p["kind"]) for p in w) if w is not None else None, t, overlapping) for t, w in zip(text, wanted, strict=True)])
+
+    return places
 
 
 def check_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:

@@ -339,6 +339,33 @@ def annotated_spans(spark: SparkSession, d: str) -> DataFrame:
     return corpus.annotate_spans(docs, _values(spark, d)).select("document_id", F.inline("spans")).drop("value")
 
 
+_WORDS = "[\\p{L}\\p{M}]+"
+
+
+@query(f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{_WORDS}')) AS value FROM benchmark), n AS (SELECT doc_id, length(value) AS letters, (length(text) - length(replace(text, value, ''))) // length(value) AS places FROM documents, w WHERE contains(text, value))
+  SELECT d.doc_id AS document_id, CAST(coalesce(sum(places), 0) AS BIGINT) AS spans, count(places) AS "values", CAST(coalesce(sum(places * letters), 0) AS BIGINT) AS letters FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY 1""")
+def annotated_words(spark: SparkSession, d: str) -> DataFrame:
+    """Every word of the benchmark wherever it stands in a document, found by one automaton."""
+    values = V.read(spark, d, "benchmark").select(F.lit("word").alias("kind"), F.explode(F.regexp_extract_all("text", F.lit(_WORDS), F.lit(0))).alias("value"))
+    found = corpus.annotate_spans(V.read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text"), values)
+    letters = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("document_id", F.size("spans").cast("long").alias("spans"), F.size(F.array_distinct(F.transform("spans", lambda s: s["value"]))).cast("long").alias("values"), letters.alias("letters"))
+
+
+@query("""WITH b AS (SELECT item_id, w, unnest(range(1, len(w))) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM benchmark)), p AS (SELECT w[i] AS a, w[i + 1] AS z, min(item_id * 100000 + i) AS place FROM b GROUP BY 1, 2),
+  f AS (SELECT a, z, row_number() OVER (ORDER BY place) - 1 AS rank FROM p), t AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+|\\s+|[^\\p{L}\\p{N}_\\s]+') AS w FROM documents)),
+  h AS (SELECT doc_id, min(rank) AS rank FROM t JOIN f ON a = w[i] AND z = w[i + 2] AND regexp_full_match(w[i + 1], '\\s+') WHERE rank < 500 GROUP BY 1)
+  SELECT 'd' || doc_id AS request_id, 'block' AS verdict, 'other' AS category, 'signature W-' || rank || ' (other): two words' AS reason FROM h""".replace("\\\\", "\\"))
+def scan_long_feed(spark: SparkSession, d: str) -> DataFrame:
+    """A feed of 500 signatures: words of the benchmark that follow each other."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0))
+    pairs = V.read(spark, d, "benchmark").select("item_id", words.alias("w")).select("item_id", F.posexplode(F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.struct(x.alias("a"), F.get("w", i + 1).alias("z")))).alias("i", "p"))
+    first = pairs.groupBy("p").agg(F.min(F.col("item_id") * 100000 + F.col("i")).alias("place")).orderBy("place").limit(500).collect()  # the feed's length
+    feed = [(f"W-{n}", "other", "two words", rf"\b{r.p.a}\s+{r.p.z}\b", False) for n, r in enumerate(first)]
+    texts = V.read(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("request_id"), F.lit(0).alias("message_index"), F.col("text").alias("content"))
+    return scans.scan_signatures(texts, feed)
+
+
 _PLACES = """places AS (SELECT doc_id, i - 1 AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents WHERE contains(text, 'en')) WHERE substr(text, i, 2) = 'en')"""
 
 
