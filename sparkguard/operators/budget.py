@@ -49,25 +49,41 @@ def check_budget(used: DataFrame, budgets: DataFrame) -> DataFrame:
     return joined.withColumn("reason", reason).withColumn("verdict", F.when(F.col("reason") == "", "allow").otherwise("block")).drop("has_budget", *LIMITS)
 
 
+#: Seconds that a request counts for.
+MINUTE = 60.0
+
+
+def segments(events: DataFrame, budgets: DataFrame) -> DataFrame:
+    """events with their budget, sec, day and segment: the parts of a caller's history that can be replayed apart.
+
+    A day's first request starts a segment if the requests before it are a minute old by then, or aren't limited by minute: nothing before it
+    counts any more. Found from the first and last request of each caller's days, so that no window spans a caller's rows.
+    """
+    joined = events.join(budgets, "caller_id").withColumn("sec", F.unix_micros("ts_utc") / 1e6).withColumn("day", F.to_date("ts_utc").cast("string"))
+    days = joined.groupBy("caller_id", "day").agg(F.min("sec").alias("first"), F.max("sec").alias("last"), F.first("requests_per_minute").isNull().alias("free"))
+    in_order = Window.partitionBy("caller_id").orderBy("day")
+    starts = F.col("free") | F.coalesce(F.col("first") - F.lag("last").over(in_order) >= MINUTE, F.lit(True))
+    numbered = days.select("caller_id", "day", starts.cast("int").alias("starts")).select("caller_id", "day", F.sum("starts").over(in_order.rowsBetween(Window.unboundedPreceding, 0)).alias("segment"))
+    return joined.join(numbered, ["caller_id", "day"])
+
+
 def replay(events: DataFrame, budgets: DataFrame) -> DataFrame:
     """What would have happened under other limits: a blocked request counts for nothing later.
 
-    Each row is a request with its later usage. Every decision depends on those before, so a caller's rows pass through one
-    task in order; they stream, and the state is the last minute's requests and the day's sums.
+    Each row is a request with its later usage. Every decision depends on those before it in its segment, whose rows stream through one task in order;
+    the state is the last minute's requests and the day's sums.
     """
-    schema = "caller_id string, id long, verdict string"
-    joined = events.join(budgets, "caller_id").withColumn("sec", F.unix_micros("ts_utc") / 1e6).withColumn("day", F.to_date("ts_utc").cast("string"))
 
     def fold(batches):
-        caller, day, tokens, cost, recent = None, None, 0, 0.0, deque()
+        segment, day, tokens, cost, recent = None, None, 0, 0.0, deque()
         for rows in batches:
             verdicts = []
             for r in rows.itertuples():
-                if r.caller_id != caller:
-                    caller, day, recent = r.caller_id, None, deque()
+                if (r.caller_id, r.segment) != segment:
+                    segment, day, recent = (r.caller_id, r.segment), None, deque()
                 if r.day != day:
                     day, tokens, cost = r.day, 0, 0.0
-                while recent and recent[0] <= r.sec - 60:
+                while recent and recent[0] <= r.sec - MINUTE:
                     recent.popleft()
                 limits = ((len(recent), r.requests_per_minute), (tokens, r.tokens_per_day), (cost, r.cost_per_day))
                 block = not r.has_budget or any(not pd.isna(limit) and value >= limit for value, limit in limits)
@@ -77,8 +93,8 @@ def replay(events: DataFrame, budgets: DataFrame) -> DataFrame:
                     tokens, cost = tokens + r.tokens, cost + r.cost
             yield pd.DataFrame({"caller_id": rows.caller_id, "id": rows.id, "verdict": verdicts})
 
-    rows = joined.select("caller_id", "id", "sec", "day", "tokens", "cost", "has_budget", *LIMITS)
-    return rows.repartition("caller_id").sortWithinPartitions("caller_id", "sec", "id").mapInPandas(fold, schema)
+    rows = segments(events, budgets).select("caller_id", "segment", "id", "sec", "day", "tokens", "cost", "has_budget", *LIMITS)
+    return rows.repartition("caller_id", "segment").sortWithinPartitions("caller_id", "segment", "sec", "id").mapInPandas(fold, "caller_id string, id long, verdict string")
 
 
 def quotas(calls: DataFrame, per_minute: int, lifetime: int) -> DataFrame:

@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from .fingerprints import source_fingerprint as source_fingerprint
+from .keywords import keyword_top_k
+
 _HEADING = re.compile(r" {0,3}(#{1,6})[ \t]+(\S.*)")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 _CHUNK = ArrayType(StructType([StructField("chunk_index", IntegerType()), StructField("section_path", ArrayType(StringType())), StructField("char_start", IntegerType()), StructField("char_end", IntegerType()), StructField("text", StringType()), StructField("embedding_input", StringType()), StructField("token_count", IntegerType()), StructField("error", StringType())]))
@@ -117,7 +120,7 @@ def search(chunks: DataFrame, query: list[float], k: int, links: DataFrame | Non
     return scored.orderBy("distance", "chunk_id").limit(k).withColumn("similarity", 1 - F.col("distance"))
 
 
-#: Bytes of query vectors or query words up to which they go to every task.
+#: Bytes of query vectors up to which they go to every task.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -187,18 +190,8 @@ def tokens_of_text(text: str) -> Column:
 
 
 def keyword_search_many(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """queries(query_id, text) at once: an inverted join on words, so only chunks that share a word are scored.
-
-    A chunk's words stay in its task where the queries' words are broadcast, so frequent words are no hot keys.
-    """
-    body = chunks.select("chunk_id", tokens_of("text").alias("words")).select("chunk_id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    asked = queries.select("query_id", tokens_of("text").alias("words")).select("query_id", F.size("words").alias("m"), F.explode("words").alias("word"))
-    if (asked.agg(F.sum(F.octet_length("word") + 32).alias("bytes")).first().bytes or 0) <= BROADCAST_BYTES:
-        asked = F.broadcast(asked)
-    shared = body.join(asked, "word").groupBy("query_id", "chunk_id", "n", "m").agg(F.count("*").alias("s"))
-    scored = shared.withColumn("score", F.round(F.col("s") / F.sqrt(F.col("n") * F.col("m")), 4))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
+    """queries(query_id, text) at once: the k best chunks each by keyword_search()'s score, found by upper bounds."""
+    return keyword_top_k(chunks, queries, tokens_of, k).select("query_id", "chunk_id", "score", "rank")
 
 
 def index_report(chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -219,15 +212,6 @@ def index_report(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def source_fingerprint(documents: DataFrame, key: str = "document_id", buckets: int = 4096) -> DataFrame:
-    """One hash over all documents: row hashes in id order within id buckets, then bucket hashes in order."""
-    columns = sorted(documents.columns)
-    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    inner = documents.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("b"), F.col(key).alias("k"), row.alias("h"))
-    by_bucket = inner.groupBy("b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
-    return by_bucket.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"))
-
-
 IDENTITY = ("model", "revision", "dimensions", "max_tokens", "chunker")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import corpus, decisions, retrieval, scans, tool_args
+from ..operators import corpus, decisions, fingerprints, retrieval, scans, tool_args
 from . import sql as S
 from . import views as V
 
@@ -267,5 +267,21 @@ def _markdown(spark: SparkSession, d: str) -> DataFrame:
 
 
 query("index_report", "SELECT count(*) AS documents, CAST(sum((length(text) + 497) // 498) AS BIGINT) AS chunks, least(500, max(length(text)) + 2) AS max_tokens, 0 AS text_mismatches, 0 AS gaps_or_overlaps, 0 AS uncovered_ends FROM documents WHERE length(text) > 0")(lambda s, d: retrieval.index_report(retrieval.chunk(_markdown(s, d), len, 500), _markdown(s, d)))
-query("source_fingerprint")(lambda s, d: retrieval.source_fingerprint(_markdown(s, d)))
+_FIELD = "coalesce(strlen({0}) || ':' || {0}, '-')"
+_HASHED = f"""hashed AS (SELECT sha256(CAST(doc_id AS VARCHAR)) AS k, sha256({" || ".join(_FIELD.format(c) for c in ("CAST(doc_id AS VARCHAR)", "text", "''"))}) AS h FROM documents)"""
+_LANES = " || ':' || ".join(["count(*)", *[f"sum(CAST(CAST('0x' || substr(h, {i * fingerprints.DIGITS + 1}, {fingerprints.DIGITS}) AS BIGINT) AS HUGEINT))" for i in range(4)]])
+query("source_fingerprint", f"WITH {_HASHED} SELECT sha256({_LANES}) AS fingerprint FROM hashed")(lambda s, d: retrieval.source_fingerprint(_markdown(s, d)))
+query("fingerprint_tree", f"WITH {_HASHED}, l AS (SELECT k, h, unnest([0, 1, 2]) AS level FROM hashed) SELECT CAST(level AS INTEGER) AS level, substr(k, 1, CAST(level AS INTEGER)) AS range, count(*) AS rows, sha256({_LANES}) AS digest FROM l GROUP BY 1, 2")(lambda s, d: fingerprints.fingerprint_tree(_markdown(s, d), depth=2))
+
+
+def _changed(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that changed since, found by descending both trees."""
+    before = _markdown(spark, d)
+    k = F.col("document_id")
+    after = before.filter(k % 101 != 7).withColumn("text", F.when(k % 97 == 5, F.concat("text", F.lit("."))).otherwise(F.col("text"))).unionByName(before.filter(k % 103 == 9).withColumn("document_id", -k - 1))
+    trees = [fingerprints.fingerprint_tree(t, depth=3) for t in (before, after)]
+    return fingerprints.changed_rows(before, after, fingerprints.changed_ranges(*trees, 3), 3)
+
+
+query("changed_documents", "SELECT doc_id AS document_id, CASE WHEN doc_id % 101 = 7 THEN 'missing' ELSE 'changed' END AS state FROM documents WHERE doc_id % 101 = 7 OR (doc_id % 97 = 5 AND text IS NOT NULL) UNION ALL SELECT -doc_id - 1, 'new' FROM documents WHERE doc_id % 103 = 9")(_changed)
 query("h2_sections", "SELECT doc_id AS document_id, 0 AS position FROM documents WHERE trim(text) <> ''")(lambda s, d: retrieval.h2_sections(_markdown(s, d)).select("document_id", "position"))

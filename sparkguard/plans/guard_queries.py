@@ -100,7 +100,15 @@ query(
     f"""WITH {_BUDGETS}{_USED} SELECT caller_id, id, CASE WHEN NOT has_budget THEN 'no budgeted role' ELSE concat_ws('; ', CASE WHEN requests_last_minute >= requests_per_minute THEN 'requests_per_minute' END, CASE WHEN tokens_today >= tokens_per_day THEN 'tokens_per_day' END,
   CASE WHEN round(cost_today, 9) >= cost_per_day THEN 'cost_per_day' END) END AS reason FROM used JOIN budgets USING (caller_id)""",
 )(lambda s, d: budget.check_budget(budget.usage_so_far(_uses(s, d)).withColumn("cost_today", F.round("cost_today", 9)), _budgets(s, d)).select("caller_id", "id", "reason"))
-query("budget_replay")(lambda s, d: budget.replay(_uses(s, d), _budgets(s, d)))
+_REPLAY = f"""WITH RECURSIVE {_BUDGETS}, e AS (SELECT 'u' || user_id AS caller_id, event_id AS id, epoch_us(ts) / 1e6 AS sec, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS tokens, value / 1000 AS cost,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+h AS (SELECT e.*, has_budget, requests_per_minute AS rpm, tokens_per_day AS tpd, cost_per_day AS cpd FROM e JOIN budgets USING (caller_id)),
+r AS (SELECT DISTINCT caller_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, '' AS day, CAST(0 AS BIGINT) AS tokens, CAST(0 AS DOUBLE) AS cost, CAST([] AS DOUBLE[]) AS recent, '' AS verdict FROM h
+UNION ALL SELECT caller_id, n, id, day, CASE WHEN blocked THEN t ELSE t + tokens END, CASE WHEN blocked THEN c ELSE c + cost END, CASE WHEN blocked THEN kept ELSE list_append(kept, sec) END, CASE WHEN blocked THEN 'block' ELSE 'allow' END FROM
+  (SELECT *, NOT has_budget OR coalesce(len(kept) >= rpm, false) OR coalesce(t >= tpd, false) OR coalesce(c >= cpd, false) AS blocked FROM
+    (SELECT h.*, CASE WHEN r.day = h.day THEN r.tokens ELSE 0 END AS t, CASE WHEN r.day = h.day THEN r.cost ELSE 0 END AS c, list_filter(r.recent, lambda x: x > h.sec - 60) AS kept FROM r JOIN h ON h.caller_id = r.caller_id AND h.n = r.n + 1)))
+SELECT caller_id, id, verdict FROM r WHERE n > 0"""
+query("budget_replay", _REPLAY)(lambda s, d: budget.replay(_uses(s, d), _budgets(s, d)))
 query(
     "quotas",
     """WITH c AS (SELECT event_type AS key, event_id AS id, floor(epoch(ts) / 3600) AS h, ts FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY key, floor(epoch(ts) / 60) ORDER BY ts, id) AS n, floor(epoch(ts) / 60) AS m FROM c),

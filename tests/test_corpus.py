@@ -1,11 +1,13 @@
 """Corpora: integrity faults, spans, totals, files, index state and retrieval measures."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from sparkguard import schemas as S
 from sparkguard.operators import corpus as K
-from sparkguard.operators import decisions, retrieval, scans
+from sparkguard.operators import decisions, fingerprints, keywords, retrieval, scans
 from sparkguard.sources import corpus as files
 
 TRUTH = "document_id string, client_id string, pair_id string, variant string"
@@ -131,3 +133,49 @@ def test_conformance_and_effect(spark):
     assert {r.case: r.differs for r in decisions.conformance(got, want).collect()} == {"a": "blocked_by", "b": "unexpected case", "c": "missing outcome"}
     spans = spark.createDataFrame([("r", "tool_call", [1]), ("r", "input", [1]), ("r", "output", [])], "request_id string, checkpoint string, spans array<int>")
     assert {r.checkpoint: r.action for r in scans.redaction_effect(spans).collect()} == {"tool_call": "allow", "input": "redact", "output": "allow"}
+
+
+def test_keyword_bounds(spark):
+    """The MaxScore walk equals scoring every pair, looks at few of them, and returns at most k rows a query and task."""
+    r = random.Random(4)
+    text = lambda n: " ".join(f"word{min(int(r.paretovariate(0.8)), 400)}" for _ in range(n))
+    rows = [(i, text(r.randrange(1, 80))) for i in range(1500)] + [(5000 + i, "word3 word4 word5 word9") for i in range(60)] + [(9000, None), (9001, ""), (9002, "a b")]
+    asked = [(i, text(r.randrange(1, 12))) for i in range(25)] + [(100, "word3 word4 word5 word9"), (101, None), (102, "to"), (103, "unheard")]
+    chunks, queries = spark.createDataFrame(rows, "chunk_id long, text string").repartition(3), spark.createDataFrame(asked, "query_id long, text string")
+    words = lambda t: {w for w in (t or "").split() if len(w) > 2}
+    want = []
+    for q, t in asked:
+        scores = [(-keywords.rounded(len(words(t) & words(c)) / (len(words(t)) * len(words(c))) ** 0.5), i) for i, c in rows if words(t) & words(c)]
+        want += [(q, i, -s, rank + 1) for rank, (s, i) in enumerate(sorted(scores)[:7])]
+    got = retrieval.keyword_search_many(chunks, queries, 7)
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+    work = keywords.keyword_work(chunks, queries, retrieval.tokens_of, 7).first()
+    assert work.pairs == 27 * 1563
+    assert work.looked_at < work.pairs
+    found = keywords._passes(chunks, queries, retrieval.tokens_of, 7, False, "query_id long, chunk_id long, score double")
+    assert found.groupBy("query_id", F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0] <= 7
+
+
+def test_rounding_is_that_of_spark(spark):
+    r = random.Random(1)
+    values = [r.random() for _ in range(300)] + [i / 20000 for i in range(300)] + [s / (n * m) ** 0.5 for s in (1, 2, 3) for n in (3, 7, 16) for m in (5, 25)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [x.r for x in df.select(F.round("v", 4).alias("r")).collect()] == [keywords.rounded(v) for v in values]
+
+
+def test_fingerprint_trees(spark):
+    rows = [(i, f"text {i}", None if i % 3 else "x") for i in range(3000)] + [(None, "a", None), (None, "a", None)]
+    docs = spark.createDataFrame(rows, "document_id long, text string, title string")
+    tree = fingerprints.fingerprint_tree(docs, depth=2).cache()
+    assert fingerprints.depth_for(0) == fingerprints.depth_for(256) == 0 and fingerprints.depth_for(257) == 1 and fingerprints.depth_for(256 * 256 + 1) == 3
+    assert {r.level: (r.n, r.rows) for r in tree.groupBy("level").agg(F.count("*").alias("n"), F.sum("rows").alias("rows")).collect()} == {0: (1, 3002), 1: (16, 3002), 2: (256, 3002)}
+    assert fingerprints.source_fingerprint(docs.repartition(5)).first().fingerprint == tree.filter("level = 0").first().digest
+    assert fingerprints.fingerprint_tree(docs.limit(0)).count() == 0
+    other = docs.withColumn("text", F.when(F.col("document_id") == 77, "other").otherwise(F.col("text")))
+    ranges = fingerprints.changed_ranges(tree, fingerprints.fingerprint_tree(other, depth=2), 2)
+    assert ranges.count() == 1 and ranges.join(tree.filter("level = 2"), "range").first().rows < 40
+    assert [tuple(r) for r in fingerprints.changed_rows(docs, other, ranges, 2).collect()] == [(77, "changed")]
+    assert fingerprints.changed_ranges(tree, tree, 2).count() == 0
+    one_less = docs.filter("document_id IS NOT NULL").union(docs.filter("document_id IS NULL").limit(1))  # of two equal rows one is gone
+    ranges = fingerprints.changed_ranges(tree, fingerprints.fingerprint_tree(one_less, depth=2), 2)
+    assert [tuple(r) for r in fingerprints.changed_rows(docs, one_less, ranges, 2).collect()] == [(None, "changed")]
