@@ -7,18 +7,16 @@ watermark or timer; use the RocksDB state store for large key sets.
 from __future__ import annotations
 
 import re
-from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import columns as C
 from ..operators import scans, tool_args
 from ..schemas import AUDIT, TURN_SUMMARY
 from ..sources.audit import derive
+from .state import TURN, LiveTurns, RollingBudget, by_key
 
 WATERMARK = "10 minutes"
 
@@ -34,7 +32,7 @@ def once(rows: DataFrame, watermark: str = WATERMARK) -> DataFrame:
 
 
 def minute_decisions(rows: DataFrame) -> DataFrame:
-    """Check rows per minute and action; for parity with the batch timeline feed it live_turns' output."""
+    """Check rows per minute and action; requests by outcome are in timeline()."""
     checks = rows.filter(~F.col("is_system_event"))
     counts = checks.groupBy(F.window("ts_utc", "1 minute")).agg(F.count("*").alias("rows"), *[F.count_if(F.col("action") == a).alias(n) for a, n in (("block", "blocked"), ("redact", "redacted"), ("flag", "flagged"))])
     return counts.select(F.col("window.start").alias("minute"), "rows", "blocked", "redacted", "flagged")
@@ -46,77 +44,45 @@ def daily_usage(rows: DataFrame) -> DataFrame:
     return replies.groupBy(F.window("ts_utc", "1 day"), "caller_id").agg(F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost")).select(F.col("window.start").alias("day"), "caller_id", "tokens", "cost")
 
 
-def session_totals(rows: DataFrame) -> DataFrame:
-    """Turn rows and cost per conversation; sessions never end by themselves, so this runs in update mode."""
+#: A request ends when it has had no row for so long; a conversation too.
+IDLE = "1 hour"
+
+
+def session_totals(rows: DataFrame, idle: str = "7 days") -> DataFrame:
+    """Turn rows and cost of each conversation; it ends, and its state goes, after it has been idle for so long."""
     turn = rows.filter((F.col("check") == TURN_SUMMARY) & F.col("conversation_id").isNotNull())
-    return turn.groupBy("conversation_id").agg(F.count("*").alias("rows"), F.sum("cost").alias("cost"), F.max("step").alias("last_step"))
+    totals = turn.groupBy(F.session_window("ts_utc", idle), "conversation_id").agg(F.count("*").alias("rows"), F.sum("cost").alias("cost"), F.max("step").alias("last_step"))
+    return totals.select("conversation_id", F.col("session_window.start").alias("started"), "rows", "cost", "last_step")
+
+
+def request_outcomes(rows: DataFrame, idle: str = IDLE) -> DataFrame:
+    """request_id, minute of the first row and strongest action of each request, once, when it has been idle for so long; event time is its end."""
+    checks = rows.filter(~F.col("is_system_event") & F.col("request_id").isNotNull())
+    ended = checks.groupBy(F.session_window("ts_utc", idle), "request_id").agg(F.min("ts_utc").alias("first_ts"), F.max(C.strength()).alias("strength"))
+    return ended.select(F.window_time("session_window").alias("ended"), "request_id", C.minute_text(F.col("first_ts")).alias("minute"), C.action_of(F.col("strength")).alias("action"))
 
 
-TURN = "request_id string, first_ts timestamp, state string, pre_ms double, model_ms double, post_ms double, strength int"
-_TURN_STATE = "first_us long, failed boolean, reply boolean, pre double, model double, post double, strength int"
+def timeline(rows: DataFrame, idle: str = IDLE, spread: str = "1 hour") -> DataFrame:
+    """Requests per minute of their first row by final outcome: one stateful operator feeds another under one watermark.
+
+    In append mode. Requests of a minute that end in different windows of length `spread` give a row each; their counts add up.
+    """
+    counts = request_outcomes(rows, idle).groupBy(F.window("ended", spread), "minute").agg(F.count("*").alias("requests"), *[F.count_if(F.col("action") == a).alias(n) for a, n in (("block", "blocked"), ("redact", "redacted"), ("flag", "flagged"))])
+    return counts.select("minute", "requests", "blocked", "redacted", "flagged")
 
 
 def live_turns(rows: DataFrame, minutes: int = 10) -> DataFrame:
-    """Each request folded into its stages: running, failed, blocked or done by its strongest action; a turn that never ends times out."""
+    """Each request folded into its stages (see state.LiveTurns); in update mode."""
     request = rows.filter("request_id IS NOT NULL").select("request_id", "ts_utc", "check", "checkpoint", C.strength().alias("strength"), "overhead_ms", "upstream_latency_ms")
-
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            first, failed, reply, pre, model, post, strength = state.get
-            state.remove()
-            if not (failed or reply or strength == 3):
-                yield _turn(key[0], first, "abandoned", pre, model, post, strength)
-            return
-        first, failed, reply, pre, model, post, strength = state.get if state.exists else (2**62, False, False, 0.0, 0.0, 0.0, 0)
-        for part in parts:
-            for r in part.itertuples():
-                first = min(first, r.ts_utc.value // 1000)
-                failed |= r.check == "upstream_unavailable"
-                if r.check == TURN_SUMMARY:
-                    strength = max(strength, int(r.strength))
-                    own = 0.0 if pd.isna(r.overhead_ms) else r.overhead_ms
-                    if r.checkpoint in ("input", "tool_result"):
-                        pre += own
-                    else:
-                        reply, post = True, post + own
-                        model += 0.0 if pd.isna(r.upstream_latency_ms) else r.upstream_latency_ms
-        name = "failed" if failed else ("allow", "flag", "redact", "block")[strength] if reply or strength == 3 else "running"
-        state.update((first, failed, reply, pre, model, post, strength))
-        state.setTimeoutTimestamp(max(first // 1000, state.getCurrentWatermarkMs()) + minutes * 60_000)
-        yield _turn(key[0], first, name, pre, model, post, strength)
-
-    return request.groupBy("request_id").applyInPandasWithState(fold, TURN, _TURN_STATE, "update", GroupStateTimeout.EventTimeTimeout)
-
-
-def _turn(request_id, first, state, pre, model, post, strength) -> pd.DataFrame:
-    return pd.DataFrame({"request_id": [request_id], "first_ts": [pd.Timestamp(first, unit="us")], "state": [state], "pre_ms": [pre], "model_ms": [model], "post_ms": [post], "strength": [strength]})
+    return by_key(request, "request_id", LiveTurns(minutes), TURN, "Update")
 
 
 def rolling_budget(requests: DataFrame, per_minute: int) -> DataFrame:
-    """requests(caller_id, id, ts_utc) with verdicts; only allowed ones of the last 60 s count. State: their times.
+    """requests(caller_id, id, ts_utc) with verdicts; only allowed ones of the last 60 s count.
 
     A batch is judged in the order of time; a request that comes in a later batch than a younger one is judged when it comes.
     """
-
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent = deque(state.get[0] if state.exists else ())
-        rows = pd.concat(list(parts)).sort_values(["ts_utc", "id"])
-        verdicts = []
-        for r in rows.itertuples():
-            now = r.ts_utc.value // 1000
-            while recent and recent[0] <= now - 60_000_000:
-                recent.popleft()
-            verdicts.append("block" if len(recent) >= per_minute else "allow")
-            if verdicts[-1] == "allow":
-                recent.append(now)
-        state.update((list(recent),))
-        state.setTimeoutTimestamp(max((recent[-1] if recent else 0) // 1000, state.getCurrentWatermarkMs()) + 120_000)
-        yield pd.DataFrame({"caller_id": rows.caller_id, "id": rows.id, "verdict": verdicts})
-
-    return requests.select("caller_id", "id", "ts_utc").groupBy("caller_id").applyInPandasWithState(fold, "caller_id string, id long, verdict string", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return by_key(requests.select("caller_id", "id", "ts_utc"), "caller_id", RollingBudget(per_minute), "caller_id string, id long, verdict string", "Append")
 
 
 def guard_scan(texts: DataFrame, feed: list[tuple] = (), types: tuple[str, ...] = scans.PII_TYPES) -> DataFrame:
