@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
@@ -50,6 +50,17 @@ def stream_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("minute").agg(*[F.sum(n).alias(n) for n in ("requests", "blocked", "redacted", "flagged")])
 
 
+def stream_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals of every day as the last of several batches left them."""
+    path, last = _folder(spark), V.read(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
+    writer = jobs.snapshots(_in_batches(spark, sf_dir).withWatermark("ts_utc", jobs.WATERMARK), path)
+    query = writer.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    history = spark.read.parquet(f"{path}/metrics/history")
+    days = spark.read.parquet(f"{path}/totals").withColumn("last", F.max("epoch").over(Window.partitionBy("date"))).filter("epoch = last")
+    return days.filter(F.col("date") <= F.to_date(F.lit(last))).select(F.date_format("date", "yyyy-MM-dd").alias("date"), "requests", *jobs.OUTCOMES.values()).crossJoin(history.agg((F.count("*") >= 4).alias("has_history")))  # one row
+
+
 def stream_minute_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = jobs.minute_decisions(_stream(spark, sf_dir).withWatermark("ts_utc", jobs.WATERMARK))
     out = jobs.run_once(rows, _folder(spark), "complete")
@@ -76,7 +87,7 @@ def stream_rolling_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.run_once(jobs.rolling_budget(requests, 1), _folder(spark), "append")
 
 
-for _f in (stream_timeline, stream_minute_decisions, stream_daily_usage, stream_session_totals, stream_live_turns, stream_rolling_budget):
+for _f in (stream_timeline, stream_snapshots, stream_minute_decisions, stream_daily_usage, stream_session_totals, stream_live_turns, stream_rolling_budget):
     QUERIES[_f.__name__] = _f
 
 ORACLES["stream_minute_decisions"] = S.with_audit("SELECT strftime(ts_utc, '%Y-%m-%d %H:%M') AS minute, count(*) AS rows, count(*) FILTER (WHERE action = 'block') AS blocked, count(*) FILTER (WHERE action = 'redact') AS redacted, count(*) FILTER (WHERE action = 'flag') AS flagged FROM checks GROUP BY 1", S.CHECK_ROWS)
@@ -85,6 +96,7 @@ ORACLES["stream_session_totals"] = S.with_audit(
     """SELECT conversation_id, strftime(min(ts_utc), '%Y-%m-%d %H:%M:%S.%f') AS started, count(*) AS rows, round(sum(cost), 6) AS cost, max(step) AS last_step FROM (SELECT *, sum(new) OVER (PARTITION BY conversation_id ORDER BY ts_utc, id) AS session
   FROM (SELECT *, CASE WHEN ts_utc - lag(ts_utc) OVER (PARTITION BY conversation_id ORDER BY ts_utc, id) < INTERVAL 7 DAYS THEN 0 ELSE 1 END AS new FROM audit WHERE conversation_id IS NOT NULL)) GROUP BY conversation_id, session"""
 )
+ORACLES["stream_snapshots"] = S.with_audit("SELECT strftime(date, '%Y-%m-%d') AS date, count(*) AS requests, " + ", ".join(f"count(*) FILTER (WHERE strength = {k}) AS {n}" for k, n in enumerate(jobs.OUTCOMES.values())) + ", true AS has_history FROM (SELECT date, request_id, max(strength) AS strength FROM checks WHERE request_id IS NOT NULL GROUP BY 1, 2) GROUP BY 1", S.CHECK_ROWS)
 ORACLES["stream_timeline"] = S.with_audit("SELECT strftime(date_trunc('minute', first_ts), '%Y-%m-%dT%H:%M:00Z') AS minute, count(*) AS requests, count(*) FILTER (WHERE strength = 3) AS blocked, count(*) FILTER (WHERE strength = 2) AS redacted, count(*) FILTER (WHERE strength = 1) AS flagged FROM requests GROUP BY 1", S.REQUESTS)
 #: Of all rows in one batch; a turn is abandoned that has no end when the watermark is ten minutes after its first row.
 ORACLES["stream_live_turns"] = S.with_audit(

@@ -74,6 +74,12 @@ def write_snapshot(metrics: DataFrame, path: str) -> None:
     stamped.write.mode("append").parquet(f"{path}/history")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder if it is there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def union_rows(*parts: DataFrame) -> DataFrame:
     """One audit table of check, tool-decision, system and summary rows."""
     out = parts[0]

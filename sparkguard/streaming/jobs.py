@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import scans, tool_args
-from ..schemas import AUDIT, TURN_SUMMARY
+from ..schemas import ACTIONS, AUDIT, OUTCOMES, TURN_SUMMARY
 from ..sources.audit import derive
-from .state import TURN, LiveTurns, RollingBudget, by_key
+from .state import TURN, LiveTurns, OutcomeChanges, RollingBudget, by_key
 
 WATERMARK = "10 minutes"
 
@@ -113,17 +113,49 @@ def each_batch_with_feed(texts: DataFrame, load_feed: Callable[[], list[tuple]],
     return texts.writeStream.foreachBatch(run)
 
 
+def store(rows: DataFrame, path: str):
+    """A writer of rows below path, one folder per UTC day; the sink's log makes a batch that runs again count once."""
+    return rows.writeStream.format("parquet").option("path", path).partitionBy("date")
+
+
+def outcome_changes(rows: DataFrame) -> DataFrame:
+    checks = rows.filter(~F.col("is_system_event") & F.col("request_id").isNotNull()).select("date", "request_id", "ts_utc", C.strength().alias("strength"))
+    return by_key(checks, ("date", "request_id"), OutcomeChanges(), OutcomeChanges.SCHEMA, "Update")
+
+
+#: Epochs of totals that are kept for a batch that runs again.
+KEPT_EPOCHS = 8
+
+
+def add_changes(changes: DataFrame, epoch: int, path: str) -> DataFrame:
+    """Totals of each day at an epoch: those of the epoch before and what changed. A batch that runs again replaces its epoch."""
+    from ..sources.audit import remove
+
+    spark = changes.sparkSession
+    count = lambda strength: F.when(F.col("after") == strength, 1).otherwise(0) - F.when(F.col("before") == strength, 1).otherwise(0)
+    delta = changes.groupBy("date").agg(F.count_if(F.col("before").isNull()).alias("requests"), *[F.sum(count(k)).alias(OUTCOMES[a]) for k, a in enumerate(ACTIONS)])
+    names = delta.columns[1:]
+    if epoch:
+        delta = spark.read.parquet(f"{path}/totals/epoch={epoch - 1}").unionByName(delta)
+    delta.groupBy("date").agg(*[F.sum(n).alias(n) for n in names]).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals/epoch={epoch}")
+    remove(spark, f"{path}/totals/epoch={epoch - KEPT_EPOCHS}")
+    return spark.read.parquet(f"{path}/totals/epoch={epoch}")
+
+
 def snapshots(rows: DataFrame, path: str, seconds: int = 5):
-    """A writer that appends every batch and replaces the metrics snapshot of the current UTC day."""
-    from ..operators import metrics
-    from ..sources.audit import write_audit, write_snapshot
+    """A writer that, for every batch, replaces the totals of the newest UTC day and adds a row to their history.
+
+    Work depends on the requests of the batch: what is known of a request is in the state, what is known of a day in the totals of the epoch
+    before. Every epoch has folders of its own, so that a batch that runs again changes nothing.
+    """
 
     def run(batch: DataFrame, epoch: int) -> None:
-        write_audit(batch, f"{path}/rows")
-        today = batch.sparkSession.read.parquet(f"{path}/rows").filter("date = current_date()")
-        write_snapshot(metrics.totals(metrics.requests(derive(today.drop("date")))), f"{path}/metrics")
+        days = add_changes(batch, epoch, path)
+        newest = days.orderBy(F.desc("date")).limit(1).withColumn("taken_at", F.current_timestamp())
+        newest.coalesce(1).write.mode("overwrite").json(f"{path}/metrics/latest")
+        newest.coalesce(1).write.mode("overwrite").parquet(f"{path}/metrics/history/epoch={epoch}")
 
-    return rows.writeStream.foreachBatch(run).trigger(processingTime=f"{seconds} seconds")
+    return outcome_changes(rows).writeStream.foreachBatch(run).outputMode("update").trigger(processingTime=f"{seconds} seconds")
 
 
 def run_once(stream: DataFrame, path: str, mode: str = "append", keys: tuple[str, ...] = (), trigger: dict | None = None) -> DataFrame:

@@ -114,6 +114,32 @@ class LiveTurns(StatefulProcessor):
         pass
 
 
-def by_key(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str) -> DataFrame:
+class OutcomeChanges(StatefulProcessor):
+    """Per day and request the change of its strongest action: before (null for a new one) and after, of batches that change it."""
+
+    SCHEMA = "date date, request_id string, before int, after int"
+    DAY_MS = 86_400_000
+
+    def init(self, handle) -> None:
+        self.handle, self.strongest = handle, handle.getValueState("strongest", "strength int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = max(int(part.strength.max()) for part in rows)
+        before = self.strongest.get()[0] if self.strongest.exists() else None
+        if before is None or now > before:
+            self.strongest.update((now,))
+            yield pd.DataFrame({"date": [key[0]], "request_id": [key[1]], "before": pd.array([before], "Int32"), "after": pd.array([now], "Int32")})
+        day = pd.Timestamp(key[0]).value // 1_000_000
+        set_timer(self.handle, max(day + 2 * self.DAY_MS, timerValues.getCurrentWatermarkInMs() + self.DAY_MS))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.strongest.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def by_key(rows: DataFrame, keys: str | tuple[str, ...], processor: StatefulProcessor, schema: str, mode: str) -> DataFrame:
     use_rocksdb(rows.sparkSession)
-    return rows.groupBy(key).transformWithStateInPandas(processor, schema, mode, "eventTime")
+    return rows.groupBy(*([keys] if isinstance(keys, str) else keys)).transformWithStateInPandas(processor, schema, mode, "eventTime")

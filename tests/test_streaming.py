@@ -1,10 +1,13 @@
 """Streams over files: what arrives once, what is refreshed, what is kept."""
 
+import datetime
+
 import pandas as pd
 import pytest
 
-from sparkguard.operators import scans
+from sparkguard.operators import metrics, scans
 from sparkguard.schemas import AUDIT
+from sparkguard.sources.audit import derive
 from sparkguard.streaming import jobs
 
 from .test_metrics import CHECKS, DAY
@@ -28,19 +31,43 @@ def test_tail_reads_once(spark, tmp_path):
 
 def test_snapshot(spark, tmp_path):
     (tmp_path / "log").mkdir()
-    write(spark, tmp_path / "log", "2026-10-03", list(enumerate(CHECKS)))
-    stream = jobs.tail(spark, str(tmp_path / "log"))
-    q = jobs.snapshots(stream, str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    for part in range(4):
+        write(spark, tmp_path / "log", f"2026-10-03-{part}", list(enumerate(CHECKS))[part::4])
+    stream = jobs.tail(spark, str(tmp_path / "log"), maxFilesPerTrigger=1)
+    jobs.store(stream, str(tmp_path / "out/rows")).option("checkpointLocation", str(tmp_path / "rows")).trigger(availableNow=True).start().awaitTermination()
+    start = lambda: jobs.snapshots(stream, str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    start()
+    batch = derive(spark.read.schema(AUDIT).json(str(tmp_path / "log")))
     assert spark.read.parquet(str(tmp_path / "out/rows")).count() == len(CHECKS)
-    assert spark.read.json(str(tmp_path / "out/metrics/latest")).count() == 1
+    latest = lambda: [(r.requests, r.allowed, r.redacted, r.blocked, r.flagged) for r in spark.read.json(str(tmp_path / "out/metrics/latest")).collect()]
+    total = metrics.totals(metrics.requests(batch)).first()
+    assert latest() == [(total.requests, total.allowed, total.redacted, total.blocked, total.flagged)]
+    assert spark.read.parquet(str(tmp_path / "out/metrics/history")).count() >= 4
+    # after a restart the state goes on: a stronger action of a known request moves it, a new request adds one
+    known = next(r for r in CHECKS if r[0] and r[5] == "allow" and not any(x[0] == r[0] and x[5] != "allow" for x in CHECKS) and r[3])
+    more = [(known[0], *known[1:5], "block", *known[6:]), ("a new one", *known[1:5], "allow", *known[6:])]
+    write(spark, tmp_path / "log", "2026-10-03-9", list(enumerate(more, 1000)))
+    start()
+    assert latest() == [(total.requests + 1, total.allowed, total.redacted, total.blocked + 1, total.flagged)]
+
+
+def test_an_epoch_that_runs_again_changes_nothing(spark, tmp_path):
+    changes = lambda *rows: spark.createDataFrame([(datetime.date(2026, 10, d), r, a, b) for d, r, a, b in rows], jobs.OutcomeChanges.SCHEMA)
+    jobs.add_changes(changes((3, "a", None, 0), (3, "b", None, 3)), 0, str(tmp_path))
+    second = changes((3, "a", 0, 2), (4, "c", None, 1))
+    once_ = sorted(tuple(r) for r in jobs.add_changes(second, 1, str(tmp_path)).collect())
+    assert once_ == sorted(tuple(r) for r in jobs.add_changes(second, 1, str(tmp_path)).collect())
+    names = ["date", "requests", *jobs.OUTCOMES.values()]
+    assert [dict(zip(names, r, strict=True)) for r in once_] == [{"date": datetime.date(2026, 10, 3), "requests": 2, "allowed": 0, "flagged": 0, "redacted": 1, "blocked": 1}, {"date": datetime.date(2026, 10, 4), "requests": 1, "allowed": 0, "flagged": 1, "redacted": 0, "blocked": 0}]
+    for epoch in range(2, 12):
+        jobs.add_changes(changes(), epoch, str(tmp_path))
+    assert len(list((tmp_path / "totals").glob("epoch=*"))) == jobs.KEPT_EPOCHS
 
 
 @pytest.mark.parametrize("job", ["minutes", "turns"])
 def test_state_crosses_batches(spark, tmp_path, job):
     """Rows of one minute or request come in several batches; what a stream keeps of the earlier ones counts."""
     from sparkguard.operators import turns
-    from sparkguard.sources.audit import derive
 
     (tmp_path / "log").mkdir()
     rows = list(enumerate(CHECKS)) if job == "minutes" else [(i, (f"q{i % 5}", "u", f"09:00:{i:02d}", ("input", "output")[i // 5 % 2], "turn_summary", ("allow", "redact")[i == 7], 1.0, "rules", 1, 0.5, "p")) for i in range(10)]
@@ -89,15 +116,40 @@ def test_bad_feed_keeps_the_last_good_one(spark, tmp_path):
     assert sorted(seen) == ["r0", "r1"]
 
 
+def _requests(spark, path, late="1 minute"):
+    read = spark.readStream.schema("caller_id string, id long, ts_utc timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(str(path))
+    return read.selectExpr("caller_id", "id", "CAST(ts_utc AS timestamp) AS ts_utc").withWatermark("ts_utc", late)
+
+
+def _put(path, name, rows):
+    path.mkdir(exist_ok=True)
+    pd.DataFrame({"caller_id": [c for c, _, _ in rows], "id": [i for _, i, _ in rows], "ts_utc": pd.to_datetime([f"2026-10-03 {t}" for *_, t in rows]).astype("datetime64[us]")}).to_parquet(path / f"{name}.parquet")
+
+
 def test_rolling_budget(spark, tmp_path):
-    times = ["00:00:00", "00:00:10", "00:00:20", "00:01:00", "00:01:05"]
-    (tmp_path / "in").mkdir()
-    pd.DataFrame({"caller_id": ["u"] * 5, "id": range(5), "ts_utc": pd.to_datetime([f"2026-10-03 {t}" for t in times]).astype("datetime64[us]")}).to_parquet(tmp_path / "in" / "0.parquet")
-    requests = spark.readStream.schema("caller_id string, id long, ts_utc timestamp_ntz").parquet(str(tmp_path / "in")).selectExpr("caller_id", "id", "CAST(ts_utc AS timestamp) AS ts_utc").withWatermark("ts_utc", "1 minute")
-    out = jobs.run_once(jobs.rolling_budget(requests, 2), str(tmp_path / "run"))
+    _put(tmp_path / "in", 0, [("u", i, t) for i, t in enumerate(("00:00:00", "00:00:10", "00:00:20", "00:01:00", "00:01:05"))])
+    out = jobs.run_once(jobs.rolling_budget(_requests(spark, tmp_path / "in"), 2), str(tmp_path / "run"))
     assert {r.id: r.verdict for r in out.collect()} == {0: "allow", 1: "allow", 2: "block", 3: "allow", 4: "block"}
 
 
+def test_rolling_budget_over_batches(spark, tmp_path):
+    """State of earlier batches counts, also after a restart; rows behind the watermark are dropped; a caller's state ends by its timer."""
+    run = lambda: {r.id: r.verdict for r in jobs.run_once(jobs.rolling_budget(_requests(spark, tmp_path / "in"), 2), str(tmp_path / "run")).collect()}
+    _put(tmp_path / "in", 0, [("u", 0, "00:00:00"), ("v", 1, "00:00:01")])
+    _put(tmp_path / "in", 1, [("u", 2, "00:00:10")])
+    _put(tmp_path / "in", 2, [("u", 3, "00:00:20"), ("v", 4, "00:00:05")])
+    assert run() == {0: "allow", 1: "allow", 2: "allow", 3: "block", 4: "allow"}
+    _put(tmp_path / "in", 3, [("u", 5, "00:00:50"), ("u", 6, "00:01:00"), ("v", 7, "00:00:06")])
+    assert {i: v for i, v in run().items() if i > 4} == {5: "block", 6: "allow", 7: "block"}
+    _put(tmp_path / "in", 4, [("w", 8, "00:30:00")])
+    _put(tmp_path / "in", 5, [("w", 10, "00:30:01")])
+    _put(tmp_path / "in", 6, [("u", 9, "00:02:00"), ("w", 11, "00:30:02")])  # the first is late
+    got = run()
+    assert (got[8], got[10], got[11]) == ("allow", "allow", "block") and 9 not in got
+    state = spark.read.format("statestore").option("path", str(tmp_path / "run/state")).option("stateVarName", "times").load()
+    assert {r.key.caller_id for r in state.select("key").distinct().collect()} == {"w"}
+
+
 def test_live_turns_match_batch(spark, sf):
     from sparkguard.operators import turns
     from sparkguard.plans import stream_queries, views
