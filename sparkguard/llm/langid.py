@@ -1,8 +1,8 @@
 """Language identification: scripts narrow the candidates, Viterbi over word scores labels spans.
 
 A word's score for a language is the sum of log-probabilities of its byte trigrams, learned from labelled rows. Script
-ranges of code points rule out languages that never use the word's script; code points of no script (signs, emoji, punctuation)
-count for nothing. Viterbi with a constant penalty for each switch then labels every word, so that a document may hold spans of
+ranges of code points rule out languages that never use the word's script; letters of scripts that aren't listed are a class of their own,
+and what is no letter (signs, emoji, punctuation) counts for nothing. Viterbi with a constant penalty for each switch then labels every word, so that a document may hold spans of
 several languages. Words are separated by ASCII white space: what is written without it (Chinese, Thai) is one word and one span.
 
 Nulls and empty texts have no spans and are `und`; so are texts without a letter. Very long texts are labelled whole. Repeated
@@ -12,7 +12,9 @@ row all are `und`. An empty table gives no rows. Other columns of the input, wha
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ MAX_TRAINING_ROWS = 20_000
 SWITCH_PENALTY = 14.0
 PART_BYTES, FEATURE_BYTES = 2 << 20, 1 << 19
 
-#: Scripts by ranges of code points (blocks of Unicode); letters of other code points have none.
+#: Scripts by ranges of code points (blocks of Unicode).
 SCRIPTS = {
     "Latin": [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xB5, 0xB5), (0xBA, 0xBA), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F), (0x250, 0x2AF), (0x300, 0x36F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xFB00, 0xFB06), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)],
     "Greek": [(0x370, 0x3FF), (0x1F00, 0x1FFF)],
@@ -49,7 +51,15 @@ SCRIPTS = {
 }
 _RANGES = sorted((lo, hi, i + 1) for i, ranges in enumerate(SCRIPTS.values()) for lo, hi in ranges)
 _LOW, _HIGH, _NUMBER = (np.array(x) for x in zip(*_RANGES, strict=True))
-N_SCRIPTS = len(SCRIPTS) + 1
+#: Letters of all other scripts, by their Unicode category.
+OTHER = len(SCRIPTS) + 1
+N_SCRIPTS = OTHER + 1
+
+
+@cache
+def _letters() -> np.ndarray:
+    """Is each code point a letter?"""
+    return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
 
 
 @dataclass
@@ -75,7 +85,11 @@ def byte_scripts(data: np.ndarray) -> np.ndarray:
             at = np.minimum(lead + k, len(data) - 1)
             point = np.where(more, point << 6 | (data[at] & 0x3F), point)
         k = np.searchsorted(_LOW, point, "right") - 1
-        script = np.where((k >= 0) & (point <= _HIGH[k]), _NUMBER[k], 0).astype(np.uint8)
+        script = np.where((k >= 0) & (point <= _HIGH[k]), _NUMBER[k], 0)
+        rest = np.flatnonzero((script == 0) & (point >= 0x80))
+        if len(rest):
+            script[rest] = np.where(_letters()[np.minimum(point[rest], 0x10FFFF)], OTHER, 0)
+        script = script.astype(np.uint8)
         for k in range(4):
             some = size > k
             out[np.minimum(lead[some] + k, len(data) - 1)] = script[some]

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sparkguard.llm import bfd_packing, config_packing, decontamination, embedding_dedup, langid, license_scan, near_dedup, secret_scan, substring_dedup, tokens, warc
 from sparkguard.llm.common import connected_components, gram_hashes, utf8, word_hashes, word_spans
 
@@ -618,3 +619,26 @@ def test_small_tables_are_broadcast(spark, docs, monkeypatch, limit):
     items = spark.createDataFrame([(1, " ".join(words(40, 2)))], "item_id long, text string")
     assert {r.doc_id for r in decontamination.contamination(docs, items).collect()} == {10, 11, 12, 13}
     assert sorted(r.doc_id for r in near_dedup.near_duplicates(docs).collect() if not r.kept) == [2, 3, 6, 9]
+
+
+def test_short_benchmark_items(spark):
+    """Items of one to four words are found as a whole, and only as a whole."""
+    texts = [(1, "see the Zebra-crossing there"), (2, "two plus two is four, they say"), (3, "two plus three is four"), (4, "zebra"), (5, "is four two plus two"), (6, " ".join(words(40, 8))), (7, "Zebra crossings"), (8, None)]
+    items = [(1, "zebra crossing"), (2, "Two plus two is"), (3, "!?"), (4, "zebra"), (5, " ".join(words(40, 8)[5:30])), (6, "")]
+    got = decontamination.contamination(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.n_shingles, r.n_shared, r.containment) for r in got.collect()} == {(1, 1, 1, 1, 1.0), (1, 4, 1, 1, 1.0), (2, 2, 1, 1, 1.0), (4, 4, 1, 1, 1.0), (7, 4, 1, 1, 1.0), (6, 5, 21, 21, 1.0)}
+
+
+def test_letters_of_other_scripts(spark):
+    texts = {1: "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ ᏗᏂᏲᎵ", 2: "ᠮᠣᠩᠭᠣᠯ ᠬᠡᠯᠡ", 3: "ⵜⴰⵎⴰⵣⵉⵖⵜ", 4: "the house with there", 5: "☃ ★ 123"}
+    rows = [(i + 10, "the house with there thing", "en") for i in range(8)] + [(i + 30, "della casa perché quello", "it") for i in range(8)]
+    docs = spark.createDataFrame(rows + [(i, t, None) for i, t in texts.items()], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    got = {r.doc_id: r for r in langid.label_spans(docs, model).collect()}
+    for i in (1, 2, 3):
+        assert got[i].lang_pred in ("en", "it") and got[i].score >= 0.5, got[i]
+    assert (got[4].lang_pred, got[4].score, got[5].lang_pred, got[5].score) == ("en", 1.0, "und", 0.0)
+    raw = lambda t: langid.byte_scripts(np.frombuffer(t.encode(), np.uint8)).tolist()
+    assert raw("Ꭳ") == [langid.OTHER] * 3 and raw("☃") == [0] * 3 and raw("𐓘") == [langid.OTHER] * 4 and raw("ⲁ") == [langid.OTHER] * 3
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert {1, 2, 3, 4} <= {r.doc_id for r in kept.collect()} and kept.filter("doc_id = 5").count() == 0
