@@ -9,10 +9,11 @@ from itertools import takewhile
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from ..sources import versions
 from .fingerprints import source_fingerprint as source_fingerprint
 from .keywords import keyword_top_k
 
@@ -238,10 +239,19 @@ def embed(chunks: DataFrame, encoder, dimension: int) -> DataFrame:
     return chunks.join(validate_vectors(vectors, dimension), "input_sha256")
 
 
-def write_index(chunks: DataFrame, state: DataFrame, path: str, version: str) -> None:
-    """A new version's chunks first, the one-row state last, so readers never see half an index."""
-    chunks.write.mode("overwrite").parquet(f"{path}/chunks-{version}")
-    state.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{path}/state")
+def write_index(chunks: DataFrame, state: DataFrame, path: str, version: str) -> int:
+    """Commit chunks and their one-row state as a new version of the index, together: readers see the version before until then."""
+    spark = chunks.sparkSession
+    data = versions.write_data(chunks, path)
+    return versions.commit(spark, path, {"data": data, "version": version, "state": state.first().asDict()})
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """(chunks, state) of the newest version; None where there is none."""
+    found = versions.manifest(spark, path)
+    if found is None:
+        return None
+    return spark.read.parquet(f"{path}/{found['data']}"), spark.createDataFrame([{**found["state"], "version": found["version"]}])
 
 
 def assert_fresh(state: DataFrame, identity: dict, fingerprint: str) -> None:

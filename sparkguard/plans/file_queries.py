@@ -11,6 +11,7 @@ from ..schemas import AUDIT
 from ..session import shared_dir
 from ..sources import audit as A
 from ..sources import corpus as files
+from ..sources import relational, versions
 from . import sql as S
 from . import views as V
 
@@ -291,10 +292,34 @@ def index_plan(spark: SparkSession, d: str) -> DataFrame:
     path = shared_dir(spark, "index")
     old = chunks.filter("chunk_id % 10 <> 0")
     retrieval.write_index(old, spark.createDataFrame([{**identity, "fingerprint": "old", "rows": 0}]), path, "v1")
-    kind, todo = retrieval.plan_index(chunks, spark.read.parquet(f"{path}/chunks-v1"), spark.read.parquet(f"{path}/state"), identity, "new")
+    kind, todo = retrieval.plan_index(chunks, *retrieval.read_index(spark, path), identity, "new")
     return todo.select(F.lit(kind).alias("plan"), "chunk_id")
 
 
+@query("SELECT vec_id AS chunk_id, CASE WHEN vec_id % 3 = 0 THEN 'c' ELSE 'a' END AS body FROM embeddings WHERE vec_id % 7 <> 0")
+def index_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Three versions of an index, the second of which is written but not committed; readers get the third, from the data that it names."""
+    path, rows = shared_dir(spark, "index"), V.read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.lit("a").alias("body"))
+    state = spark.createDataFrame([{"model": "m", "rows": 0}])
+    retrieval.write_index(rows, state, path, "v1")
+    versions.write_data(rows.withColumn("body", F.lit("b")), path)
+    before, _ = retrieval.read_index(spark, path)
+    retrieval.write_index(before.filter("chunk_id % 7 <> 0").withColumn("body", F.when(F.col("chunk_id") % 3 == 0, "c").otherwise(F.col("body"))), state, path, "v3")
+    versions.prune(spark, path, 1)
+    return retrieval.read_index(spark, path)[0]
+
+
+@query("""SELECT o_orderkey AS transaction_id, o_custkey AS client_id, CAST(round(o_totalprice * 100) AS BIGINT) + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS amount_minor, ['PLN', 'EUR', 'USD'][CAST(o_custkey % 3 + 1 AS INTEGER)] AS currency FROM orders""")
+def relational_load(spark: SparkSession, d: str) -> DataFrame:
+    """Payments loaded into the database in Spark's own jars, twice, the second time with some other amounts, and read back by ranges."""
+    url = f"jdbc:derby:{shared_dir(spark, 'db').removeprefix('file:').replace('///', '/')};create=true"
+    rows = V.payments(spark, d).select("transaction_id", "client_id", "amount_minor", "currency")
+    again = rows.filter("transaction_id % 5 = 0 OR transaction_id % 3 = 0").withColumn("amount_minor", F.col("amount_minor") + F.when(F.col("transaction_id") % 5 == 0, 1).otherwise(0))
+    for table in (rows, again):
+        relational.load(table, url, "payments", "transaction_id", {"currency": "VARCHAR(3)"})
+    return relational.read(spark, url, "payments", "transaction_id")
+
+
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     """Five hits for every question, made of the order lines."""
     li = V.read(spark, d, "lineitem").filter("l_linenumber <= 5")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from . import relational
 
 TABLES = {"clients": S.CLIENTS, "contacts": S.CONTACTS, "accounts": S.ACCOUNTS, "transactions": S.TRANSACTIONS}
 
@@ -35,12 +36,17 @@ def export_corpus(tables: dict[str, DataFrame], path: str) -> DataFrame:
     return manifest
 
 
-def load_jdbc(tables: dict[str, DataFrame], url: str, properties: dict | None = None) -> None:
-    """Append the tables to a relational store; document links go to a table of their own."""
+#: Key and text columns of the tables in a relational store.
+KEYS = {"clients": "client_id", "contacts": "contact_id", "accounts": "account_id", "transactions": "transaction_id", "documents": "document_id", "document_transactions": "document_id"}
+
+
+def load_jdbc(tables: dict[str, DataFrame], url: str, types: dict[str, dict[str, str]] | None = None, **options) -> None:
+    """Load the tables into a relational store, each in a transaction that replaces the keys that it has; document links go to a table of their own."""
     from ..operators.corpus import document_links
 
-    for name, table in tables.items():
-        if name == "documents":
-            document_links(table).write.jdbc(url, "document_transactions", mode="append", properties=properties or {})
-            table = table.drop("transaction_ids")
-        table.write.jdbc(url, name, mode="append", properties=properties or {})
+    todo = dict(tables)
+    if "documents" in todo:
+        todo["document_transactions"] = document_links(todo["documents"])
+        todo["documents"] = todo["documents"].drop("transaction_ids")
+    for name, table in todo.items():
+        relational.load(table, url, name, KEYS.get(name, table.columns[0]), (types or {}).get(name), **options)

@@ -9,6 +9,7 @@ from sparkguard import schemas as S
 from sparkguard.operators import corpus as K
 from sparkguard.operators import decisions, fingerprints, keywords, retrieval, scans
 from sparkguard.sources import corpus as files
+from sparkguard.sources import relational, versions
 
 TRUTH = "document_id string, client_id string, pair_id string, variant string"
 
@@ -104,7 +105,9 @@ def test_index_plan(spark, tmp_path):
     with pytest.raises(ValueError, match="stale"):
         retrieval.assert_fresh(state, IDENTITY, "other")
     retrieval.write_index(vectors, state, str(tmp_path / "index"), "v1")
-    assert spark.read.parquet(str(tmp_path / "index/state")).first().version == "v1"
+    stored, kept = retrieval.read_index(spark, str(tmp_path / "index"))
+    assert kept.first().version == "v1" and stored.count() == vectors.count()
+    retrieval.assert_fresh(kept, IDENTITY, mark)
 
 
 def test_scoped_search(spark):
@@ -179,3 +182,44 @@ def test_fingerprint_trees(spark):
     one_less = docs.filter("document_id IS NOT NULL").union(docs.filter("document_id IS NULL").limit(1))  # of two equal rows one is gone
     ranges = fingerprints.changed_ranges(tree, fingerprints.fingerprint_tree(one_less, depth=2), 2)
     assert [tuple(r) for r in fingerprints.changed_rows(docs, one_less, ranges, 2).collect()] == [(None, "changed")]
+
+
+def test_a_writer_that_dies_leaves_the_old_index(spark, tmp_path, monkeypatch):
+    path, state = str(tmp_path / "index"), spark.createDataFrame([{"fingerprint": "x", "rows": 1}])
+    rows = lambda v: spark.createDataFrame([(1, v)], "chunk_id long, body string")
+    read = lambda: [(r.body, s.first().version) for c, s in [retrieval.read_index(spark, path)] for r in c.collect()]
+    assert retrieval.read_index(spark, path) is None
+    assert retrieval.write_index(rows("old"), state, path, "v1") == 1
+    open_reader = retrieval.read_index(spark, path)[0]
+    commit = versions.commit
+    monkeypatch.setattr(versions, "commit", lambda *a: (_ for _ in ()).throw(RuntimeError("the writer died")))
+    with pytest.raises(RuntimeError, match="died"):
+        retrieval.write_index(rows("torn"), state, path, "v2")
+    monkeypatch.setattr(versions, "commit", commit)
+    assert read() == [("old", "v1")]
+    assert retrieval.write_index(rows("new"), state, path, "v2") == 2 and read() == [("new", "v2")]
+    assert [r.body for r in open_reader.collect()] == ["old"]  # a version's data stay as they were
+    with pytest.raises(versions.VersionConflict):
+        versions.commit(spark, path, {"data": "x"}, 2)
+    assert read() == [("new", "v2")] and versions.version_numbers(spark, path) == [1, 2]
+    versions.prune(spark, path, 1)
+    assert read() == [("new", "v2")] and len(list((tmp_path / "index").glob("data-*"))) == 1
+
+
+def test_relational_load(spark, tmp_path, tables):
+    url = f"jdbc:derby:{tmp_path / 'db'};create=true"
+    rows = lambda pairs: spark.createDataFrame(pairs, "transaction_id long, note string")
+    got = lambda: sorted(tuple(r) for r in relational.read(spark, url, "notes", "transaction_id").collect())
+    load = lambda pairs, **o: relational.load(rows(pairs).repartition(3), url, "notes", "transaction_id", {"note": "VARCHAR(20)"}, **o)
+    load([])
+    assert got() == []
+    for _ in range(2):
+        load([(1, "a"), (2, "b"), (2, "b"), (900, None)])
+        assert got() == [(1, "a"), (2, "b"), (900, None)]
+    load([(2, "other"), (3, "c")], connections=1)
+    assert got() == [(1, "a"), (2, "other"), (3, "c"), (900, None)]
+    with pytest.raises(Exception, match="note is longer than 20"):
+        load([(1, "changed"), (4, "x" * 50)])  # fails in the store
+    assert got() == [(1, "a"), (2, "other"), (3, "c"), (900, None)]
+    left = spark.read.jdbc(url, "(SELECT TABLENAME FROM SYS.SYSTABLES WHERE TABLETYPE = 'T') t").collect()
+    assert [r[0] for r in left] == ["NOTES"]
