@@ -6,7 +6,7 @@ size is shuffled once by a key that spreads evenly; what follows is small.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -44,24 +44,36 @@ def timeline(per_request: DataFrame) -> DataFrame:
     return per_request.groupBy(C.minute_text(F.col("first_ts")).alias("minute")).agg(F.count("*").alias("requests"), *[F.count_if(F.col("outcome") == n).alias(n) for n in names])
 
 
-def percentiles(rows: DataFrame, values: dict[str, str], keys: tuple[str, ...] = (), chunks: int = 256) -> DataFrame:
+#: Bins of a histogram for each power of e, and ranks whose bins are sent to every task.
+PER_POWER, BROADCAST_RANKS = 1024, 200_000
+
+
+def _bin(value: Column, per_power: int) -> Column:
+    """A whole number that grows with a double: its sign and its logarithm; infinite values and NaN are in the last bin."""
+    power = F.greatest(F.least(F.log(F.abs(value)), F.lit(799.0)), F.lit(-799.0))
+    place = F.floor(power * per_power).cast("long") + 800 * per_power
+    return F.when(value > 0, place).when(value < 0, -place).otherwise(0)
+
+
+def percentiles(rows: DataFrame, values: dict[str, str], keys: tuple[str, ...] = (), per_power: int = PER_POWER) -> DataFrame:
     """Nearest-rank p50 and p95 of several columns (name: column), per key or as one row; 0 without values.
 
-    Exact, but no state or task holds all distinct values: equal ones are counted first, approximate quantiles cut them into chunks of
-    about equal counts, counts of chunks tell where the ranks fall, and only the values of those chunks are put in order.
+    Exact, in two passes over the rows: the first counts them in a histogram, whose partial counts are small whatever the rows are, and tells which
+    bins hold a rank; the second puts the distinct values of those bins in order, about a thousandth of all.
     """
     by = [*keys, "measure"]
     sides = F.array(*[F.struct(F.lit(name).alias("measure"), F.col(column).cast("double").alias("value")) for name, column in values.items()])
-    counted = rows.select(*keys, F.inline(sides)).filter("value IS NOT NULL").groupBy(*by, "value").agg(F.count("*").alias("n"))
-    cuts = counted.groupBy(*by).agg(F.percentile_approx("value", [i / chunks for i in range(1, chunks)], 4 * chunks).alias("cuts"))
-    cut = counted.join(F.broadcast(cuts), by).withColumn("chunk", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    long = rows.select(*keys, F.inline(sides)).filter("value IS NOT NULL").withColumn("bin", _bin(F.col("value"), per_power))
     w = Window.partitionBy(*by)
-    sizes = cut.groupBy(*by, "chunk").agg(F.sum("n").alias("size")).withColumn("upto", F.sum("size").over(w.orderBy("chunk"))).withColumn("total", F.sum("size").over(w))
+    sizes = long.groupBy(*by, "bin").agg(F.count("*").alias("size")).withColumn("upto", F.sum("size").over(w.orderBy("bin"))).withColumn("total", F.sum("size").over(w))
     ranks = sizes.withColumn("p", F.explode(F.array(F.lit(50), F.lit(95)))).withColumn("rank", F.greatest(F.ceil(F.col("p") * F.col("total") / 100), F.lit(1)))
-    homes = ranks.filter("rank <= upto AND rank > upto - size").select(*by, "chunk", "p", (F.col("rank") - F.col("upto") + F.col("size")).alias("rank"))
-    near = cut.join(F.broadcast(homes.select(*by, "chunk").distinct()), [*by, "chunk"])
-    placed = near.withColumn("last", F.sum("n").over(Window.partitionBy(*by, "chunk").orderBy("value")))
-    found = placed.join(F.broadcast(homes), [*by, "chunk"]).filter("rank <= last AND rank > last - n")
+    homes = ranks.filter("rank <= upto AND rank > upto - size").select(*by, "bin", "p", (F.col("rank") - F.col("upto") + F.col("size")).alias("rank"))
+    homes = homes.groupBy(*by, "bin").agg(F.collect_list(F.struct("p", "rank")).alias("ranks"))
+    few = homes.take(BROADCAST_RANKS + 1)
+    near = long.join(F.broadcast(rows.sparkSession.createDataFrame(few, homes.schema)) if len(few) <= BROADCAST_RANKS else homes, [*by, "bin"])
+    counted = near.groupBy(*by, "bin", "value").agg(F.count("*").alias("n"), F.first("ranks").alias("ranks"))
+    placed = counted.withColumn("last", F.sum("n").over(Window.partitionBy(*by, "bin").orderBy("value")))
+    found = placed.select(*by, "value", "last", "n", F.inline("ranks")).filter("rank <= last AND rank > last - n")
     pick = lambda name, p: F.coalesce(F.max(F.when((F.col("measure") == name) & (F.col("p") == p), F.col("value"))), F.lit(0.0)).alias(f"{name}_p{p}")
     return found.groupBy(*keys).agg(*[pick(name, p) for name in values for p in (50, 95)])
 
@@ -96,9 +108,9 @@ def latency_by_check(audit: DataFrame) -> DataFrame:
     return percentiles(check_rows(audit), {"latency_ms": "latency_ms"}, ("check",))
 
 
-def latency_by_check_ranked(audit: DataFrame, chunks: int = 512) -> DataFrame:
-    """latency_by_check with another number of chunks."""
-    return percentiles(check_rows(audit), {"latency_ms": "latency_ms"}, ("check",), chunks)
+def latency_by_check_ranked(audit: DataFrame, per_power: int = 4) -> DataFrame:
+    """latency_by_check with other bins."""
+    return percentiles(check_rows(audit), {"latency_ms": "latency_ms"}, ("check",), per_power)
 
 
 def judge_latency(audit: DataFrame) -> DataFrame:

@@ -97,6 +97,17 @@ query(
 )(T.live_turns)
 
 
+def _enabled(a: DataFrame) -> DataFrame:
+    """The matrix of the checks as the log shows them: on where a check ever blocked, at the checkpoints where it has rows."""
+    rows = M.check_rows(a).filter("checkpoint IS NOT NULL")
+    checks = rows.groupBy("check").agg(F.max("is_block").alias("on"), F.collect_set("checkpoint").alias("at"))
+    return M.enabled_checks(checks, rows.select("checkpoint").distinct())
+
+
+query("enabled_checks", S.with_audit("""SELECT k."check", p.checkpoint, CASE WHEN NOT (k.is_on AND list_contains(k.places, p.checkpoint)) THEN 'off' WHEN k."check" = 'pii_secrets' THEN 'redact' ELSE 'block' END AS mode
+  FROM (SELECT "check", bool_or(is_block) AS is_on, list(DISTINCT checkpoint) AS places FROM checks WHERE checkpoint IS NOT NULL GROUP BY 1) k, (SELECT DISTINCT checkpoint FROM checks WHERE checkpoint IS NOT NULL) p""", S.CHECK_ROWS))(_enabled)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["timeline"](spark, sf_dir)
 

@@ -116,6 +116,34 @@ query(
 query("find_pii")(lambda s, d: scans.find_pii(_texts(s, d)).select("request_id", F.size("spans").alias("n_spans"), F.sha2("redacted", 256).alias("redacted_sha256")))
 query("find_pii_pages")(lambda s, d: scans.find_pii(V.read(s, d, "pages"), "html").select("page_id", F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",").alias("spans")))
 
+_NUMBERS = """numbers AS (SELECT o_orderkey AS k, ['pesel', 'card', 'iban', 'ssn', 'phone', 'api_key'][CAST(o_orderkey % 6 + 1 AS INTEGER)] AS kind, CASE o_orderkey % 6 WHEN 0 THEN lpad(CAST(o_orderkey * 7919 AS VARCHAR), 11, '4') WHEN 1 THEN lpad(CAST(o_orderkey * 104729 AS VARCHAR), 15, '3') || o_orderkey % 10
+    WHEN 2 THEN 'PL' || lpad(CAST(o_orderkey * 37 % 100 AS VARCHAR), 2, '0') || lpad(CAST(o_orderkey * 7919 AS VARCHAR), 24, '1') WHEN 3 THEN lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') || '-' || lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0')
+    WHEN 4 THEN '555 ' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') || ' ' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') ELSE 'AKIA' || translate(upper(substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, CAST(14 + o_orderkey % 9 // 3 AS INTEGER))), '0123456789', 'GHIJKLMNOP') END AS value FROM orders),
+judged AS (SELECT *, CASE kind WHEN 'pesel' THEN list_sum(list_transform(range(1, 12), lambda i: [1, 3, 7, 9, 1, 3, 7, 9, 1, 3, 1][i] * CAST(value[i] AS INTEGER))) % 10 = 0
+    WHEN 'card' THEN list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 0 THEN CAST(value[i] AS INTEGER) WHEN value[i] > '4' THEN 2 * CAST(value[i] AS INTEGER) - 9 ELSE 2 * CAST(value[i] AS INTEGER) END)) % 10 = 0
+    WHEN 'iban' THEN CAST(substr(value, 5) || '2521' || substr(value, 3, 2) AS HUGEINT) % 97 = 1 WHEN 'ssn' THEN k % 1000 NOT IN (0, 666) AND k % 1000 < 900 AND k % 100 <> 0 AND k % 10000 <> 0 WHEN 'phone' THEN true ELSE length(value) = 20 END AS ok FROM numbers)"""
+
+
+def _numbers(spark: SparkSession, d: str) -> DataFrame:
+    """A number that could be an identifier for every order; some have the right check digits."""
+    k = F.col("o_orderkey")
+    text = lambda c, n, fill: F.lpad(c.cast("string"), n, fill)
+    each = [
+        text(k * 7919, 11, "4"),
+        F.concat(text(k * 104729, 15, "3"), (k % 10).cast("string")),
+        F.concat(F.lit("PL"), text(k * 37 % 100, 2, "0"), text(k * 7919, 24, "1")),
+        F.concat_ws("-", text(k % 1000, 3, "0"), text(k % 100, 2, "0"), text(k % 10000, 4, "0")),
+        F.concat_ws(" ", F.lit("555"), text(k % 1000, 3, "0"), text(k % 10000, 4, "0")),
+        F.concat(F.lit("AKIA"), F.translate(F.upper(F.expr("substr(sha2(cast(o_orderkey as string), 256), 1, cast(14 + o_orderkey % 9 div 3 as int))")), "0123456789", "GHIJKLMNOP")),
+    ]
+    value = F.element_at(F.array(*each), (k % 6 + 1).cast("int"))
+    return V.read(spark, d, "orders").select(k, F.concat(F.lit("no. "), value, F.lit(" end")).alias("content"))
+
+
+query("find_identifiers", f"WITH {_NUMBERS} SELECT k AS o_orderkey, CASE WHEN ok THEN kind || ':4:' || (4 + length(value)) ELSE '' END AS spans, 'no. ' || CASE WHEN ok THEN '[REDACTED:' || upper(kind) || ']' ELSE value END || ' end' AS redacted FROM judged")(
+    lambda s, d: scans.find_pii(_numbers(s, d)).select("o_orderkey", F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",").alias("spans"), "redacted")
+)
+
 # --- judge and decisions ----------------------------------------------------------------------
 
 _INPUTS = """turns AS (SELECT 'c' || conv_id AS request_id, turn AS message_index, CASE WHEN role = 'assistant' AND (conv_id + turn) % 3 = 0 THEN 'tool' ELSE role END AS role, text AS content,

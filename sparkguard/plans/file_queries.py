@@ -164,9 +164,12 @@ def loops_since_user(spark: SparkSession, d: str) -> DataFrame:
     return access.check_loops(calls, 1, 1, m).drop("reason")
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_full_match(w, '[A-Za-z_][A-Za-z0-9_.:-]{0,63}') THEN w ELSE '<unprintable name>' END AS label FROM (SELECT doc_id, coalesce(substr(text, 1, CAST(doc_id % 90 AS INTEGER)), '') AS w FROM documents)""")
+@query("""WITH w AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), ' ')) AS w FROM documents)
+  SELECT doc_id, count(*) AS names, count(*) FILTER (WHERE NOT regexp_full_match(w, '[A-Za-z_][A-Za-z0-9_.:-]{0,63}')) AS unprintable FROM w GROUP BY 1""")
 def safe_labels(spark: SparkSession, d: str) -> DataFrame:
-    return V.read(spark, d, "documents").select("doc_id", C.safe_label(F.coalesce(F.substring("text", F.lit(1), (F.col("doc_id") % 90).cast("int")), F.lit(""))).alias("label"))
+    """Every word of the documents as a name."""
+    words = V.read(spark, d, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), " ", -1)).alias("w"))
+    return words.groupBy("doc_id").agg(F.count("*").alias("names"), F.count_if(C.safe_label("w") == "<unprintable name>").alias("unprintable"))
 
 
 # --- scans ------------------------------------------------------------------------------------
@@ -258,13 +261,12 @@ def _markdown(spark: SparkSession, d: str) -> DataFrame:
     return V.read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.lit("T").alias("title"), text.alias("text"))
 
 
-@query("""WITH s AS (SELECT doc_id AS document_id, unnest([{'p': 0, 't': '# Top ' || doc_id || chr(10) || chr(10)}, {'p': 1, 't': '## Body' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '```' || chr(10) ELSE '' END}, {'p': 2, 't': '## hidden'}]) AS x FROM documents)
-  SELECT document_id, CAST(x.p AS INTEGER) AS position, x.t AS head FROM s WHERE x.p < 2 OR document_id % 3 = 0""")
+@query("""WITH b AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '```' || chr(10) ELSE '' END AS fence, regexp_replace(coalesce(text, ''), '[\\n#`~]', ' ', 'g') || chr(10) || '#### Deep ##' || chr(10) || 'end' AS rest FROM documents),
+  s AS (SELECT doc_id AS document_id, unnest([{'p': 0, 't': '# Top ' || doc_id || chr(10) || chr(10)}, {'p': 1, 't': '## Body' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN fence ELSE rest END}, {'p': 2, 't': '## hidden' || chr(10) || fence || rest}]) AS x FROM b)
+  SELECT document_id, CAST(x.p AS INTEGER) AS position, sha256(x.t) AS section FROM s WHERE x.p < 2 OR document_id % 3 = 0""")
 def markdown_h2(spark: SparkSession, d: str) -> DataFrame:
     """A plain split at second-level headings, fences included, as the operator's definition says."""
-    found = retrieval.h2_sections(_markdown(spark, d))
-    fenced = F.when(F.col("document_id") % 3 == 0, F.substring("section", 1, 12)).otherwise(F.substring("section", 1, 8))
-    return found.select("document_id", F.col("position").cast("int"), F.when(F.col("position") == 0, F.col("section")).when(F.col("position") == 2, F.substring("section", 1, 9)).otherwise(fenced).alias("head"))
+    return retrieval.h2_sections(_markdown(spark, d)).select("document_id", F.col("position").cast("int"), F.sha2("section", 256).alias("section"))
 
 
 @query("""WITH d AS (SELECT doc_id, 8 + length(CAST(doc_id AS VARCHAR)) AS top, 8 + CASE WHEN doc_id % 3 = 0 THEN 18 ELSE 0 END + length(coalesce(text, '')) + 1 AS body FROM documents)
@@ -321,17 +323,17 @@ def relational_load(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    """Five hits for every question, made of the order lines."""
-    li = V.read(spark, d, "lineitem").filter("l_linenumber <= 5")
+    """Hits for every question, made of the order lines."""
+    li = V.read(spark, d, "lineitem")
     return li.select(F.col("l_orderkey").alias("question_id"), F.concat(F.lit("D"), (F.col("l_partkey") % 50).cast("string")).alias("document_id"), F.concat(F.lit("C"), "l_linenumber").alias("chunk_id"), F.col("l_linenumber").cast("int").alias("rank"), (F.col("l_linenumber") / 64).cast("double").alias("similarity"), F.concat(F.lit("text "), "l_suppkey").alias("text"))
 
 
-@query("SELECT l_orderkey AS question_id, string_agg(DISTINCT 'D' || (l_partkey % 50), ',' ORDER BY 'D' || (l_partkey % 50)) AS sources FROM lineitem WHERE l_linenumber <= 5 GROUP BY 1")
+@query("SELECT l_orderkey AS question_id, string_agg(DISTINCT 'D' || (l_partkey % 50), ',' ORDER BY 'D' || (l_partkey % 50)) AS sources FROM lineitem GROUP BY 1")
 def hit_sources(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.hit_sources(_hits(spark, d), "question_id").withColumn("sources", F.array_join("sources", ","))
 
 
-@query("""WITH h AS (SELECT l_orderkey AS q, l_linenumber AS r, 'Source: {"document_id":"D' || (l_partkey % 50) || '","chunk_id":"C' || l_linenumber || '"}' || chr(10) || 'text ' || l_suppkey AS t FROM lineitem WHERE l_linenumber <= 5)
+@query("""WITH h AS (SELECT l_orderkey AS q, l_linenumber AS r, 'Source: {"document_id":"D' || (l_partkey % 50) || '","chunk_id":"C' || l_linenumber || '"}' || chr(10) || 'text ' || l_suppkey AS t FROM lineitem)
   SELECT q AS question_id, string_agg(t, chr(10) || chr(10) ORDER BY r, t) AS result FROM h GROUP BY q""")
 def rendered_hits(spark: SparkSession, d: str) -> DataFrame:
     """Hits as text; similarities, which engines write differently, are taken out."""

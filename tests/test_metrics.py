@@ -113,7 +113,7 @@ def test_usage(checks):
     assert M.totals(M.requests(late)).first().requests == len(by_request(lambda r: 1, scanned("09:04")))
 
 
-@pytest.mark.parametrize(("values", "want"), [([7.0], (7.0, 7.0)), ([3.0, 1.0], (1.0, 3.0)), ([float(i) for i in range(1, 21)], (10.0, 19.0)), ([], (0.0, 0.0))])
+@pytest.mark.parametrize(("values", "want"), [([7.0], (7.0, 7.0)), ([3.0, 1.0], (1.0, 3.0)), ([float(i) for i in range(1, 21)], (10.0, 19.0)), ([], (0.0, 0.0)), ([-5.0, 0.0, 3.0], (0.0, 3.0)), ([-5.0, -0.5, -0.25, -1e-300], (-0.5, -1e-300)), ([float("inf"), 1.0, float("-inf")], (1.0, float("inf"))), ([1e308, 1e-320, 4.0], (4.0, 1e308))])
 def test_percentiles(spark, values, want):
     assert tuple(M.percentiles(spark.createDataFrame([(v,) for v in values], "v double"), {"v": "v"}).first()) == want
 
