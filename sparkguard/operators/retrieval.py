@@ -121,54 +121,58 @@ def search(chunks: DataFrame, query: list[float], k: int, links: DataFrame | Non
     return scored.orderBy("distance", "chunk_id").limit(k).withColumn("similarity", 1 - F.col("distance"))
 
 
-#: Bytes of query vectors up to which they go to every task.
-BROADCAST_BYTES = 32 << 20
-
-
-def _nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: list, queries: np.ndarray, k: int) -> list[tuple]:
-    """(query, chunk, distance) of the k nearest of some chunks to each query; ties by chunk."""
-    distance = 1 - queries @ vectors.T / np.outer(np.linalg.norm(queries, axis=1), np.linalg.norm(vectors, axis=1))
-    return [(q, int(ids[j]), float(distance[i, j])) for i, q in enumerate(query_ids) for j in np.lexsort((ids, distance[i]))[:k]]
-
-
-_FOUND = ["query_id", "chunk_id", "distance"]
-
-
-def search_many(chunks: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
+#: Bytes of query vectors that go to every task at a time, and distances that a task works on.
+BROADCAST_BYTES, DISTANCES = 32 << 20, 1 << 21
+
+
+def _nearest(best: tuple[np.ndarray, np.ndarray] | None, ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, chunk) of the k nearest to each query, of those so far and some more chunks; ties by chunk."""
+    norms = np.linalg.norm(queries, axis=1)
+    rows = max(1, DISTANCES // max(1, len(queries)))
+    for lo in range(0, len(ids), rows):
+        part = vectors[lo : lo + rows]
+        distance = 1 - queries @ part.T / np.outer(norms, np.linalg.norm(part, axis=1))
+        chunk = np.broadcast_to(ids[lo : lo + rows], distance.shape)
+        if best is not None:
+            distance, chunk = np.hstack((best[0], distance)), np.hstack((best[1], chunk))
+        order = np.lexsort((chunk, distance))[:, :k]
+        best = np.take_along_axis(distance, order, 1), np.take_along_axis(chunk, order, 1)
+    return best
+
+
+def search_many(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """queries(query_id, scope, embedding) against chunks(chunk_id, scope, embedding) of their scope: the k nearest each.
 
-    The queries of all scopes are broadcast as matrices if they are small, and every batch of chunks is multiplied with those of its
-    scopes; larger sets travel in blocks of one scope. Only k candidates per query and batch are shuffled.
+    Queries are broadcast as one matrix a scope, in as many passes over the chunks as their bytes need; a task multiplies its chunks with them
+    and keeps the k nearest of each, which is all that is shuffled.
     """
     size = queries.agg(F.sum(F.size("embedding") * F.lit(8) + 16).alias("bytes")).first().bytes or 0
-    if size <= BROADCAST_BYTES:
+    found = chunks.sparkSession.createDataFrame([], "query_id long, chunk_id long, distance double")
+    passes = -(-size // BROADCAST_BYTES)
+    for p in range(passes):
         by_scope: dict = {}
-        for r in queries.select("scope", "query_id", "embedding").collect():
+        for r in queries.filter(f"pmod(xxhash64(query_id), {passes}) = {p}").select("scope", "query_id", "embedding").collect():  # bounded by BROADCAST_BYTES
             by_scope.setdefault(r.scope, []).append((r.query_id, np.asarray(r.embedding, np.float64)))
         shared = chunks.sparkSession.sparkContext.broadcast({s: ([q for q, _ in rows], np.array([v for _, v in rows])) for s, rows in by_scope.items()})
+        local = chunks.select("scope", "chunk_id", "embedding").mapInArrow(_near(shared, k), "query_id long, chunk_id long, distance double")
+        found = found.unionByName(local)
+    w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("similarity", 1 - F.col("distance"))
 
-        def near(batches):
-            for batch in batches:
-                for scope, rows in batch.to_pandas().groupby("scope", sort=False):
-                    if scope in shared.value:
-                        found = _nearest(rows["chunk_id"].to_numpy(), np.array([np.asarray(x, np.float64) for x in rows["embedding"]]), *shared.value[scope], k)
-                        yield pa.RecordBatch.from_pandas(pd.DataFrame(found, columns=_FOUND), preserve_index=False)
-
-        local = chunks.select("scope", "chunk_id", "embedding").mapInArrow(near, "query_id long, chunk_id long, distance double")
-    else:
-        blocks = queries.groupBy("scope", F.pmod(F.hash("query_id"), F.lit(block)).alias("b")).agg(F.collect_list(F.struct("query_id", "embedding")).alias("qs"))
-
-        def near_blocks(batches):
-            for batch in batches:
-                for _, rows in batch.to_pandas().groupby(["scope", "b"], sort=False):
-                    qs = rows["qs"].iloc[0]
+
+def _near(shared, k: int):
+    def work(batches):
+        best: dict = {}
+        for batch in batches:
+            for scope, rows in batch.to_pandas().groupby("scope", sort=False):
+                if scope in shared.value:
                     vectors = np.array([np.asarray(x, np.float64) for x in rows["embedding"]])
-                    found = _nearest(rows["chunk_id"].to_numpy(), vectors, [x["query_id"] for x in qs], np.array([np.asarray(x["embedding"], np.float64) for x in qs]), k)
-                    yield pa.RecordBatch.from_pandas(pd.DataFrame(found, columns=_FOUND), preserve_index=False)
+                    best[scope] = _nearest(best.get(scope), rows["chunk_id"].to_numpy(), vectors, shared.value[scope][1], k)
+        for scope, (distance, chunk) in best.items():
+            query = np.repeat(np.asarray(shared.value[scope][0], np.int64), distance.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(chunk.ravel().astype(np.int64)), pa.array(distance.ravel())], ["query_id", "chunk_id", "distance"])
 
-        local = chunks.join(blocks, "scope").select("scope", "b", "chunk_id", "embedding", "qs").mapInArrow(near_blocks, "query_id long, chunk_id long, distance double")
-    w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("similarity", 1 - F.col("distance"))
+    return work
 
 
 def tokens_of(text: str) -> Column:

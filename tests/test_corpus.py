@@ -223,3 +223,22 @@ def test_relational_load(spark, tmp_path, tables):
     assert got() == [(1, "a"), (2, "other"), (3, "c"), (900, None)]
     left = spark.read.jdbc(url, "(SELECT TABLENAME FROM SYS.SYSTABLES WHERE TABLETYPE = 'T') t").collect()
     assert [r[0] for r in left] == ["NOTES"]
+
+
+def test_vector_search_in_passes(spark, monkeypatch):
+    """Queries that are too many for one broadcast take several passes, and give what all pairs give."""
+    r = random.Random(6)
+    vector = lambda: [r.gauss(0, 1) for _ in range(8)]
+    rows = [(i, f"s{i % 3}", vector()) for i in range(400)]
+    rows += [(1000 + i, "s0", rows[0][2]) for i in range(30)]  # ties
+    asked = [(i, scope, v) for i, scope, v in rows[:40]] + [(9, "nowhere", vector())]
+    chunks, queries = spark.createDataFrame(rows, "chunk_id long, scope string, embedding array<float>").repartition(3), spark.createDataFrame(asked, "query_id long, scope string, embedding array<float>")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    want = {q: [c for _, c in sorted((round(1 - cos(v, w), 5), c) for c, t, w in rows if t == scope)[:5]] for q, scope, v in asked if scope != "nowhere"}
+    for size in (32 << 20, 700):
+        monkeypatch.setattr(retrieval, "BROADCAST_BYTES", size)
+        got = {}
+        for x in retrieval.search_many(chunks, queries, 5).orderBy("query_id", "rank").collect():
+            got.setdefault(x.query_id, []).append(x.chunk_id)
+        assert got == want
+    assert retrieval.search_many(chunks, queries.limit(0), 5).count() == 0
