@@ -8,32 +8,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import bound_batches as bound_batches
 from ..session import shared_dir, temporary
 
 #: Text is worked on in slices of whole documents of about so many bytes, which bounds a Python worker's memory.
 SLICE_BYTES = 1 << 20
-#: Rows of an Arrow batch of whole texts; the default of 10,000 takes hundreds of MB outside the heap for each task.
-BATCH_ROWS = 1000
-#: Bytes that an Arrow batch takes; a single row may be longer.
-BATCH_BYTES = 16 << 20
 _BLOCK = 1 << 18
 _MULT = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INV = pow(_MULT, -1, 1 << 64)
 
 
-def bound_batches(df: DataFrame) -> DataFrame:
-    """df, with its session's Arrow batches bounded in rows and bytes; called by the operators that give texts to Python.
-
-    The settings stay, as plans read them when they run; they bound memory and change no result.
-    """
-    conf, rows, size = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
-        conf.set(rows, str(BATCH_ROWS))
-        conf.set(size, f"{BATCH_BYTES}b")
-    return df
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, so that a lost executor costs no recomputation of what is above.
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from ..functions.patterns import automaton, occurrences
+from ..functions.patterns import Values
+from ..session import bound_batches
 
 
 def document_links(documents: DataFrame) -> DataFrame:
@@ -128,21 +130,26 @@ _PLACES = ArrayType(StructType([StructField("kind", StringType()), StructField("
 VALUE_BYTES = 16 << 20
 
 
+#: Spans that a task turns into columns at a time; a single text may have more.
+SPANS = 1 << 16
+
+
 def annotate_spans(documents: DataFrame, values: DataFrame, overlapping: bool = False) -> DataFrame:
     """documents(document_id, text) with spans of the places of values(kind, value), which don't overlap others of the same value unless overlapping.
 
     Values with a document_id are those of a document, else they are known for all: one automaton, sent to the tasks once.
     """
     if "document_id" in values.columns:
-        lists = values.groupBy("document_id").agg(F.collect_list(F.struct("kind", "value")).alias("values"))
-        return documents.join(lists, "document_id", "left").withColumn("spans", _own_places(overlapping)("text", "values")).drop("values")
+        lists = values.groupBy("document_id").agg(F.collect_list(F.struct("kind", "value")).alias("_values"))
+        own = lambda wanted: Values((p["value"], p["kind"]) for p in wanted or ())
+        return _with_spans(documents.join(lists, "document_id", "left"), "spans", own, overlapping, "_values").drop("_values")
     known = values.select("kind", "value").distinct()
     size = known.agg(F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()[0]
     blocks, found = max(1, -(-size // VALUE_BYTES)), documents
     for b in range(blocks):
         pairs = [(r.value, r.kind) for r in known.filter(f"pmod(xxhash64(value), {blocks}) = {b}").collect()]  # bounded by VALUE_BYTES
-        shared = documents.sparkSession.sparkContext.broadcast(automaton(pairs))
-        found = found.withColumn(f"_spans{b}", _known_places(shared, overlapping)("text"))
+        shared = documents.sparkSession.sparkContext.broadcast(Values(pairs))
+        found = _with_spans(found, f"_spans{b}", lambda _, shared=shared: shared.value, overlapping)
     parts = [f"_spans{b}" for b in range(blocks)]
     return found.withColumn("spans", F.array_sort(F.flatten(F.array(*parts)), _by_place) if blocks > 1 else F.col(parts[0])).drop(*parts)
 
@@ -152,25 +159,32 @@ def _by_place(a, b):
     return F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0)
 
 
-def _spans(made, text: str | None, overlapping: bool) -> list[dict]:
-    found = [(start, end, kind) for start, end, kinds in occurrences(made, text, overlapping) for kind in kinds] if made is not None else []
-    return [{"kind": kind, "start": start, "end": end, "value": text[start:end]} for start, end, kind in sorted(found)]
-
-
-def _known_places(shared, overlapping: bool):
-    @F.pandas_udf(_PLACES)
-    def places(text: pd.Series) -> pd.Series:
-        return pd.Series([_spans(shared.value, t, overlapping) for t in text])
-
-    return places
-
-
-def _own_places(overlapping: bool):
-    @F.pandas_udf(_PLACES)
-    def places(text: pd.Series, wanted: pd.Series) -> pd.Series:
-        return pd.Series([_spans(automaton((p["value"], p["kind"]) for p in w) if w is not None else None, t, overlapping) for t, w in zip(text, wanted, strict=True)])
-
-    return places
+def _with_spans(documents: DataFrame, name: str, values_of, overlapping: bool, wanted: str | None = None) -> DataFrame:
+    """documents with the places of values_of(wanted), a few texts at a time."""
+    columns = documents.columns
+    at, own = columns.index("text"), columns.index(wanted) if wanted else None
+
+    def spans(found: list[tuple]) -> pa.Array:
+        words, kinds = (pa.chunked_array([getattr(v, n).take(pa.array(p[k])) for v, p in found], pa.string()).combine_chunks() for n, k in (("words", 2), ("kinds", 3)))
+        start, end = (pa.array(np.concatenate([p[k] for _, p in found]).astype(np.int32)) for k in (0, 1))
+        ends = pa.array(np.cumsum([0, *(p.shape[1] for _, p in found)]).astype(np.int32))
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([kinds, start, end, words], _PLACES.elementType.names))
+
+    def work(batches):
+        asked, values = None, values_of(None)
+        for batch in batches:
+            first, n, found = 0, 0, []
+            lists = batch.column(own).to_pylist() if own is not None else [None] * batch.num_rows
+            for i, (text, wants) in enumerate(zip(batch.column(at).to_pylist(), lists, strict=True)):
+                if wants != asked:
+                    asked, values = wants, values_of(wants)
+                found.append((values, values.places(text, overlapping)))
+                n += found[-1][1].shape[1]
+                if n >= SPANS or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(first, i + 1 - first).columns, spans(found)], [*columns, name])
+                    first, n, found = i + 1, 0, []
+
+    return bound_batches(documents).mapInArrow(work, StructType([*documents.schema.fields, StructField(name, _PLACES)]))
 
 
 def check_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:

@@ -89,3 +89,25 @@ def test_a_signature_that_fails_is_an_error(spark):
     finally:
         scans.Feed = original
     assert [(r.request_id, r.verdict, r.reason) for r in rows] == [("r", "error", "scan failed: RecursionError"), ("s", "error", "scan failed: RecursionError")]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.text("abé", max_size=3), st.sampled_from("km")), max_size=6, unique=True), st.text("abé", max_size=30), st.booleans())
+def test_places_in_columns(pairs, text, overlapping):
+    want = sorted((s, e, k, text[s:e]) for s, e, kinds in P.occurrences(P.automaton(pairs), text, overlapping) for k in kinds)
+    values = pickle.loads(pickle.dumps(P.Values(pairs)))
+    start, end, word, kind = values.places(text, overlapping).tolist()
+    assert list(zip(start, end, (values.kinds[k].as_py() for k in kind), (values.words[w].as_py() for w in word), strict=True)) == want
+
+
+def test_spans_of_many_texts_come_in_small_batches(spark, monkeypatch):
+    """A batch of texts isn't turned into one batch of spans, as there may be one for each letter; all of them are found."""
+    from sparkguard.session import BATCH_ROWS
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(corpus, "SPANS", 100)
+    docs = spark.range(3000).selectExpr("id AS document_id", "repeat('ab', 30) AS text").repartition(1)
+    known, own = spark.createDataFrame([("k", "a"), ("k", "ba")], "kind string, value string"), docs.selectExpr("document_id", "'k' AS kind", "if(document_id % 2 = 0, 'a', 'ba') AS value")
+    assert [tuple(r) for r in corpus.annotate_spans(docs, known).selectExpr("size(spans) AS n").groupBy("n").count().collect()] == [(59, 3000)]
+    assert sorted(tuple(r) for r in corpus.annotate_spans(docs, own).selectExpr("size(spans) AS n").groupBy("n").count().collect()) == [(29, 1500), (30, 1500)]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS
