@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Generic, TypeVar
@@ -17,8 +18,12 @@ class Outcome(Generic[T]):
 
 
 def attempt(helper: Callable[..., T], *args) -> Outcome[T]:
-    """What helper gives for args, or the kind of its exception; running out of memory or stack is an error of the row as well."""
+    """What helper gives for args, or the kind of its exception; running out of memory, twice, or stack is an error of the row as well."""
     try:
+        try:
+            return Outcome(helper(*args))
+        except MemoryError:  # what rows before it left may fill the memory, and isn't about this row
+            gc.collect()
         return Outcome(helper(*args))
     except Exception as e:  # whatever a helper raises is about its row
         return Outcome(None, type(e).__name__, str(e)[:200])
