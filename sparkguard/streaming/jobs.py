@@ -16,7 +16,7 @@ from ..functions import columns as C
 from ..operators import scans, tool_args
 from ..schemas import ACTIONS, AUDIT, OUTCOMES, TURN_SUMMARY
 from ..sources.audit import derive
-from .state import TURN, LiveTurns, OutcomeChanges, RollingBudget, by_key
+from .state import TURN, LiveTurns, RollingBudget, by_key, use_rocksdb
 
 WATERMARK = "10 minutes"
 
@@ -118,9 +118,18 @@ def store(rows: DataFrame, path: str):
     return rows.writeStream.format("parquet").option("path", path).partitionBy("date")
 
 
+class OutcomeChanges:
+    """Steps of a request's strongest action on a day: before (null for a new request) and after, which is one more; a batch may have several."""
+
+    SCHEMA = "date date, request_id string, before int, after int"
+
+
 def outcome_changes(rows: DataFrame) -> DataFrame:
-    checks = rows.filter(~F.col("is_system_event") & F.col("request_id").isNotNull()).select("date", "request_id", "ts_utc", C.strength().alias("strength"))
-    return by_key(checks, ("date", "request_id"), OutcomeChanges(), OutcomeChanges.SCHEMA, "Update")
+    """Each step that a request's strongest action takes, once: an action stands for all steps up to its strength, and known ones are dropped by Spark's own state."""
+    use_rocksdb(rows.sparkSession)
+    checks = rows.filter(~F.col("is_system_event") & F.col("request_id").isNotNull())
+    steps = checks.select("date", "request_id", F.window("ts_utc", "1 day").alias("day"), F.explode(F.sequence(F.lit(0), C.strength())).alias("after"))  # state goes when the watermark passes the day
+    return steps.dropDuplicates(["date", "request_id", "day", "after"]).select("date", "request_id", F.when(F.col("after") > 0, F.col("after") - 1).alias("before"), "after")
 
 
 #: Epochs of totals that are kept for a batch that runs again.
@@ -155,7 +164,7 @@ def snapshots(rows: DataFrame, path: str, seconds: int = 5):
         newest.coalesce(1).write.mode("overwrite").json(f"{path}/metrics/latest")
         newest.coalesce(1).write.mode("overwrite").parquet(f"{path}/metrics/history/epoch={epoch}")
 
-    return outcome_changes(rows).writeStream.foreachBatch(run).outputMode("update").trigger(processingTime=f"{seconds} seconds")
+    return outcome_changes(rows).writeStream.foreachBatch(run).outputMode("append").trigger(processingTime=f"{seconds} seconds")
 
 
 def run_once(stream: DataFrame, path: str, mode: str = "append", keys: tuple[str, ...] = (), trigger: dict | None = None) -> DataFrame:

@@ -157,3 +157,16 @@ def test_live_turns_match_batch(spark, sf):
     live = {r.request_id: r.post_ms for r in stream_queries.stream_live_turns(spark, sf).filter("state NOT IN ('running', 'abandoned', 'failed')").collect()}
     batch = {r.request_id: r.post_ms or 0.0 for r in turns.turns(views.audit(spark, sf)).collect()}
     assert live and all(batch[k] == pytest.approx(v, abs=1e-5) for k, v in live.items() if k in batch)
+
+
+def test_outcomes_need_no_python(spark, tmp_path):
+    """The steps of a request's outcome come from Spark's own state, also those that skip a level or come again."""
+    (tmp_path / "log").mkdir()
+    row = lambda q, t, action: (q, "u", t, "input", "pii", action, 1.0, "rules", 1, 0.5, "p")
+    parts = [[row("a", "09:00:00", "redact"), row("b", "09:00:01", "allow")], [row("a", "09:00:02", "flag"), row("b", "09:00:03", "block")], [row("b", "09:00:04", "block")]]
+    for i, part in enumerate(parts):
+        write(spark, tmp_path / "log", f"2026-10-03-{i}", list(enumerate(part, 10 * i)))
+    rows = jobs.outcome_changes(jobs.tail(spark, str(tmp_path / "log"), maxFilesPerTrigger=1))
+    out = jobs.run_once(rows, str(tmp_path / "run"))
+    assert sorted((r.request_id, r.after, r.before) for r in out.collect()) == [("a", 0, None), ("a", 1, 0), ("a", 2, 1), ("b", 0, None), ("b", 1, 0), ("b", 2, 1), ("b", 3, 2)]
+    assert "Python" not in rows._jdf.queryExecution().analyzed().toString()
