@@ -71,10 +71,14 @@ def timeline(rows: DataFrame, idle: str = IDLE, spread: str = "1 hour") -> DataF
     return counts.select("minute", "requests", "blocked", "redacted", "flagged")
 
 
+#: Groups of requests that are folded together.
+BUCKETS = 512
+
+
 def live_turns(rows: DataFrame, minutes: int = 10) -> DataFrame:
     """Each request folded into its stages (see state.LiveTurns); in update mode."""
-    request = rows.filter("request_id IS NOT NULL").select("request_id", "ts_utc", "check", "checkpoint", C.strength().alias("strength"), "overhead_ms", "upstream_latency_ms")
-    return by_key(request, "request_id", LiveTurns(minutes), TURN, "Update")
+    request = rows.filter("request_id IS NOT NULL").select("request_id", "ts_utc", "check", "checkpoint", C.strength().alias("strength"), "overhead_ms", "upstream_latency_ms", F.pmod(F.xxhash64("request_id"), F.lit(BUCKETS)).alias("bucket"))
+    return by_key(request, "bucket", LiveTurns(minutes), TURN, "Update")
 
 
 def rolling_budget(requests: DataFrame, per_minute: int) -> DataFrame:

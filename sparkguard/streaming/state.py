@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -74,67 +76,57 @@ TURN = "request_id string, first_ts timestamp, state string, pre_ms double, mode
 
 
 class LiveTurns(StatefulProcessor):
-    """A request folded into its stages: running, failed, blocked or done by its strongest action; one that never ends is abandoned after some minutes."""
+    """Requests folded into their stages: running, failed, blocked or done by the strongest action; one that never ends is abandoned after some minutes.
 
-    def __init__(self, minutes: int):
-        self.ms = minutes * 60_000
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.turn = handle.getValueState("turn", "first_us long, failed boolean, reply boolean, pre double, model double, post double, strength int")
+    The key is a bucket of requests, so that a batch is folded in columns; its state holds the requests that are still open to rows.
+    """
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first, failed, reply, pre, model, post, strength = self.turn.get() if self.turn.exists() else (2**62, False, False, 0.0, 0.0, 0.0, 0)
-        for part in rows:
-            summaries = part[part.check == TURN_SUMMARY]
-            request = summaries.checkpoint.isin(["input", "tool_result"])
-            first = min(first, part.ts_utc.min().value // 1000)
-            failed |= bool((part.check == "upstream_unavailable").any())
-            reply |= bool((~request).any())
-            strength = max(strength, int(summaries.strength.max())) if len(summaries) else strength
-            pre += float(summaries.overhead_ms[request].sum())
-            post += float(summaries.overhead_ms[~request].sum())
-            model += float(summaries.upstream_latency_ms[~request].sum())
-        self.turn.update((first, failed, reply, pre, model, post, strength))
-        set_timer(self.handle, max(first // 1000, timerValues.getCurrentWatermarkInMs()) + self.ms)
-        name = "failed" if failed else ACTIONS[strength] if reply or strength == 3 else "running"
-        yield self._row(key, name)
-
-    def _row(self, key, name: str) -> pd.DataFrame:
-        first, _, _, pre, model, post, strength = self.turn.get()
-        return pd.DataFrame({"request_id": [key[0]], "first_ts": [pd.Timestamp(first, unit="us")], "state": [name], "pre_ms": [pre], "model_ms": [model], "post_ms": [post], "strength": pd.array([strength], "int32")})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        _, failed, reply, *_, strength = self.turn.get()
-        if not (failed or reply or strength == 3):
-            yield self._row(key, "abandoned")
-        self.turn.clear()
+    FOLD = {"first": "min", "failed": "max", "reply": "max", "pre": "sum", "model": "sum", "post": "sum", "strength": "max", "until": "max"}
 
-    def close(self) -> None:
-        pass
-
-
-class OutcomeChanges(StatefulProcessor):
-    """Per day and request the change of its strongest action: before (null for a new one) and after, of batches that change it."""
-
-    SCHEMA = "date date, request_id string, before int, after int"
-    DAY_MS = 86_400_000
+    def __init__(self, minutes: int):
+        self.ms = minutes * 60_000
 
     def init(self, handle) -> None:
-        self.handle, self.strongest = handle, handle.getValueState("strongest", "strength int")
+        self.handle, self.open = handle, handle.getValueState("open", "turns binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now = max(int(part.strength.max()) for part in rows)
-        before = self.strongest.get()[0] if self.strongest.exists() else None
-        if before is None or now > before:
-            self.strongest.update((now,))
-            yield pd.DataFrame({"date": [key[0]], "request_id": [key[1]], "before": pd.array([before], "Int32"), "after": pd.array([now], "Int32")})
-        day = pd.Timestamp(key[0]).value // 1_000_000
-        set_timer(self.handle, max(day + 2 * self.DAY_MS, timerValues.getCurrentWatermarkInMs() + self.DAY_MS))
+        parts = [self._folded(part) for part in rows]
+        turns = pd.concat([self._read(), *parts]).groupby("request_id", sort=False).agg(self.FOLD)
+        now = turns.index.isin(pd.concat(parts).request_id)
+        turns.loc[now, "until"] = turns["first"][now].floordiv(1000).clip(lower=timerValues.getCurrentWatermarkInMs()) + self.ms
+        self._write(turns.reset_index())
+        yield self._rows(turns[now].reset_index())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.strongest.clear()
-        return iter(())
+        turns = self._read()
+        over = turns.until <= timerValues.getCurrentWatermarkInMs()
+        self._write(turns[~over])
+        left = turns[over & ~(turns.failed | turns.reply | (turns.strength == 3))]
+        if len(left):
+            yield self._rows(left).assign(state="abandoned")
+
+    def _folded(self, part: pd.DataFrame) -> pd.DataFrame:
+        summary, request = part.check == TURN_SUMMARY, part.checkpoint.isin(["input", "tool_result"])
+        sums = {n: part[c].where(summary & side, 0.0).fillna(0.0).astype("float64") for n, c, side in (("pre", "overhead_ms", request), ("model", "upstream_latency_ms", ~request), ("post", "overhead_ms", ~request))}
+        facts = {"first": part.ts_utc.astype("datetime64[us]").astype("int64"), "failed": part.check == "upstream_unavailable", "reply": summary & ~request, "strength": part.strength.where(summary, 0).fillna(0).astype("int64")}
+        return pd.DataFrame({"request_id": part.request_id, **facts, **sums, "until": 0}).groupby("request_id", sort=False, as_index=False).agg(self.FOLD)
+
+    def _rows(self, turns: pd.DataFrame) -> pd.DataFrame:
+        state = pd.Series(ACTIONS)[turns.strength].to_numpy()
+        state = np.where(turns.failed, "failed", np.where(turns.reply | (turns.strength == 3), state, "running"))
+        return pd.DataFrame({"request_id": turns.request_id, "first_ts": pd.to_datetime(turns["first"], unit="us"), "state": state, "pre_ms": turns.pre, "model_ms": turns.model, "post_ms": turns.post, "strength": turns.strength.astype("int32")})
+
+    def _read(self) -> pd.DataFrame | None:
+        return pa.ipc.open_stream(bytes(self.open.get()[0])).read_pandas() if self.open.exists() else None
+
+    def _write(self, turns: pd.DataFrame) -> None:
+        if not len(turns):
+            return self.open.clear()
+        table, sink = pa.Table.from_pandas(turns, preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        self.open.update((sink.getvalue().to_pybytes(),))
+        set_timer(self.handle, int(turns.until.min()))
 
     def close(self) -> None:
         pass

@@ -159,6 +159,21 @@ def test_live_turns_match_batch(spark, sf):
     assert live and all(batch[k] == pytest.approx(v, abs=1e-5) for k, v in live.items() if k in batch)
 
 
+def test_turns_of_a_bucket_end_by_their_own_times(spark, tmp_path, monkeypatch):
+    """Requests that share a bucket are folded together over batches; one without an end is abandoned at its time, the others go on."""
+    monkeypatch.setattr(jobs, "BUCKETS", 1)
+    (tmp_path / "log").mkdir()
+    row = lambda q, t, place, action="allow": (q, "u", t, place, "turn_summary", action, 1.0, "rules", 1, 0.5, "p")
+    parts = [[row("a", "09:00:00", "input"), row("b", "09:00:01", "input")], [row("b", "09:05:00", "output", "flag"), row("c", "09:30:00", "input")], [row("c", "09:31:00", "input", "block")]]
+    for i, part in enumerate(parts):
+        write(spark, tmp_path / "log", f"2026-10-03-{i}", list(enumerate(part, 10 * i)))
+    rows = jobs.tail(spark, str(tmp_path / "log"), maxFilesPerTrigger=1)
+    out = jobs.run_once(jobs.live_turns(rows), str(tmp_path / "run"), "update", keys=("request_id",))
+    assert {r.request_id: (r.state, r.first_ts.strftime("%H:%M:%S")) for r in out.collect()} == {"a": ("abandoned", "09:00:00"), "b": ("flag", "09:00:01"), "c": ("block", "09:30:00")}
+    state = spark.read.format("statestore").option("path", str(tmp_path / "run/state")).option("stateVarName", "open").load()
+    assert state.count() == 1  # a value for the bucket, whatever its requests
+
+
 def test_outcomes_need_no_python(spark, tmp_path):
     """The steps of a request's outcome come from Spark's own state, also those that skip a level or come again."""
     (tmp_path / "log").mkdir()
