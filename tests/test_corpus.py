@@ -242,3 +242,14 @@ def test_vector_search_in_passes(spark, monkeypatch):
             got.setdefault(x.query_id, []).append(x.chunk_id)
         assert got == want
     assert retrieval.search_many(chunks, queries.limit(0), 5).count() == 0
+
+
+def test_safe_labels_keep_the_labels(spark, tmp_path):
+    from hashlib import sha256
+
+    from sparkguard.plans import file_queries
+
+    spark.createDataFrame([(1, "one"), (2, "a b\nc d-e"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.label, r.names, r.unprintable, r.labels) for r in file_queries.QUERIES["safe_labels"](spark, str(tmp_path)).collect()}
+    hidden, digest = "<unprintable name>", lambda *labels: sha256(" ".join(labels).encode()).hexdigest()
+    assert got == {1: ("one", 1, 0, digest("one")), 2: (hidden, 3, 1, digest("a", hidden, "d-e")), 3: (hidden, 1, 1, digest(hidden))}
