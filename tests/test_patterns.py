@@ -111,3 +111,25 @@ def test_spans_of_many_texts_come_in_small_batches(spark, monkeypatch):
     assert [tuple(r) for r in corpus.annotate_spans(docs, known).selectExpr("size(spans) AS n").groupBy("n").count().collect()] == [(59, 3000)]
     assert sorted(tuple(r) for r in corpus.annotate_spans(docs, own).selectExpr("size(spans) AS n").groupBy("n").count().collect()) == [(29, 1500), (30, 1500)]
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["ab", "b", "İ", " ", r"\s", r"\s+", r"\s{2,}?", "[ \t]+", r"\s*", r"[^\s]", r"(?:a\s|b)", r"(?:\s+c)?", "̇", r"\b"]), min_size=1, max_size=5).map("".join), min_size=1, max_size=6), st.text("abcİi̇ \t ", max_size=12), st.booleans())
+def test_feed_with_white_space_equals_each_signature(patterns, text, sensitive):
+    want = next((i for i, p in enumerate(patterns) if re.search(p, text, 0 if sensitive else re.I)), None)
+    assert P.Feed([(p, sensitive) for p in patterns]).first([text]) == want
+
+
+def test_words_in_another_order_are_no_candidates():
+    feed = P.Feed([(r"\bone\s+two\b", False), (r"\btwo[ \n]one\b", False), (r"\bone\s*two\b", False)])
+    assert feed.candidates(["two three one"]) == [2] and feed.candidates(["x ONE \t\n two"]) == [0, 2]
+    assert [feed.first([t]) for t in ("one  Two", "two\none", "onetwo", "two  one")] == [0, 1, 2, None]
+
+
+def test_texts_are_searched_once(spark):
+    """The filter of what was found isn't moved before the search, and plain and other texts are of one scan."""
+    texts = spark.createDataFrame([("r", 0, "abc"), ("s", 0, "é аbc"), ("t", 0, None), ("u", 0, "é")], "request_id string, message_index int, content string")
+    found = scans.scan_signatures(texts, [("A", "other", "fine", "abc", True)])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [first(") == 1 and plan.count("ArrowEvalPython [nfkc(") == 1
+    assert sorted(r.request_id for r in found.collect()) == ["r", "s"]
