@@ -5,6 +5,7 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -113,6 +114,21 @@ def test_spans_of_many_texts_come_in_small_batches(spark, monkeypatch):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS
 
 
+def test_a_slice_of_spans_ends_with_the_text_that_fills_it(spark, monkeypatch):
+    """What a worker holds doesn't follow the batch: a slice has fewer than SPANS places before its last text."""
+    made = []
+    monkeypatch.setattr(corpus, "SPANS", 100)
+    docs = spark.createDataFrame([], "document_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, work, schema: made.append(work) or spark.createDataFrame([], schema))
+    corpus.annotate_spans(docs, spark.createDataFrame([("k", "a")], "kind string, value string"))
+    texts = ["ab" * (i % 40) for i in range(500)]
+    slices = list(made[0](iter([pa.RecordBatch.from_pydict({"document_id": list(range(500)), "text": texts})])))
+    sizes = [[len(x) for x in s.column(2).to_pylist()] for s in slices]
+    assert len(slices) > 50 and all(sum(n[:-1]) < 100 for n in sizes)
+    assert [n for s in sizes for n in s] == [i % 40 for i in range(500)]
+    assert [x for s in slices for x in s.column("text").to_pylist()] == texts
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(["ab", "b", "İ", " ", r"\s", r"\s+", r"\s{2,}?", "[ \t]+", r"\s*", r"[^\s]", r"(?:a\s|b)", r"(?:\s+c)?", "̇", r"\b"]), min_size=1, max_size=5).map("".join), min_size=1, max_size=6), st.text("abcİi̇ \t ", max_size=12), st.booleans())
 def test_feed_with_white_space_equals_each_signature(patterns, text, sensitive):
